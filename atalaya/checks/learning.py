@@ -269,7 +269,7 @@ def _(t: Tables) -> DataFrame:
 
 @check("choose_contamination")
 def _(t: Tables) -> DataFrame:
-    rows = _by_amount(t).select(*splitting.GROUP, "label", F.col("score_anomalia").alias("score"))
+    rows = _by_amount(t).select(*splitting.GROUP, "label", F.col("score_anomalia").alias("score")).cache()
     return isolation.choose_contamination([evaluation.validation_split(rows, seed)[1] for seed in models.VALIDATION_SEEDS])
 
 

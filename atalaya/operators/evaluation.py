@@ -164,69 +164,55 @@ def recall_at_k(scored: DataFrame, score: str = "score", tie: str = "id") -> Dat
     return hits.select("hits", "k", F.try_divide(F.col("hits"), F.col("k")).alias("recall_at_k"))
 
 
-def auc_roc(scored: DataFrame, score: str = "score") -> DataFrame:
-    """Area under ROC in its rank-sum form: ties count one half.
+def auc_metrics(scored: DataFrame, score: str = "score") -> DataFrame:
+    """Areas under ROC and under precision-recall, in one row.
 
-    Works on distinct scores with running counts, so no single task ranks all rows.
+    Both come from running counts over the distinct scores, best first, so no single
+    task ranks all rows. ROC is the rank sum in which a tie counts one half. The
+    precision-recall curve is joined by straight lines and starts at recall 0 with the
+    precision of the best score.
     """
     is_positive = F.col("label") == 1
+    # Negated, so that "before" means a better score.
+    descending = scored.select("label", (-F.col(score).cast("double")).alias("_down"))
     counted = value_counts_by_bucket(
-        scored.select("label", score),
-        score,
-        counts={"pos": F.count_if(is_positive), "neg": F.count_if(~is_positive)},
+        descending, "_down", counts={"pos": F.count_if(is_positive), "neg": F.count_if(~is_positive)}
     )
-    running = running_counts(counted, bucket_offsets(counted, (), ("pos", "neg")), (), ("pos", "neg"))
-    wins = F.sum(F.col("pos") * (F.col("neg_before") + F.col("neg") / 2))
+    sides = ("pos", "neg")
+    running = running_counts(counted, bucket_offsets(counted, (), sides), (), sides)
+
+    beaten = F.col("neg_total") - F.col("neg_before") - F.col("neg") / 2
+    better = F.col("pos_before") + F.col("neg_before")
+    precision_here = (F.col("pos_before") + F.col("pos")) / (better + F.col("pos") + F.col("neg"))
+    precision_before = F.when(better > 0, F.try_divide(F.col("pos_before"), better)).otherwise(precision_here)
     return running.agg(
         F.max("pos_total").alias("positivos"),
         F.max("neg_total").alias("negativos"),
-        wins.alias("_wins"),
+        F.sum(F.col("pos") * beaten).alias("_wins"),
+        F.sum(F.col("pos") * (precision_here + precision_before) / 2).alias("_area"),
     ).select(
-        "positivos", "negativos",
+        "positivos",
+        "negativos",
         F.try_divide("_wins", F.col("positivos").cast("double") * F.col("negativos")).alias("auc_roc"),
+        F.try_divide("_area", F.col("positivos")).alias("auc_pr"),
     )
 
 
-def auc_pr(scored: DataFrame, score: str = "score") -> DataFrame:
-    """Area under precision-recall by the trapezoid over distinct scores.
-
-    The curve starts at recall 0 with the precision of the best score.
-    """
-    is_positive = F.col("label") == 1
-    # Negated, so that running counts go from the best score down.
-    reversed_scores = scored.select("label", (-F.col(score).cast("double")).alias("_down"))
-    counted = value_counts_by_bucket(
-        reversed_scores, "_down", counts={"pos": F.count_if(is_positive), "neg": F.count_if(~is_positive)}
-    )
-    running = running_counts(counted, bucket_offsets(counted, (), ("pos", "neg")), (), ("pos", "neg"))
-    before = F.col("pos_before") + F.col("neg_before")
-    through = F.col("pos_before") + F.col("pos")
-    precision_here = through / (before + F.col("pos") + F.col("neg"))
-    precision_before = F.when(before > 0, F.try_divide(F.col("pos_before"), before)).otherwise(precision_here)
-    step = F.col("pos") / F.col("pos_total")
-    return running.agg(F.sum(step * (precision_here + precision_before) / 2).alias("auc_pr"))
-
-
-def auc_metrics(scored: DataFrame, score: str = "score") -> DataFrame:
-    """Both areas in one row, from exact running counts over the distinct scores."""
-    roc = auc_roc(scored, score).withColumn("_k", F.lit(1))
-    return roc.join(auc_pr(scored, score).withColumn("_k", F.lit(1)), "_k").drop("_k")
-
-
 def holdout_metrics(scored: DataFrame, *, by_rank: bool = False) -> dict:
-    """The seven metrics of a scored holdout as scalars.
+    """The seven metrics of a scored holdout (id, label, score) as scalars.
 
-    `by_rank` predicts as many positives as there are; otherwise the cut is 0.5.
+    `by_rank` predicts as many positives as there are; otherwise the cut is 0.5. The
+    scored rows are written once, in order; everything else reads them from there.
     """
-    ranked = rank_predictions(scored)
-    if by_rank:
-        counts = confusion_counts(ranked).first()
-    else:
-        counts = threshold_metrics(scored).first()
+    numbered = numbered_by_score(scored.select("id", "label", "score"))
+    positives = count_positives(numbered)
+    ranked = F.col("rango") <= positives
+    predicted = ranked if by_rank else F.col("score") >= DECISION_THRESHOLD
+    counts = confusion_counts(numbered.withColumn("pred", predicted.cast("int"))).first()
     if not counts["n"] or counts["positivos"] in (0, counts["n"]):
         raise GateError("evaluation needs rows of both labels")
-    hits = ranked.agg(count_flag((F.col("label") == 1) & (F.col("pred") == 1)).alias("h")).first()["h"]
-    areas = auc_metrics(scored).first()
+    hits = counts["tp"] if by_rank else numbered.agg(count_flag((F.col("label") == 1) & ranked).alias("h")).first()["h"]
+    areas = auc_metrics(numbered).first()
     return {
         "accuracy": counts["accuracy"],
         "auc_pr": areas["auc_pr"],

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.ml.classification import (
     GBTClassifier,
@@ -23,6 +24,7 @@ from atalaya.operators.contract import count_flag
 from atalaya.operators.evaluation import group_id, holdout_metrics, stratified_folds, validation_split
 from atalaya.operators.favoritism import PAIR, PAIR_FEATURES
 from atalaya.operators.splitting import GROUP, GROUP_FEATURES
+from atalaya.runtime import in_parallel
 
 # --- fixed values -----------------------------------------------------------
 SEED = 42
@@ -31,6 +33,9 @@ OPERATIONAL_GRID = {"numTrees": [100, 200, 300], "maxDepth": [3, 4, 6]}
 BENCH_FOLDS, MAX_FOLDS, MIN_FOLDS = 3, 5, 3
 K_VALUES = [2, 3, 4, 5, 6]
 VALIDATION_SEEDS = [11, 23, 37]
+COMPARED_FOREST = {"numTrees": 100, "maxDepth": 3}
+COMPARED_BOOSTING = {"maxIter": 100, "maxDepth": 3, "stepSize": 0.1}
+METRICS = ["accuracy", "auc_pr", "auc_roc", "precision", "recall", "f1", "recall_at_k"]
 # ----------------------------------------------------------------------------
 
 
@@ -134,41 +139,32 @@ def compare_classifiers(features: DataFrame, folds: int = MAX_FOLDS) -> DataFram
     spark = features.sparkSession
     folds = fold_number(features, folds)
     rows = stratified_folds(class_weights(features), folds)
-    rows = assemble(rows, PAIR_FEATURES, "raw").withColumn("id", group_id(PAIR))
-    rows = rows.select("id", "raw", "label", "peso", "fold").cache()
+    rows = assemble(rows, PAIR_FEATURES).withColumn("id", group_id(PAIR))
+    rows = rows.select("id", "features", "label", "peso", "fold").cache()
+    columns = {"featuresCol": "features", "labelCol": "label", "weightCol": "peso"}
     models = {
-        "regresion_logistica": LogisticRegression(featuresCol="features", labelCol="label", weightCol="peso"),
-        "bosque_aleatorio": _forest(numTrees=300, maxDepth=6),
-        "potenciacion_gradiente": GBTClassifier(
-            featuresCol="features", labelCol="label", weightCol="peso", seed=SEED, maxIter=50, maxDepth=3
-        ),
+        "regresion_logistica": LogisticRegression(**columns),
+        "bosque_aleatorio": RandomForestClassifier(**columns, seed=SEED, **COMPARED_FOREST),
+        "potenciacion_gradiente": GBTClassifier(**columns, seed=SEED, **COMPARED_BOOSTING),
     }
-    results = []
+
+    def out_of_fold(name: str, fold: int) -> DataFrame:
+        fitted = models[name].copy().fit(rows.where(F.col("fold") != fold))
+        scored = fitted.transform(rows.where(F.col("fold") == fold))
+        return scored.select("id", "label", positive_probability().alias("score"))
+
     try:
-        for name, model in models.items():
-            parts = []
-            for fold in range(folds):
-                inside, outside = rows.where(F.col("fold") != fold), rows.where(F.col("fold") == fold)
-                scaler = StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=True).fit(inside)
-                fitted = model.fit(scaler.transform(inside))
-                parts.append(
-                    fitted.transform(scaler.transform(outside)).select(
-                        "id", "label", positive_probability().alias("score")
-                    )
-                )
-            scored = parts[0]
-            for part in parts[1:]:
-                scored = scored.unionByName(part)
-            metrics = holdout_metrics(scored.cache())
-            scored.unpersist()
-            results.append((name, *[float(metrics[m]) for m in _METRICS]))
+        runs = [(name, fold) for name in models for fold in range(folds)]
+        parts = in_parallel(spark, [lambda r=run: out_of_fold(*r) for run in runs])
+        results = []
+        for name in models:
+            scored = reduce(DataFrame.unionByName, [part for run, part in zip(runs, parts) if run[0] == name])
+            metrics = holdout_metrics(scored)
+            results.append((name, *[float(metrics[m]) for m in METRICS]))
     finally:
         rows.unpersist()
-    schema = ", ".join(["modelo string", *[f"{m} double" for m in _METRICS]])
-    return spark.createDataFrame(results, schema).orderBy(F.desc("auc_pr"), "modelo")
-
-
-_METRICS = ["accuracy", "auc_pr", "auc_roc", "precision", "recall", "f1", "recall_at_k"]
+    schema = ", ".join(["modelo string", *[f"{m} double" for m in METRICS]])
+    return spark.createDataFrame(results, schema).orderBy(F.desc("auc_pr"), F.desc("f1"), F.desc("auc_roc"), "modelo")
 
 
 # --- clustering -----------------------------------------------------------------
@@ -201,6 +197,13 @@ def score_groups(groups: DataFrame, model: KMeansModel, scaler: StandardScalerMo
     return scored.drop("features_raw", "features")
 
 
+def _cluster_metrics(fit_rows: DataFrame, check_rows: DataFrame, k: int) -> dict:
+    scored = score_groups(check_rows, *kmeans_train(fit_rows, k)).select(
+        group_id(GROUP).alias("id"), "label", F.col("score_anomalia").alias("score")
+    )
+    return holdout_metrics(scored, by_rank=True)
+
+
 def kmeans_tune(
     groups: DataFrame, k_values: Sequence[int] = K_VALUES, seeds: Sequence[int] = VALIDATION_SEEDS
 ) -> DataFrame:
@@ -209,11 +212,9 @@ def kmeans_tune(
     for seed in seeds:
         fit_rows, check_rows = (part.cache() for part in validation_split(groups, seed))
         try:
-            for k in k_values:
-                scored = score_groups(check_rows, *kmeans_train(fit_rows, k)).select(
-                    group_id(GROUP).alias("id"), "label", F.col("score_anomalia").alias("score")
-                )
-                found[int(k)].append(holdout_metrics(scored, by_rank=True))
+            tasks = [lambda k=k: _cluster_metrics(fit_rows, check_rows, k) for k in found]
+            for k, metrics in zip(found, in_parallel(groups.sparkSession, tasks)):
+                found[k].append(metrics)
         finally:
             fit_rows.unpersist()
             check_rows.unpersist()

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Sequence
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 _ADAPTIVE = {
@@ -75,3 +78,9 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     location = new_location(spark, label)
     df.write.mode("errorifexists").parquet(location)
     return spark.read.schema(df.schema).parquet(location)
+
+
+def in_parallel(spark: SparkSession, tasks: Sequence[Callable[[], object]], parallelism: int = 4) -> list:
+    """Run independent jobs from a few driver threads, as cross-validation does."""
+    with ThreadPool(max(1, min(parallelism, len(tasks)))) as pool:
+        return pool.map(inheritable_thread_target(spark)(lambda task: task()), tasks, chunksize=1)
