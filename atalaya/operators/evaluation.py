@@ -19,6 +19,7 @@ from atalaya.operators.ordering import (
 )
 from atalaya.operators.skew import hot_split_join
 from atalaya.operators.splitting import GROUP, with_family
+from atalaya.runtime import materialize
 
 # --- fixed values -----------------------------------------------------------
 HOLDOUT_ONE_IN, VALIDATION_ONE_IN = 4, 3
@@ -80,8 +81,9 @@ def split_assignment_join(
 
     A group that holds much of all contracts is spread over several tasks.
     """
-    side = assigned.select(*keys, "is_holdout", "n_contratos")
-    joined = hot_split_join(contracts, side, keys, "n_contratos")
+    # Written once: both sides read it, and the division stays fixed.
+    side = materialize(assigned.select(*keys, "is_holdout", "n_contratos"), "assignment")
+    joined = hot_split_join(contracts, side.drop("n_contratos"), keys, side, "n_contratos")
     development = joined.where(~F.col("is_holdout")).drop("is_holdout")
     return development, joined.where(F.col("is_holdout")).drop("is_holdout")
 

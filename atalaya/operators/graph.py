@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from atalaya.operators.opendata import dedupe_first
-from atalaya.operators.skew import hot_split_join
+from atalaya.operators.skew import hot_keys, hot_split_join, join_salted, repeat_rows, salt_rows
 from atalaya.runtime import materialize
 
 SUPPLIER, OFFICIAL = "proveedor", "funcionario"
@@ -73,28 +73,28 @@ def pagerank(
     Each round sends rank / out-degree along the edges and adds it up per target. A
     source with very many edges is split over several tasks.
     """
-    ids = vertices.select("id").distinct()
     arcs = edges.where(F.col("src").isNotNull() & F.col("dst").isNotNull()).select("src", "dst").distinct()
     arcs = materialize(arcs, "arcs")
     degree = arcs.groupBy("src").agg(F.count(F.lit(1)).alias("_degree"))
-    state = materialize(
-        ids.join(degree.withColumnRenamed("src", "id"), "id", "left").withColumn("rank", F.lit(1.0)), "ranks"
-    )
+    # Degrees never change, so arcs are split once and for all rounds.
+    hot = materialize(hot_keys(degree, ["src"], "_degree"), "hot")
+    arcs = materialize(salt_rows(arcs, ["src"], hot), "arcs")
+    state = vertices.select("id").distinct().join(degree.withColumnRenamed("src", "id"), "id", "left")
+    state = materialize(state.withColumn("rank", F.lit(1.0)), "ranks")
     for step in range(1, iterations + 1):
         senders = state.where(F.col("_degree").isNotNull()).select(
-            F.col("id").alias("src"), "_degree", (F.col("rank") / F.col("_degree")).alias("_share")
+            F.col("id").alias("src"), (F.col("rank") / F.col("_degree")).alias("_share")
         )
         received = (
-            hot_split_join(arcs, senders, ["src"], "_degree")
+            join_salted(arcs, repeat_rows(senders, ["src"], hot), ["src"])
             .groupBy(F.col("dst").alias("id"))
             .agg(F.sum("_share").alias("_received"))
         )
         state = state.join(received, "id", "left").select(
             "id", "_degree", (F.lit(reset) + (1 - reset) * F.coalesce("_received", F.lit(0.0))).alias("rank")
         )
-        if step % _CUT_EVERY == 0 and step < iterations:
+        if step % _CUT_EVERY == 0 or step == iterations:
             state = materialize(state, "ranks")
-    state = materialize(state, "ranks")
     totals = state.agg(F.sum("rank").alias("r"), F.count(F.lit(1)).alias("n")).first()
     scale = totals["n"] / totals["r"] if totals["r"] else 1.0
     return vertices.join(state.select("id", (F.col("rank") * F.lit(scale)).alias("pagerank")), "id")
@@ -120,7 +120,8 @@ def connected_components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     )
     before = None
     while True:
-        links = materialize(_small_star(_large_star(links)), "links")
+        rows = links.count()
+        links = materialize(_small_star(_large_star(links, rows), rows), "links")
         # The sum of hashes of all links tells whether a round changed any of them.
         seen = links.agg(
             F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")
@@ -135,25 +136,23 @@ def connected_components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     )
 
 
-def _star(neighbours: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Smallest id around each vertex (itself included), joined back to its neighbours."""
-    smallest = neighbours.groupBy("u").agg(F.min("v").alias("_low"), F.count(F.lit(1)).alias("_n")).select(
-        "u", F.least("u", "_low").alias("m"), "_n"
-    )
-    return smallest, hot_split_join(neighbours, smallest, ["u"], "_n")
+def _star(neighbours: DataFrame, most_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Smallest id around each vertex (itself included), and its neighbours with it."""
+    found = neighbours.groupBy("u").agg(F.min("v").alias("_low"), F.count(F.lit(1)).alias("_n"))
+    smallest = found.select("u", F.least("u", "_low").alias("m"))
+    return smallest, hot_split_join(neighbours, smallest, ["u"], found, "_n", total_rows=most_rows)
 
 
-def _large_star(links: DataFrame) -> DataFrame:
+def _large_star(links: DataFrame, rows: int) -> DataFrame:
     """Larger neighbours of each vertex are linked to the smallest id around it."""
     both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    _, around = _star(both)
-    moved = around.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.where(F.col("u") != F.col("v")).distinct()
+    _, around = _star(both, 2 * rows)
+    return around.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
-def _small_star(links: DataFrame) -> DataFrame:
+def _small_star(links: DataFrame, most_rows: int) -> DataFrame:
     """Smaller neighbours of each vertex, and the vertex, are linked to the smallest."""
-    smallest, around = _star(links)
+    smallest, around = _star(links, most_rows)
     moved = around.select(F.col("v").alias("u"), F.col("m").alias("v"))
     own = smallest.select("u", F.col("m").alias("v"))
     return moved.unionByName(own).where(F.col("u") != F.col("v")).distinct()

@@ -102,11 +102,14 @@ def exact_quantiles(
     value: str,
     probabilities: dict[str, float],
     groups: Sequence[str] = (),
+    *,
+    weight: str | None = None,
 ) -> DataFrame:
     """Exact quantiles with linear interpolation, one column per named probability.
 
     Null values are left out. A group without values gives no row; without groups
-    an input without values gives no row.
+    an input without values gives no row. With a `weight` column each row stands for
+    that many equal values.
     """
     groups = list(groups)
     total = F.col("n_total")
@@ -115,7 +118,9 @@ def exact_quantiles(
         position = (total - 1) * F.lit(float(p))
         ranks[name] = (position, F.floor(position), F.ceil(position))
 
-    counted = value_counts_by_bucket(df.select(*groups, value), value, groups)
+    number = F.count(F.lit(1)) if weight is None else F.sum(weight)
+    used = df.select(*groups, value, *([] if weight is None else [weight]))
+    counted = value_counts_by_bucket(used, value, groups, {"n": number})
     offsets = bucket_offsets(counted, groups)
     first, last = F.col("n_lower"), F.col("n_lower") + F.col("n_bucket") - 1
     needed = offsets.where(
@@ -149,10 +154,14 @@ def approximate_quantiles(
     value: str,
     probabilities: dict[str, float],
     groups: Sequence[str] = (),
+    *,
+    weight: str | None = None,
     accuracy: int = 10_000,
 ) -> DataFrame:
     """Same columns from one bounded sketch per group; each value is an observed one."""
     usable = df.where(F.col(value).isNotNull())
+    if weight is not None:
+        usable = usable.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col(weight))))
     columns = [
         F.percentile_approx(F.col(value).cast("double"), float(p), accuracy).alias(name)
         for name, p in probabilities.items()

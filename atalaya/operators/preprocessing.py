@@ -9,6 +9,7 @@ from atalaya.errors import ContractError
 from atalaya.functions.amounts import cap_amount, modality_flags
 from atalaya.operators.ordering import approximate_quantiles, exact_quantiles
 from atalaya.operators.skew import BROADCAST_ROWS, fits_broadcast, hot_split_join
+from atalaya.runtime import materialize
 
 # --- fixed values -----------------------------------------------------------
 STATE_VERSION = 1
@@ -44,29 +45,41 @@ def join_medians(df: DataFrame, medians: DataFrame, *, small: bool | None = None
     lookup_key = F.col("objeto").isNotNull() & F.col("monto").isNull()
     needing = df.where(lookup_key).withColumn("_objeto", F.col("objeto").cast("string"))
     per_object = needing.groupBy("_objeto").agg(F.count(F.lit(1)).alias("_rows"))
-    found = hot_split_join(needing, per_object.join(table, "_objeto", "left"), ["_objeto"], "_rows", "left")
+    found = hot_split_join(needing, table, ["_objeto"], per_object, "_rows", "left")
     rest = df.where(~lookup_key).withColumn("mediana_objeto", F.lit(None).cast("double"))
     return rest.unionByName(found.drop("_objeto"))
 
 
-def _partly_imputed(df: DataFrame, medians: DataFrame, small: bool | None) -> DataFrame:
+def imputed_amounts(df: DataFrame, medians: DataFrame, *, small: bool | None = None) -> DataFrame:
+    """Distinct amounts with their row counts, after nulls took the median of their object.
+
+    Rows that still have no amount are counted under null. Both overall statistics
+    come from this table, so the rows are read once.
+    """
     amounts = df.select(F.col("monto").cast("double").alias("monto"), F.col("objeto").cast("string").alias("objeto"))
-    return join_medians(amounts, medians, small=small).select(
-        F.coalesce("monto", "mediana_objeto").alias("monto")
-    )
+    filled = join_medians(amounts, medians, small=small).select(F.coalesce("monto", "mediana_objeto").alias("monto"))
+    return filled.groupBy("monto").agg(F.count(F.lit(1)).alias("n"))
 
 
 def global_median(df: DataFrame, medians: DataFrame, exact: bool = True, *, small: bool | None = None) -> DataFrame:
     """Median of the amounts after nulls took the median of their object."""
-    return _quantiles(exact)(_partly_imputed(df, medians, small), "monto", {"mediana_global": 0.5})
+    return _overall_median(imputed_amounts(df, medians, small=small), exact)
+
+
+def _overall_median(amounts: DataFrame, exact: bool) -> DataFrame:
+    return _quantiles(exact)(amounts, "monto", {"mediana_global": 0.5}, weight="n")
 
 
 def amount_p99(
     df: DataFrame, medians: DataFrame, overall: float, exact: bool = True, *, small: bool | None = None
 ) -> DataFrame:
     """99th percentile of the amounts after both imputations."""
-    imputed = _partly_imputed(df, medians, small).fillna({"monto": float(overall)})
-    return _quantiles(exact)(imputed, "monto", {"monto_p99": 0.99})
+    return _p99(imputed_amounts(df, medians, small=small), overall, exact)
+
+
+def _p99(amounts: DataFrame, overall: float, exact: bool) -> DataFrame:
+    filled = amounts.fillna({"monto": float(overall)})
+    return _quantiles(exact)(filled, "monto", {"monto_p99": 0.99}, weight="n")
 
 
 def mode_values(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -115,11 +128,12 @@ def fit_preprocessor(df: DataFrame, *, medians_path: str | None = None, exact: b
         medians = spark.createDataFrame(list(inline.items()), "objeto string, monto_mediana double")
     small = n_medians <= BROADCAST_ROWS
 
-    middle = global_median(df, medians, exact, small=small).first()
+    amounts = materialize(imputed_amounts(df, medians, small=small), "amounts")
+    middle = _overall_median(amounts, exact).first()
     if middle is None:
         raise ContractError("fitting needs at least one valid amount")
     overall = float(middle["mediana_global"])
-    cap = amount_p99(df, medians, overall, exact, small=small).first()["monto_p99"]
+    cap = _p99(amounts, overall, exact).first()["monto_p99"]
     modes = {r["campo"]: r["valor"] for r in mode_values(df, ["modalidad", "objeto"]).collect()}
     for column in ("modalidad", "objeto"):
         if column not in modes:

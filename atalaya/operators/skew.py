@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROWS_PER_SPLIT = 2_000_000
@@ -19,48 +19,75 @@ def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
     return df.limit(max_rows + 1).count() <= max_rows
 
 
+def same_key(left: Sequence[str], right: Sequence[str]) -> Column:
+    """Equality of key columns in which null equals null."""
+    return reduce(and_, [F.col(a).eqNullSafe(F.col(b)) for a, b in zip(left, right)])
+
+
+def hot_keys(
+    counts: DataFrame, on: Sequence[str], count_column: str, rows_per_split: int = ROWS_PER_SPLIT
+) -> DataFrame:
+    """Keys with more than `rows_per_split` rows and into how many parts to split them.
+
+    Which keys are split changes no result, so only the `MAX_HOT_KEYS` largest are.
+    That bounds the size of this table, and it may be broadcast.
+    """
+    splits = F.ceil(F.col(count_column) / F.lit(rows_per_split)).cast("int")
+    largest = counts.where(F.col(count_column) > rows_per_split).orderBy(F.desc(count_column), *on)
+    return largest.limit(MAX_HOT_KEYS).select(*on, splits.alias("_splits"))
+
+
+def _with_splits(df: DataFrame, on: Sequence[str], hot: DataFrame) -> DataFrame:
+    renamed = {c: f"_hot_{c}" for c in on}
+    joined = df.join(
+        F.broadcast(hot.withColumnsRenamed(renamed)), same_key(list(on), list(renamed.values())), "left"
+    )
+    return joined.drop(*renamed.values()).withColumn("_splits", F.coalesce("_splits", F.lit(1)).cast("bigint"))
+
+
+def salt_rows(facts: DataFrame, on: Sequence[str], hot: DataFrame) -> DataFrame:
+    """Adds `_salt`: which part of its key a row belongs to, by a hash of the row."""
+    spread = [c for c in facts.columns if c not in on] or list(on)
+    part = F.when(F.col("_splits") > 1, F.pmod(F.xxhash64(*spread), F.col("_splits"))).otherwise(0)
+    return _with_splits(facts, on, hot).withColumn("_salt", part.cast("bigint")).drop("_splits")
+
+
+def repeat_rows(lookup: DataFrame, on: Sequence[str], hot: DataFrame) -> DataFrame:
+    """Repeats the row of each split key once per part, with its `_salt`."""
+    parts = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_splits") - 1))
+    return _with_splits(lookup, on, hot).withColumn("_salt", parts).drop("_splits")
+
+
+def join_salted(salted: DataFrame, repeated: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join of salted facts with repeated lookup rows; the salt is dropped."""
+    keys = [*on, "_salt"]
+    renamed = {c: f"_lookup_{c}" for c in keys}
+    joined = salted.join(
+        repeated.withColumnsRenamed(renamed), same_key(keys, list(renamed.values())), how
+    )
+    return joined.drop("_salt", *renamed.values())
+
+
 def hot_split_join(
     facts: DataFrame,
     lookup: DataFrame,
     on: Sequence[str],
+    counts: DataFrame,
     count_column: str,
     how: str = "inner",
     *,
     rows_per_split: int = ROWS_PER_SPLIT,
+    total_rows: int | None = None,
 ) -> DataFrame:
-    """Join facts to a lookup that is unique on `on` and knows its rows per key.
+    """Join facts to a lookup that is unique on `on`, with frequent keys split.
 
-    `count_column` of the lookup is the number of fact rows with that key. A key
-    with more than `rows_per_split` of them is spread over several salts, and its
-    lookup row is repeated once per salt. Which keys are split changes no result,
-    so only the `MAX_HOT_KEYS` largest are; that bounds the broadcast side.
+    `counts` has the number of fact rows per key. When the facts have `total_rows` and
+    those fit one part, no key can be too frequent and the join is a plain one.
     """
     on = list(on)
-    splits = F.ceil(F.col(count_column) / F.lit(rows_per_split)).cast("int")
-    hot = (
-        lookup.where(F.col(count_column) > rows_per_split)
-        .orderBy(F.desc(count_column), *on)
-        .limit(MAX_HOT_KEYS)
-        .select(*on, splits.alias("_splits"))
-    )
-    spread = [c for c in facts.columns if c not in on] or on
-    renamed = {c: f"_lookup_{c}" for c in on}
-
-    def with_splits(df: DataFrame) -> DataFrame:
-        side = hot.withColumnsRenamed(renamed)
-        same = reduce(and_, [F.col(c).eqNullSafe(F.col(r)) for c, r in renamed.items()])
-        return df.join(F.broadcast(side), same, "left").drop(*renamed.values())
-
-    number = F.coalesce(F.col("_splits"), F.lit(1)).cast("bigint")
-    salted = with_splits(facts).withColumn(
-        "_salt", F.when(number > 1, F.pmod(F.xxhash64(*spread), number)).otherwise(0)
-    )
-    repeated = (
-        with_splits(lookup)
-        .withColumn("_lookup_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), number - 1)))
-        .drop("_splits", count_column)
-        .withColumnsRenamed(renamed)
-    )
-    same_key = [F.col(c).eqNullSafe(F.col(r)) for c, r in renamed.items()]
-    joined = salted.join(repeated, reduce(and_, [*same_key, F.col("_salt") == F.col("_lookup_salt")]), how)
-    return joined.drop("_splits", "_salt", "_lookup_salt", *renamed.values())
+    if total_rows is not None and total_rows <= rows_per_split:
+        renamed = {c: f"_lookup_{c}" for c in on}
+        joined = facts.join(lookup.withColumnsRenamed(renamed), same_key(on, list(renamed.values())), how)
+        return joined.drop(*renamed.values())
+    hot = hot_keys(counts, on, count_column, rows_per_split)
+    return join_salted(salt_rows(facts, on, hot), repeat_rows(lookup, on, hot), on, how)

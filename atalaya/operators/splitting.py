@@ -66,9 +66,9 @@ def _points(contracts: DataFrame, keys: Sequence[str], *measures) -> DataFrame:
 def window_15d(contracts: DataFrame, keys: Sequence[str] = GROUP) -> DataFrame:
     """Per contract: number and amount of its group's contracts in the next 15 days, inclusive."""
     keys = list(keys)
-    points = window_points(_points(contracts, keys, F.count(F.lit(1)).alias("_rows")), keys)
-    totals = points.select(*keys, "_ts", "_rows", "contratos_ventana_15d", "monto_ventana_15d")
-    return hot_split_join(_seconds(contracts), totals, [*keys, "_ts"], "_rows").drop("_ts")
+    points = _points(contracts, keys, F.count(F.lit(1)).alias("_rows"))
+    totals = window_points(points, keys).select(*keys, "_ts", "contratos_ventana_15d", "monto_ventana_15d")
+    return hot_split_join(_seconds(contracts), totals, [*keys, "_ts"], points, "_rows").drop("_ts")
 
 
 def _best(columns: Sequence[str]):
