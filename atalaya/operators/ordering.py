@@ -136,7 +136,7 @@ def exact_quantiles(
         F.max("n_total").alias("n_total"),
         *[at(low).alias(f"{name}__low") for name, (_, low, _) in ranks.items()],
         *[at(high).alias(f"{name}__high") for name, (_, _, high) in ranks.items()],
-    )
+    ).where(F.col("n_total").isNotNull())
     return picked.select(
         *groups,
         *[
