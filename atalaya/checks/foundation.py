@@ -529,23 +529,36 @@ define(
     FROM procedimientos""",
     "procedimientos",
 )
-_DATE, _AMOUNT, _TEXT, _CAT = (F.col(c) for c in ("fecha_contrato", "monto", "objeto", "categoria_principal"))
+def _rule_columns() -> dict:
+    """The dated rules as columns of the contracts view, by query name."""
+    date, amount, text_, category = (F.col(c) for c in ("fecha_contrato", "monto", "objeto", "categoria_principal"))
+    return {
+        "normalize_category": norms.normalize_category(category),
+        "is_works": norms.is_works(text_, category),
+        "threshold_category": norms.threshold_category(text_, category),
+        "regime": norms.regime(date),
+        "threshold": norms.threshold(date, text_, category),
+        "structured_type": norms.structured_type(category),
+        "procedure_name": norms.procedure_name(date, text_, category),
+        "procedure_by_amount": norms.procedure_by_amount(date, amount, text_, category),
+        "normative_context": norms.normative_context(date, text_, category),
+    }
 
 
-def _rule_check(name: str, column: str, expression) -> None:
+def _rule_check(name: str, column: str) -> None:
     @check(name, f"SELECT id_contrato, {column} AS valor FROM procedimientos", "procedimientos")
     def _(t: Tables) -> DataFrame:
-        return t.contracts.select("id_contrato", expression.alias("valor"))
+        return t.contracts.select("id_contrato", _rule_columns()[name].alias("valor"))
 
 
-_rule_check("normalize_category", "categoria", norms.normalize_category(_CAT))
-_rule_check("is_works", "es_obra", norms.is_works(_TEXT, _CAT))
-_rule_check("threshold_category", "categoria_umbral", norms.threshold_category(_TEXT, _CAT))
-_rule_check("regime", "regimen", norms.regime(_DATE))
-_rule_check("threshold", "umbral", norms.threshold(_DATE, _TEXT, _CAT))
-_rule_check("structured_type", "tipo", norms.structured_type(_CAT))
-_rule_check("procedure_name", "nombre", norms.procedure_name(_DATE, _TEXT, _CAT))
-_rule_check("procedure_by_amount", "procedimiento", norms.procedure_by_amount(_DATE, _AMOUNT, _TEXT, _CAT))
+_rule_check("normalize_category", "categoria")
+_rule_check("is_works", "es_obra")
+_rule_check("threshold_category", "categoria_umbral")
+_rule_check("regime", "regimen")
+_rule_check("threshold", "umbral")
+_rule_check("structured_type", "tipo")
+_rule_check("procedure_name", "nombre")
+_rule_check("procedure_by_amount", "procedimiento")
 
 
 @check("classify_modality", "SELECT id_contrato, clasificacion_modalidad FROM clasificados", "clasificados")
@@ -583,7 +596,7 @@ define("fuentes", _sources_sql())
     "procedimientos fuentes",
 )
 def _(t: Tables) -> DataFrame:
-    context = t.contracts.select("id_contrato", norms.normative_context(_DATE, _TEXT, _CAT).alias("c"))
+    context = t.contracts.select("id_contrato", _rule_columns()["normative_context"].alias("c"))
     return context.select(
         "id_contrato",
         F.col("c.anio").cast("bigint").alias("anio"),

@@ -149,13 +149,16 @@ def _(t: Tables) -> DataFrame:
 # --- versions ----------------------------------------------------------------------------------
 
 _KEY = ["id_contrato"]
-_CORRECTION = F.col("modalidad") == "Licitación Pública"
+
+
+def _corrected():
+    return F.col("modalidad") == "Licitación Pública"
 
 
 def _versions(t: Tables) -> str:
     path = new_location(t.spark, "versions")
     snapshots.snapshot_append(t.contracts.select("id_contrato", "modalidad", "monto"), path)
-    snapshots.snapshot_update(t.spark, path, _KEY, _CORRECTION, "monto", F.col("monto") * 2)
+    snapshots.snapshot_update(t.spark, path, _KEY, _corrected(), "monto", F.col("monto") * 2)
     return path
 
 
@@ -219,7 +222,7 @@ def _(t: Tables) -> DataFrame:
     missing = F.col("modalidad").isNull()
     before = t.contracts.where(missing | (F.col("modalidad") != "Comparación de Precios"))
     after = t.contracts.where(missing | (F.col("modalidad") != "Adjudicación Simplificada")).withColumn(
-        "monto", F.when(_CORRECTION, F.col("monto") + 1).otherwise(F.col("monto"))
+        "monto", F.when(_corrected(), F.col("monto") + 1).otherwise(F.col("monto"))
     )
     return snapshots.change_feed(before.select("id_contrato", "monto"), after.select("id_contrato", "monto"), _KEY, 1)
 

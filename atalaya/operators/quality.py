@@ -252,7 +252,7 @@ def require_publishable(
 
     flags = {f"nulo:{k}": F.col(k).isNull() for k in key}
     flags |= {f"rango:{c}": outside(c) for c in unit_columns}
-    flags |= {f"negativo:{c}": F.col(c) < 0 for c in non_negative}
+    flags |= {f"negativo:{c}": F.col(c).cast("double") < 0 for c in non_negative}
     counts = key_metrics(df, key, flags).first().asDict()
     found = {k: v for k, v in counts.items() if ":" in k and v}
     if counts["claves_duplicadas"]:
