@@ -541,6 +541,7 @@ def _rule_columns() -> dict:
         "structured_type": norms.structured_type(category),
         "procedure_name": norms.procedure_name(date, text_, category),
         "procedure_by_amount": norms.procedure_by_amount(date, amount, text_, category),
+        "classify_modality_expression": norms.classify_modality(date, amount, F.col("modalidad"), text_, category),
         "normative_context": norms.normative_context(date, text_, category),
     }
 
@@ -563,7 +564,16 @@ _rule_check("procedure_by_amount", "procedimiento")
 
 @check("classify_modality", "SELECT id_contrato, clasificacion_modalidad FROM clasificados", "clasificados")
 def _(t: Tables) -> DataFrame:
-    return payments.with_modality_class(t.contracts).select("id_contrato", "clasificacion_modalidad")
+    return norms.with_modality_class(t.contracts).select("id_contrato", "clasificacion_modalidad")
+
+
+@check(
+    "classify_modality_expression",
+    "SELECT id_contrato, clasificacion_modalidad AS valor FROM clasificados",
+    "clasificados",
+)
+def _(t: Tables) -> DataFrame:
+    return t.contracts.select("id_contrato", _rule_columns()["classify_modality_expression"].alias("valor"))
 
 
 @check(
@@ -738,7 +748,7 @@ def _(t: Tables) -> DataFrame:
 )
 def _(t: Tables) -> DataFrame:
     return explore.value_counts(
-        payments.with_modality_class(t.contracts),
+        norms.with_modality_class(t.contracts),
         ["regimen", "clasificacion_modalidad", "modalidad", "id_entidad", "categoria_principal"],
     )
 

@@ -5,6 +5,10 @@ Outputs are references that order cases for review. They are not legal findings.
 
 from __future__ import annotations
 
+import unicodedata
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -167,58 +171,101 @@ def threshold_join(contracts: DataFrame) -> DataFrame:
     return keyed.join(F.broadcast(table), ["anio", "categoria_umbral"], "left")
 
 
-def procedure_name(date: Column, text: Column, category: Column) -> Column:
-    """Procedure expected below the threshold."""
-    kind = structured_type(category)
+def _name_below(rules: Column, works: Column, kind: Column) -> Column:
     return (
-        F.when(regime(date) == OLD_REGIME, F.lit(SIMPLIFIED))
-        .when(is_works(text, category) | (kind == "goods"), F.lit(SHORT_TENDER))
+        F.when(rules == OLD_REGIME, F.lit(SIMPLIFIED))
+        .when(works | (kind == "goods"), F.lit(SHORT_TENDER))
         .when(kind == "services", F.lit(SHORT_CONTEST))
         .otherwise(F.lit(SHORT_EITHER))
     )
 
 
-def procedure_by_amount(date: Column, amount: Column, text: Column, category: Column) -> Column:
-    """Procedure expected for an amount on either side of the threshold; null without amount."""
-    kind = structured_type(category)
-    above = (
+def _name_above(works: Column, kind: Column) -> Column:
+    return (
         F.when(kind == "services", F.lit(CONTEST))
-        .when(kind.isin("goods", "works") | is_works(text, category), F.lit(TENDER))
+        .when(works | kind.isin("goods", "works"), F.lit(TENDER))
         .otherwise(F.lit(EITHER))
     )
-    below = amount.cast("double") < threshold(date, text, category)
-    return F.when(amount.isNotNull(), F.when(below, procedure_name(date, text, category)).otherwise(above))
 
 
-def classify_modality(
-    date: Column, amount: Column, modality: Column, text: Column, category: Column
-) -> Column:
-    """Observed modality against the reference procedure: one of five classes."""
-    observed = strip_accents(modality)
-    expected = procedure_by_amount(date, amount, text, category)
-    # Columns of the combined names accept either alternative.
-    either = {SHORT_EITHER: [SHORT_TENDER, SHORT_CONTEST], EITHER: [TENDER, CONTEST]}
-    accepted = observed == strip_accents(expected)
-    for combined, names in either.items():
-        accepted = accepted | (
-            (expected == combined) & observed.isin(*[_plain(name) for name in names])
-        )
+def _expected(amount: Column, limit: Column, below: Column, above: Column) -> Column:
+    return F.when(amount.isNotNull(), F.when(amount.cast("double") < limit, below).otherwise(above))
+
+
+def _accepts(expected: Column, observed: Column) -> Column:
+    """Whether a plain observed name fits the expected one; combined names fit either part."""
+    names = [SIMPLIFIED, SHORT_TENDER, SHORT_CONTEST, SHORT_EITHER, TENDER, CONTEST, EITHER]
+    parts = {SHORT_EITHER: [SHORT_TENDER, SHORT_CONTEST], EITHER: [TENDER, CONTEST]}
+    fits = [
+        (expected == name) & observed.isin(*[_plain(n) for n in [name, *parts.get(name, [])]]) for name in names
+    ]
+    return reduce(or_, fits)
+
+
+def _modality_class(modality: Column, observed: Column, expected: Column) -> Column:
     return (
         F.when(F.coalesce(F.trim(modality.cast("string")), F.lit("")) == "", F.lit(NO_INFORMATION))
         .when(observed.rlike("|".join(SPECIAL_MODALITIES)), F.lit(SPECIAL))
         .when(expected.isNull(), F.lit(NO_AMOUNT))
-        .when(accepted, F.lit(COMPATIBLE))
+        .when(_accepts(expected, observed), F.lit(COMPATIBLE))
         .otherwise(F.lit(NEEDS_REVIEW))
     )
 
 
 def _plain(name: str) -> str:
-    import unicodedata
-
+    """Lower-case name without accents, for names that are fixed values."""
     decomposed = unicodedata.normalize("NFKD", name.strip().lower())
     return "".join(c for c in decomposed if not unicodedata.combining(c))
 
 
+def procedure_name(date: Column, text: Column, category: Column) -> Column:
+    """Procedure expected below the threshold."""
+    return _name_below(regime(date), is_works(text, category), structured_type(category))
+
+
+def procedure_by_amount(date: Column, amount: Column, text: Column, category: Column) -> Column:
+    """Procedure expected for an amount on either side of the threshold; null without amount."""
+    above = _name_above(is_works(text, category), structured_type(category))
+    return _expected(amount, threshold(date, text, category), procedure_name(date, text, category), above)
+
+
+def classify_modality(
+    date: Column, amount: Column, modality: Column, text: Column, category: Column
+) -> Column:
+    """Observed modality against the reference procedure: one of five classes."""
+    expected = procedure_by_amount(date, amount, text, category)
+    return _modality_class(modality, strip_accents(modality), expected)
+
+
+def with_modality_class(contracts: DataFrame) -> DataFrame:
+    """Contracts with regime, class of the observed modality and reference procedure.
+
+    The same rules as `classify_modality`, in steps, so that each part is computed once
+    per row.
+    """
+    date, amount, modality, text, category = (
+        F.col(c) for c in ("fecha_contrato", "monto", "modalidad", "objeto", "categoria_principal")
+    )
+    parts = contracts.withColumns(
+        {
+            "regimen": regime(date),
+            "_works": is_works(text, category),
+            "_kind": structured_type(category),
+            "_limit": threshold(date, text, category),
+            "_observed": strip_accents(modality),
+        }
+    )
+    below = _name_below(F.col("regimen"), F.col("_works"), F.col("_kind"))
+    above = _name_above(F.col("_works"), F.col("_kind"))
+    expected = parts.withColumn(
+        "procedimiento_referencial_cuantia", _expected(amount, F.col("_limit"), below, above)
+    )
+    return expected.withColumn(
+        "clasificacion_modalidad",
+        _modality_class(modality, F.col("_observed"), F.col("procedimiento_referencial_cuantia")),
+    ).drop("_works", "_kind", "_limit", "_observed")
+
+
 def normative_context(date: Column, text: Column, category: Column) -> Column:
     """Struct with the rules that apply to a row and the sources of its year."""
     no_sources = F.create_map().cast("map<string,string>")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from atalaya.operators.opendata import dedupe_first
 from atalaya.operators.skew import hot_keys, hot_split_join, join_salted, repeat_rows, salt_rows
-from atalaya.runtime import materialize
+from atalaya.runtime import discard, materialize
 
 SUPPLIER, OFFICIAL = "proveedor", "funcionario"
 RESET, ITERATIONS = 0.15, 10
@@ -74,13 +74,14 @@ def pagerank(
     source with very many edges is split over several tasks.
     """
     arcs = edges.where(F.col("src").isNotNull() & F.col("dst").isNotNull()).select("src", "dst").distinct()
-    arcs = materialize(arcs, "arcs")
-    degree = arcs.groupBy("src").agg(F.count(F.lit(1)).alias("_degree"))
+    plain_arcs = materialize(arcs, "arcs")
+    degree = plain_arcs.groupBy("src").agg(F.count(F.lit(1)).alias("_degree"))
     # Degrees never change, so arcs are split once and for all rounds.
     hot = materialize(hot_keys(degree, ["src"], "_degree"), "hot")
-    arcs = materialize(salt_rows(arcs, ["src"], hot), "arcs")
+    arcs = materialize(salt_rows(plain_arcs, ["src"], hot), "arcs")
     state = vertices.select("id").distinct().join(degree.withColumnRenamed("src", "id"), "id", "left")
-    state = materialize(state.withColumn("rank", F.lit(1.0)), "ranks")
+    state = written = materialize(state.withColumn("rank", F.lit(1.0)), "ranks")
+    discard(plain_arcs)
     for step in range(1, iterations + 1):
         senders = state.where(F.col("_degree").isNotNull()).select(
             F.col("id").alias("src"), (F.col("rank") / F.col("_degree")).alias("_share")
@@ -95,6 +96,10 @@ def pagerank(
         )
         if step % _CUT_EVERY == 0 or step == iterations:
             state = materialize(state, "ranks")
+            discard(written)
+            written = state
+    discard(arcs)
+    discard(hot)
     totals = state.agg(F.sum("rank").alias("r"), F.count(F.lit(1)).alias("n")).first()
     scale = totals["n"] / totals["r"] if totals["r"] else 1.0
     return vertices.join(state.select("id", (F.col("rank") * F.lit(scale)).alias("pagerank")), "id")
@@ -121,7 +126,8 @@ def connected_components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     before = None
     while True:
         rows = links.count()
-        links = materialize(_small_star(_large_star(links, rows), rows), "links")
+        older, links = links, materialize(_small_star(_large_star(links, rows), rows), "links")
+        discard(older)
         # The sum of hashes of all links tells whether a round changed any of them.
         seen = links.agg(
             F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from atalaya.runtime import materialize
 
 BUCKETS_PER_E_FOLD = 1000
-HASH_PREFIX = 3  # hexadecimal digits of an md5: 4096 even buckets
+HASH_PREFIX = 4  # hexadecimal digits of an md5: 65,536 even slices
 _ROW_BITS = 33  # low bits of monotonically_increasing_id that count rows
 
 
@@ -27,6 +27,7 @@ def value_bucket(value: Column) -> Column:
     """Coarse bucket that grows with `value`; about 0.1 percent of the value wide.
 
     A double has at most 1.4 million of them, so a histogram per group is bounded.
+    Distinct values of one bucket are ordered together; equal values were counted before.
     """
     size = F.floor(F.log1p(F.abs(value)) * BUCKETS_PER_E_FOLD)
     return F.when(value < 0, -size).otherwise(size)

@@ -77,7 +77,16 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     location = new_location(spark, label)
     df.write.mode("errorifexists").parquet(location)
-    return spark.read.schema(df.schema).parquet(location)
+    kept = spark.read.schema(df.schema).parquet(location)
+    kept._kept_at = location
+    return kept
+
+
+def discard(kept: DataFrame) -> None:
+    """Delete the table behind a materialized frame that nothing reads any more."""
+    spark, location = kept.sparkSession, kept._kept_at
+    path = spark._jvm.org.apache.hadoop.fs.Path(location)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def in_parallel(spark: SparkSession, tasks: Sequence[Callable[[], object]], parallelism: int = 4) -> list:

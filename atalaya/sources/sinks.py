@@ -109,12 +109,12 @@ def sink_csv_domains(datasets: dict[str, DataFrame], summary: dict, folder: str)
 def sink_partitioned(contracts: DataFrame, path: str) -> DataFrame:
     """Rewrite the fact table partitioned by year and month; returns the table as read back.
 
-    Rows of a month are spread over a few tasks by hash, so that neither one task
-    writes a large month nor every task writes a file into every month.
+    Rows are rebalanced by month first: large months are split over several tasks by
+    size and small ones share a task, so a month gets few files and no task is large.
     """
-    spread = F.pmod(F.xxhash64("id_contrato"), F.lit(8))
     with_month = contracts.withColumn("anio_mes", year_month(F.col("fecha_contrato")))
-    with_month.repartition("anio_mes", spread).write.mode("overwrite").partitionBy("anio_mes").parquet(path)
+    balanced = with_month.hint("rebalance", F.col("anio_mes"))
+    balanced.write.mode("overwrite").partitionBy("anio_mes").parquet(path)
     return contracts.sparkSession.read.parquet(path).withColumn("anio_mes", F.col("anio_mes").cast("string"))
 
 

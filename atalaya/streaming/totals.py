@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from atalaya.sources.sinks import list_names, path_exists
+from atalaya.sources.sinks import delete, list_names, path_exists
 
 # --- fixed values: layout of an arriving file ---------------------------------
 STREAM_SCHEMA = T.StructType(
@@ -41,11 +41,15 @@ def stream_entity_totals(
     """Keep a Parquet table of all totals up to date.
 
     Every micro-batch writes the complete result to a folder of its own number, so a
-    repeated batch replaces itself and readers never see half of one.
+    repeated batch replaces itself and readers never see half of one. The two latest
+    batches are kept.
     """
 
     def store(totals: DataFrame, batch: int) -> None:
         totals.write.mode("overwrite").parquet(f"{output}/batch={batch:010d}")
+        outdated = f"{output}/batch={batch - 2:010d}"
+        if batch >= 2 and path_exists(totals.sparkSession, outdated):
+            delete(totals.sparkSession, outdated)
 
     writer = (
         entity_running_totals(stream)

@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 from atalaya.errors import GateError
 from atalaya.functions import norms, text
 from atalaya.functions.amounts import cap_amount, cast_boolean, payment_ratio_status
-from atalaya.operators.payments import with_modality_class
 
 
 def value(spark, expression):
@@ -119,7 +118,7 @@ def test_category_goes_before_text(spark):
     ],
 )
 def test_procedures(contracts, row, procedure):
-    assert with_modality_class(contracts([row])).first()["procedimiento_referencial_cuantia"] == procedure
+    assert norms.with_modality_class(contracts([row])).first()["procedimiento_referencial_cuantia"] == procedure
 
 
 @pytest.mark.parametrize(
@@ -136,7 +135,7 @@ def test_procedures(contracts, row, procedure):
     ],
 )
 def test_modality_classes(contracts, row, kind):
-    found = with_modality_class(contracts([{"fecha_contrato": "2026-03-01", **row}])).first()
+    found = norms.with_modality_class(contracts([{"fecha_contrato": "2026-03-01", **row}])).first()
     assert found["clasificacion_modalidad"] == kind
 
 
