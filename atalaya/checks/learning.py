@@ -17,7 +17,7 @@ from atalaya.plans.evaluate import eval_favoritism, eval_splitting
 from atalaya.plans.monitor import monitor_batch
 from atalaya.plans.score import score_contracts
 from atalaya.plans.train import train_candidate
-from atalaya.runtime import new_location
+from atalaya.runtime import materialize, new_location
 
 JOINT = evaluation.KEY_JOINT
 
@@ -269,7 +269,8 @@ def _(t: Tables) -> DataFrame:
 
 @check("choose_contamination")
 def _(t: Tables) -> DataFrame:
-    rows = _by_amount(t).select(*splitting.GROUP, "label", F.col("score_anomalia").alias("score")).cache()
+    rows = _by_amount(t).select(*splitting.GROUP, "label", F.col("score_anomalia").alias("score"))
+    rows = materialize(rows, "groups")
     return isolation.choose_contamination([evaluation.validation_split(rows, seed)[1] for seed in models.VALIDATION_SEEDS])
 
 
@@ -283,64 +284,64 @@ def _(t: Tables) -> DataFrame:
 
 @check("rf_train")
 def _(t: Tables) -> DataFrame:
-    rows = pairs(t).cache()
+    rows = materialize(pairs(t), "pairs")
     model = models.rf_train(rows, 100, 3)
     return models.score_pairs(rows, model).select(*favoritism.PAIR, "label", "score_riesgo_favoritismo")
 
 
 @check("rf_importances")
 def _(t: Tables) -> DataFrame:
-    return models.rf_importances(t.spark, models.rf_train(pairs(t).cache(), 100, 3))
+    return models.rf_importances(t.spark, models.rf_train(materialize(pairs(t), "pairs"), 100, 3))
 
 
 @check("rf_tune")
 def _(t: Tables) -> DataFrame:
-    return models.rf_tune(pairs(t))[1]
+    return models.rf_tune(materialize(pairs(t), "pairs"))[1]
 
 
 @check("compare_classifiers")
 def _(t: Tables) -> DataFrame:
-    return models.compare_classifiers(pairs(t).cache(), models.BENCH_FOLDS)
+    return models.compare_classifiers(materialize(pairs(t), "pairs"), models.BENCH_FOLDS)
 
 
 @check("rank_favoritism")
 def _(t: Tables) -> DataFrame:
-    rows = pairs(t).cache()
+    rows = materialize(pairs(t), "pairs")
     return favoritism.rank_favoritism(models.score_pairs(rows, models.rf_train(rows, 100, 3)))
 
 
 @check("kmeans_train")
 def _(t: Tables) -> DataFrame:
-    model, _scaler = models.kmeans_train(groups(t).cache(), 3)
+    model, _scaler = models.kmeans_train(materialize(groups(t), "groups"), 3)
     rows = [(i, *[float(x) for x in center]) for i, center in enumerate(model.clusterCenters())]
     return t.spark.createDataFrame(rows, "cluster int, " + ", ".join(f"{c} double" for c in splitting.GROUP_FEATURES))
 
 
 @check("kmeans_tune")
 def _(t: Tables) -> DataFrame:
-    return models.kmeans_tune(groups(t).cache())
+    return models.kmeans_tune(materialize(groups(t), "groups"))
 
 
 @check("score_groups")
 def _(t: Tables) -> DataFrame:
-    rows = splitting.interpretable_signal(groups(t)).cache()
+    rows = materialize(splitting.interpretable_signal(groups(t)), "groups")
     return models.score_groups(rows, *models.kmeans_train(rows, 3))
 
 
 @check("rank_splitting")
 def _(t: Tables) -> DataFrame:
-    rows = splitting.interpretable_signal(groups(t)).cache()
+    rows = materialize(splitting.interpretable_signal(groups(t)), "groups")
     return splitting.rank_splitting(models.score_groups(rows, *models.kmeans_train(rows, 3)))
 
 
 @check("isolation_forest")
 def _(t: Tables) -> DataFrame:
-    return isolation.isolation_forest(favoritism.fav_features_real(t.contracts).cache())
+    return isolation.isolation_forest(materialize(favoritism.fav_features_real(t.contracts), "pairs"))
 
 
 @check("ranking_param_grid")
 def _(t: Tables) -> DataFrame:
-    return isolation.ranking_param_grid(groups(t).cache())
+    return isolation.ranking_param_grid(materialize(groups(t), "groups"))
 
 
 def _table(t: Tables, report: dict) -> DataFrame:

@@ -106,12 +106,25 @@ def tokens_filtered(text: Column) -> Column:
     return F.filter(F.transform(kept, _canonical_word), lambda w: ~w.isin(*STOP_WORDS))
 
 
+def _preferred_words(words: Column) -> Column:
+    """Distinct words with variants replaced, by set operations that stay in generated code."""
+    variants: dict[str, list[str]] = {}
+    for variant, preferred in SYNONYMS.items():
+        variants.setdefault(preferred, []).append(variant)
+    none = F.array().cast("array<string>")
+    found = [
+        F.when(F.arrays_overlap(words, _word_list(listed)), F.array(F.lit(preferred))).otherwise(none)
+        for preferred, listed in variants.items()
+    ]
+    return F.array_union(F.array_except(words, _word_list(list(SYNONYMS))), F.concat(*found))
+
+
 def object_family(text: Column, category: Column | None = None) -> Column:
     """Signature of an object text: category and its sorted distinct meaningful words."""
     drop = _word_list(["", *STOP_WORDS])
     words = F.array_except(F.split(normalize_text(text), " "), drop)
-    words = F.array_except(F.transform(words, _canonical_word), drop)
-    signature = F.nullif(F.array_join(F.array_sort(words), "|"), F.lit(""))
+    words = F.sort_array(F.array_except(_preferred_words(words), drop))
+    signature = F.nullif(F.array_join(words, "|"), F.lit(""))
     group = F.lit(None).cast("string") if category is None else F.nullif(normalize_text(category), F.lit(""))
     return F.concat(
         F.coalesce(group, F.lit(NO_CATEGORY)), F.lit("::"), F.coalesce(signature, F.lit(NO_OBJECT))

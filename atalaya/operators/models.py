@@ -24,7 +24,7 @@ from atalaya.operators.contract import count_flag
 from atalaya.operators.evaluation import group_id, holdout_metrics, stratified_folds, validation_split
 from atalaya.operators.favoritism import PAIR, PAIR_FEATURES
 from atalaya.operators.splitting import GROUP, GROUP_FEATURES
-from atalaya.runtime import in_parallel
+from atalaya.runtime import discard, in_parallel, materialize
 
 # --- fixed values -----------------------------------------------------------
 SEED = 42
@@ -90,9 +90,11 @@ def rf_tune(
 ) -> tuple[RandomForestClassificationModel, DataFrame]:
     """Cross-validation on AUC-PR with precomputed folds; best model and all settings."""
     folds = fold_number(features, folds)
-    rows = stratified_folds(class_weights(features), folds)
-    # The same rows are fitted once per setting and fold.
-    rows = assemble(rows, PAIR_FEATURES).select("features", "label", "peso", "fold").cache()
+    # Written once: the same rows are fitted for every setting and fold.
+    kept = materialize(
+        stratified_folds(class_weights(features), folds).select(*PAIR_FEATURES, "label", "peso", "fold"), "folds"
+    )
+    rows = assemble(kept, PAIR_FEATURES).select("features", "label", "peso", "fold")
     try:
         forest = _forest()
         settings = ParamGridBuilder()
@@ -109,7 +111,7 @@ def rf_tune(
             parallelism=parallelism,
         ).fit(rows)
     finally:
-        rows.unpersist()
+        discard(kept)
     tried = [
         (*[int(setting[getattr(forest, name)]) for name in grid], float(score))
         for setting, score in zip(settings, search.avgMetrics)
@@ -138,9 +140,9 @@ def compare_classifiers(features: DataFrame, folds: int = MAX_FOLDS) -> DataFram
     """Logistic regression, forest and boosting, scored out of fold on seven metrics."""
     spark = features.sparkSession
     folds = fold_number(features, folds)
-    rows = stratified_folds(class_weights(features), folds)
-    rows = assemble(rows, PAIR_FEATURES).withColumn("id", group_id(PAIR))
-    rows = rows.select("id", "features", "label", "peso", "fold").cache()
+    dealt = stratified_folds(class_weights(features), folds).withColumn("id", group_id(PAIR))
+    kept = materialize(dealt.select("id", *PAIR_FEATURES, "label", "peso", "fold"), "folds")
+    rows = assemble(kept, PAIR_FEATURES).select("id", "features", "label", "peso", "fold")
     columns = {"featuresCol": "features", "labelCol": "label", "weightCol": "peso"}
     models = {
         "regresion_logistica": LogisticRegression(**columns),
@@ -162,7 +164,7 @@ def compare_classifiers(features: DataFrame, folds: int = MAX_FOLDS) -> DataFram
             metrics = holdout_metrics(scored)
             results.append((name, *[float(metrics[m]) for m in METRICS]))
     finally:
-        rows.unpersist()
+        discard(kept)
     schema = ", ".join(["modelo string", *[f"{m} double" for m in METRICS]])
     return spark.createDataFrame(results, schema).orderBy(F.desc("auc_pr"), F.desc("f1"), F.desc("auc_roc"), "modelo")
 
@@ -210,14 +212,14 @@ def kmeans_tune(
     """Every k over repeated validation splits; best mean AUC-PR, then recall@k, then smallest k."""
     found: dict[int, list[dict]] = {int(k): [] for k in k_values}
     for seed in seeds:
-        fit_rows, check_rows = (part.cache() for part in validation_split(groups, seed))
+        fit_rows, check_rows = (materialize(part, "validation") for part in validation_split(groups, seed))
         try:
             tasks = [lambda k=k: _cluster_metrics(fit_rows, check_rows, k) for k in found]
             for k, metrics in zip(found, in_parallel(groups.sparkSession, tasks)):
                 found[k].append(metrics)
         finally:
-            fit_rows.unpersist()
-            check_rows.unpersist()
+            discard(fit_rows)
+            discard(check_rows)
     rows = []
     for k, metrics in found.items():
         areas = [m["auc_pr"] for m in metrics]

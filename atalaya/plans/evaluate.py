@@ -34,7 +34,7 @@ from atalaya.operators.models import (
 )
 from atalaya.operators.preprocessing import apply_preprocessor, fit_preprocessor
 from atalaya.operators.splitting import GROUP, GROUP_FEATURES, frac_features, with_family
-from atalaya.runtime import new_location
+from atalaya.runtime import discard, materialize, new_location
 
 MODEL_AMOUNT = "monto_capped"
 
@@ -60,8 +60,8 @@ def eval_favoritism(
     require_both_labels(assigned)
     development, holdout = split_assignment_join(contracts, assigned, PAIR)
     fit_rows, check_rows, state = _prepared(development, holdout)
-    fit_pairs = fav_features(fit_rows, label="label_favoritismo", amount=MODEL_AMOUNT).cache()
-    check_pairs = fav_features(check_rows, label="label_favoritismo", amount=MODEL_AMOUNT).cache()
+    fit_pairs = materialize(fav_features(fit_rows, label="label_favoritismo", amount=MODEL_AMOUNT), "features")
+    check_pairs = materialize(fav_features(check_rows, label="label_favoritismo", amount=MODEL_AMOUNT), "features")
     try:
         best, tried = rf_tune(fit_pairs, grid, folds)
         trees, depth = int(best.getNumTrees), int(best.getMaxDepth())
@@ -75,8 +75,8 @@ def eval_favoritism(
         settings = [r.asDict() for r in tried.collect()]
         importances = {r["variable"]: r["importancia"] for r in rf_importances(contracts.sparkSession, model).collect()}
     finally:
-        fit_pairs.unpersist()
-        check_pairs.unpersist()
+        discard(fit_pairs)
+        discard(check_pairs)
     return {
         "algorithm": "RandomForestClassificationModel",
         "amount_source": MODEL_AMOUNT,
@@ -106,8 +106,8 @@ def eval_splitting(
     fit_rows, check_rows, state = _prepared(
         development.drop("objeto_familia"), holdout.drop("objeto_familia")
     )
-    fit_groups = frac_features(fit_rows, label="label_fraccionamiento").cache()
-    check_groups = frac_features(check_rows, label="label_fraccionamiento").cache()
+    fit_groups = materialize(frac_features(fit_rows, label="label_fraccionamiento"), "features")
+    check_groups = materialize(frac_features(check_rows, label="label_fraccionamiento"), "features")
     try:
         counts = {"desarrollo": label_counts(fit_groups), "holdout": label_counts(check_groups)}
         if not all(all(pair) for pair in counts.values()):
@@ -120,8 +120,8 @@ def eval_splitting(
         )
         metrics = holdout_metrics(scored, by_rank=True)
     finally:
-        fit_groups.unpersist()
-        check_groups.unpersist()
+        discard(fit_groups)
+        discard(check_groups)
     return {
         "algorithm": "StandardScalerModel + KMeansModel + centroid distance",
         "features": GROUP_FEATURES,
