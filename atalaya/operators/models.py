@@ -24,7 +24,7 @@ from atalaya.operators.contract import count_flag
 from atalaya.operators.evaluation import group_id, holdout_metrics, stratified_folds, validation_split
 from atalaya.operators.favoritism import PAIR, PAIR_FEATURES
 from atalaya.operators.splitting import GROUP, GROUP_FEATURES
-from atalaya.runtime import discard, in_parallel, materialize
+from atalaya.runtime import discard, in_parallel, materialize, spread
 
 # --- fixed values -----------------------------------------------------------
 SEED = 42
@@ -71,7 +71,7 @@ def _forest(**params) -> RandomForestClassifier:
 
 def rf_train(features: DataFrame, trees: int, depth: int) -> RandomForestClassificationModel:
     """Weighted random forest on the pair features in their fixed order."""
-    rows = assemble(class_weights(features), PAIR_FEATURES)
+    rows = spread(assemble(class_weights(features), PAIR_FEATURES).select("features", "label", "peso"))
     return _forest(numTrees=int(trees), maxDepth=int(depth)).fit(rows)
 
 
@@ -86,7 +86,7 @@ def rf_tune(
     features: DataFrame,
     grid: dict[str, list[int]] = BENCH_GRID,
     folds: int = BENCH_FOLDS,
-    parallelism: int = 2,
+    parallelism: int = 4,
 ) -> tuple[RandomForestClassificationModel, DataFrame]:
     """Cross-validation on AUC-PR with precomputed folds; best model and all settings."""
     folds = fold_number(features, folds)
@@ -94,7 +94,7 @@ def rf_tune(
     kept = materialize(
         stratified_folds(class_weights(features), folds).select(*PAIR_FEATURES, "label", "peso", "fold"), "folds"
     )
-    rows = assemble(kept, PAIR_FEATURES).select("features", "label", "peso", "fold")
+    rows = spread(assemble(kept, PAIR_FEATURES).select("features", "label", "peso", "fold"))
     try:
         forest = _forest()
         settings = ParamGridBuilder()
@@ -142,7 +142,7 @@ def compare_classifiers(features: DataFrame, folds: int = MAX_FOLDS) -> DataFram
     folds = fold_number(features, folds)
     dealt = stratified_folds(class_weights(features), folds).withColumn("id", group_id(PAIR))
     kept = materialize(dealt.select("id", *PAIR_FEATURES, "label", "peso", "fold"), "folds")
-    rows = assemble(kept, PAIR_FEATURES).select("id", "features", "label", "peso", "fold")
+    rows = spread(assemble(kept, PAIR_FEATURES).select("id", "features", "label", "peso", "fold"))
     columns = {"featuresCol": "features", "labelCol": "label", "weightCol": "peso"}
     models = {
         "regresion_logistica": LogisticRegression(**columns),
@@ -174,7 +174,7 @@ def compare_classifiers(features: DataFrame, folds: int = MAX_FOLDS) -> DataFram
 
 def kmeans_train(groups: DataFrame, k: int, seed: int = SEED) -> tuple[KMeansModel, StandardScalerModel]:
     """Scaler with mean and deviation, then k-means; labels are never used."""
-    raw = assemble(groups, GROUP_FEATURES, "features_raw")
+    raw = spread(assemble(groups, GROUP_FEATURES, "features_raw").select("features_raw"))
     scaler = StandardScaler(inputCol="features_raw", outputCol="features", withMean=True, withStd=True).fit(raw)
     clusters = KMeans(featuresCol="features", predictionCol="cluster", k=int(k), seed=seed)
     return clusters.fit(scaler.transform(raw)), scaler

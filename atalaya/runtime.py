@@ -82,6 +82,15 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return kept
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """At least one partition per core, for a small table that is about to be fitted on.
+
+    A table that already has as many partitions is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def discard(kept: DataFrame) -> None:
     """Delete the table behind a materialized frame that nothing reads any more."""
     spark, location = kept.sparkSession, kept._kept_at
