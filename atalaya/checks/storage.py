@@ -195,8 +195,8 @@ def _(t: Tables) -> DataFrame:
 
 @check(
     "snapshot_history",
-    """SELECT 0 AS version, 'WRITE' AS operacion, count(*) AS filas FROM contracts UNION ALL
-       SELECT 1, 'UPDATE', count(*) FILTER (WHERE modalidad = 'Licitación Pública') FROM contracts""",
+    """SELECT CAST(0 AS BIGINT) AS version, 'WRITE' AS operacion, count(*) AS filas FROM contracts UNION ALL
+       SELECT CAST(1 AS BIGINT), 'UPDATE', count(*) FILTER (WHERE modalidad = 'Licitación Pública') FROM contracts""",
     "contracts",
 )
 def _(t: Tables) -> DataFrame:
@@ -212,7 +212,7 @@ def _(t: Tables) -> DataFrame:
     d AS (SELECT coalesce(a.id_contrato, b.id_contrato) AS id_contrato, a.monto AS x, b.monto AS y,
       a.id_contrato IS NULL AS nuevo, b.id_contrato IS NULL AS borrado
       FROM antes a FULL JOIN despues b ON a.id_contrato = b.id_contrato)
-    SELECT id_contrato, y AS monto, 'insert' AS _change_type, 1 AS _commit_version FROM d WHERE nuevo
+    SELECT id_contrato, y AS monto, 'insert' AS _change_type, CAST(1 AS BIGINT) AS _commit_version FROM d WHERE nuevo
     UNION ALL SELECT id_contrato, x, 'delete', 1 FROM d WHERE borrado
     UNION ALL SELECT id_contrato, x, 'update_preimage', 1 FROM d WHERE NOT nuevo AND NOT borrado AND x IS DISTINCT FROM y
     UNION ALL SELECT id_contrato, y, 'update_postimage', 1 FROM d WHERE NOT nuevo AND NOT borrado AND x IS DISTINCT FROM y""",
