@@ -7,7 +7,8 @@ from atalaya.checks.proxies import Tables
 from atalaya.errors import GateError
 from atalaya.operators.contract import LABELS
 from atalaya.operators.fingerprint import fingerprint
-from atalaya.plans.evaluate import eval_favoritism
+from atalaya.plans.benchmark import benchmark_config
+from atalaya.plans.evaluate import eval_favoritism, eval_splitting
 from atalaya.plans.monitor import monitor_batch, retrain
 from atalaya.plans.score import GROUP_RANKING, PAIR_RANKING, run_inference, score_contracts
 from atalaya.plans.train import MANIFEST, train_candidate
@@ -93,3 +94,14 @@ def test_evaluation_reserves_the_holdout(tables):
     assert report["n_desarrollo"] + report["n_holdout"] == 250
     assert report["preprocessor_fit_scope"] == "development_only"
     assert all(0 <= v <= 1 for v in report["metricas_holdout_final"].values())
+
+
+def test_splitting_evaluation(tables):
+    report = eval_splitting(tables.training, [2], [11])
+    assert report["mejor_configuracion"]["k"] == 2 and not report["labels_used_for_fit"]
+    assert all(0 <= v <= 1 for v in report["metricas_holdout_final"].values())
+
+
+def test_benchmark_measures_every_stage(spark, tables):
+    measured = {(r["etapa"], r["medida"]): r["valor"] for r in benchmark_config(spark, config(spark, tables.contracts), 1).collect()}
+    assert measured[("integracion", "filas")] == 6000 and measured[("features", "filas_por_segundo")] > 0

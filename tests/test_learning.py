@@ -148,3 +148,33 @@ def test_training_refuses_evidence_of_another_corpus():
     for evidence in (None, {**good, "training_data_fingerprint_sha256": "y"}, {**good, "mejor_configuracion": {}}):
         with pytest.raises(GateError):
             train.require_evidence(evidence, "x", ["k"], "n")
+
+
+def group_rows(spark, n=90):
+    rng = random.Random(6)
+    rows = []
+    for i in range(n):
+        label = int(i % 9 == 0)
+        values = [rng.gauss(0, 1) + (9 if label else 0) for _ in models.GROUP_FEATURES]
+        rows.append((f"P{i}", "E1", "f", *values, label))
+    columns = ", ".join(f"{c} double" for c in models.GROUP_FEATURES)
+    return spark.createDataFrame(rows, f"id_proveedor string, id_entidad string, objeto_familia string, {columns}, label int")
+
+
+def test_cluster_tuning_reports_each_k(spark):
+    found = models.kmeans_tune(group_rows(spark), [2, 3], [11]).collect()
+    areas = [r["auc_pr_validacion_medio"] for r in found]
+    assert sorted(r["k"] for r in found) == [2, 3] and areas == sorted(areas, reverse=True)
+    assert all(0 <= r["recall_at_k_validacion_medio"] <= 1 for r in found)
+
+
+def test_isolation_grid_ranks_outliers(spark):
+    found = isolation.ranking_param_grid(group_rows(spark), {"arboles": [20], "proporcion": [0.1, 0.2]}, [11]).collect()
+    assert {r["proporcion"] for r in found} == {0.1, 0.2}
+    assert found[0]["auc_pr_medio"] > 0.9
+
+
+def test_classifiers_are_compared_out_of_fold(spark):
+    found = models.compare_classifiers(pair_rows(spark), 3).collect()
+    assert {r["modelo"] for r in found} == {"regresion_logistica", "bosque_aleatorio", "potenciacion_gradiente"}
+    assert found[0]["auc_pr"] > 0.9 and all(0 <= r[m] <= 1 for r in found for m in models.METRICS)
