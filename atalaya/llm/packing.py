@@ -10,7 +10,6 @@ packed each on its own; an empty table gives an empty result; other columns are
 
 from __future__ import annotations
 
-import hashlib
 import zlib
 from collections.abc import Iterator
 
@@ -225,5 +224,3 @@ def write_matrices(packed: DataFrame, path: str) -> None:
     packed.write.mode("errorifexists").parquet(path)
 
 
-def sha256_hex(data: bytes) -> str:
-    return hashlib.sha256(data).hexdigest()

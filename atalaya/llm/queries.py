@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from atalaya.llm import packing
+from atalaya.llm import bpe, packing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -37,3 +37,13 @@ def op1_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
 def op2_first_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     """Every piece of every document with its sequence and offset."""
     return packing.ffd_pack(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query
+def op3_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    """Counts and digests of the ids of every document and of what they decode to."""
+    rule = (public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    decoded = bpe.decode_documents(bpe.encode_documents(table(spark, folder, "documents"), *rule), *rule)
+    return decoded.select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
