@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from atalaya.llm import bpe, fingerprints, packing
+from atalaya.llm import bpe, fingerprints, packing, urls, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -53,3 +53,18 @@ def op3_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
 def op6_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprints of all documents and of their edited texts."""
     return fingerprints.fingerprint_pairs(table(spark, folder, "documents"))
+
+
+@query
+def op5_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    """Verdict of every page by rules and path templates."""
+    return urls.filter_urls(table(spark, folder, "pages"))
+
+
+SQL["op5_url_filter"] = urls.oracle()
+
+
+@query
+def op8_embedding_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    """Links and components of all embeddings."""
+    return vectors.near_vectors(table(spark, folder, "embeddings"))
