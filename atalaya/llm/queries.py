@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from atalaya.llm import bpe, fingerprints, packing, urls, vectors
+from atalaya.llm import bpe, fingerprints, packing, toxicity, unigram, urls, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -68,3 +68,16 @@ SQL["op5_url_filter"] = urls.oracle()
 def op8_embedding_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     """Links and components of all embeddings."""
     return vectors.near_vectors(table(spark, folder, "embeddings"))
+
+
+@query
+def op9_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Tokens of every whole text under a unigram vocabulary."""
+    return unigram.token_counts(table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query
+def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Category probabilities of every document by a chain fitted on the labelled ones."""
+    docs = table(spark, folder, "documents")
+    return toxicity.toxicity_scores(docs, toxicity.fit_model(docs, table(spark, folder, "labels")))
