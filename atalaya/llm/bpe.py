@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+import itertools
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -70,33 +71,14 @@ class PairTable:
         return out
 
 
-class RankCodec:
-    """Encoder and decoder of one rank file and pattern."""
+class PairMerger:
+    """Merges of adjacent ids: always the leftmost pair of least rank of a piece.
 
-    def __init__(self, file: str, pattern: str):
-        import regex
+    `pairs` gives the rank of a pair, `joined` the id that a rank's pair becomes.
+    """
 
-        with open(file, "rb") as lines:
-            self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        self.cut = regex.compile(pattern).findall
-        self.pairs = {}
-        for token, rank in self.ranks.items():
-            for k in range(1, len(token)):
-                left, right = self.ranks.get(token[:k]), self.ranks.get(token[k:])
-                if left is not None and right is not None:
-                    self.pairs[left, right] = rank
-        self.table = PairTable(self.pairs)
-        self.single = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
-        by_id = sorted((rank, token) for token, rank in self.ranks.items())
-        size = by_id[-1][0] + 1
-        self.token_length = np.zeros(size, np.int64)
-        self.token_length[[r for r, _ in by_id]] = [len(t) for _, t in by_id]
-        self.token_start = np.cumsum(self.token_length) - self.token_length
-        self.token_bytes = np.frombuffer(b"".join(t for _, t in by_id), np.uint8)
-        self.clear()
-
-    def clear(self) -> None:
-        self.index, self.pieces = {}, Pieces(np.uint32)
+    def __init__(self, pairs: dict[tuple[int, int], int], joined: np.ndarray):
+        self.pairs, self.joined, self.table = pairs, joined, PairTable(pairs)
 
     def _merge_matrix(self, rows: np.ndarray, lengths: np.ndarray) -> None:
         """Merges in place; `rows` is padded on the right, `lengths` are cut as ids join."""
@@ -121,6 +103,7 @@ class RankCodec:
             columns = np.arange(work.shape[1] - 1)
             moved = columns[None, :] > at[:, None]
             work[:, :-1] = np.where(moved, work[:, 1:], work[:, :-1])
+            best = self.joined[best]
             work[each, at] = best
             size -= 1
             joined[:, :-1] = np.where(moved[:, :-1], joined[:, 1:], joined[:, :-1])
@@ -139,8 +122,7 @@ class RankCodec:
                     work, joined = work.copy(), joined.copy()
                 rows = rows[:, :widest]
 
-    def _merge_long(self, data: bytes) -> list[int]:
-        ids = self.single[np.frombuffer(data, np.uint8)].tolist()
+    def _merge_long(self, ids: list[int]) -> list[int]:
         after, before = list(range(1, len(ids) + 1)), list(range(-1, len(ids) - 1))
         heap = [(r, i, ids[i], ids[i + 1]) for i in range(len(ids) - 1) if (r := self.pairs.get((ids[i], ids[i + 1]))) is not None]
         heapq.heapify(heap)
@@ -149,7 +131,7 @@ class RankCodec:
             j = after[i]
             if ids[i] != left or j >= len(ids) or ids[j] != right:
                 continue
-            ids[i], ids[j] = rank, -1
+            ids[i], ids[j] = self.joined[rank], -1
             after[i] = after[j]
             if after[j] < len(ids):
                 before[after[j]] = i
@@ -158,49 +140,84 @@ class RankCodec:
                     heapq.heappush(heap, (r, a, ids[a], ids[b]))
         return [x for x in ids if x >= 0]
 
-    def encode_pieces(self, data: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the pieces, concatenated in order, and how many each has."""
-        # A bucket holds lengths from one power of two to the next. What is ready goes to `parts`.
-        buckets: dict[int, list[int]] = {}
-        direct, direct_ids, parts = [], [], []
-        for i, piece in enumerate(data):
-            rank = self.ranks.get(piece)
-            if rank is not None:
-                direct.append(i)
-                direct_ids.append(rank)
-            elif len(piece) > LONG_PIECE:
-                ids = self._merge_long(piece)
-                parts.append(([i], [len(ids)], ids))
-            else:
-                buckets.setdefault(len(piece).bit_length(), []).append(i)
-        parts.append((direct, np.ones(len(direct), np.int64), direct_ids))
-        for members in buckets.values():
-            width = max(len(data[i]) for i in members)
+    def merge(self, ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Merged pieces, concatenated in order, and their lengths. The pieces come concatenated too."""
+        starts = np.cumsum(lengths) - lengths
+        parts = []
+        for i in np.flatnonzero(lengths > LONG_PIECE).tolist():
+            merged = self._merge_long(ids[starts[i] : starts[i] + lengths[i]].tolist())
+            parts.append(([i], [len(merged)], merged))
+        # A bucket holds lengths from one power of two to the next.
+        bucket = np.where(lengths > LONG_PIECE, -1, np.frexp(lengths)[1])
+        for which in np.unique(bucket[bucket >= 0]).tolist():
+            members = np.flatnonzero(bucket == which)
+            width = max(1, int(lengths[members].max()))
             step = max(1, MATRIX_CELLS // width)
             for low in range(0, len(members), step):
                 part = members[low : low + step]
-                lengths = np.fromiter((len(data[i]) for i in part), np.int64, len(part))
+                size = lengths[part]
                 rows = np.zeros((len(part), width), np.int32)
-                rows[np.arange(width) < lengths[:, None]] = self.single[np.frombuffer(b"".join([data[i] for i in part]), np.uint8)]
-                self._merge_matrix(rows, lengths)
-                parts.append((part, lengths, rows[np.arange(width) < lengths[:, None]]))
-        which, lengths, flat = (np.concatenate([np.asarray(p[k], np.int64) for p in parts]) for k in range(3))
+                rows[np.arange(width) < size[:, None]] = gather(ids, starts[part], size)
+                self._merge_matrix(rows, size)
+                parts.append((part, size, rows[np.arange(width) < size[:, None]]))
+        if not parts:
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        which, sizes, flat = (np.concatenate([np.asarray(p[k], np.int64) for p in parts]) for k in range(3))
         order = np.argsort(which)
-        return gather(flat, (np.cumsum(lengths) - lengths)[order], lengths[order]).astype(np.uint32), lengths[order]
+        return gather(flat, (np.cumsum(sizes) - sizes)[order], sizes[order]).astype(np.uint32), sizes[order]
+
+
+class RankCodec:
+    """Encoder and decoder of one rank file and pattern."""
+
+    def __init__(self, file: str, pattern: str):
+        import regex
+
+        with open(file, "rb") as lines:
+            self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+        self.cut = regex.compile(pattern).findall
+        pairs = {}
+        for token, rank in self.ranks.items():
+            for k in range(1, len(token)):
+                left, right = self.ranks.get(token[:k]), self.ranks.get(token[k:])
+                if left is not None and right is not None:
+                    pairs[left, right] = rank
+        self.single = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
+        by_id = sorted((rank, token) for token, rank in self.ranks.items())
+        size = by_id[-1][0] + 1
+        self.merger = PairMerger(pairs, np.arange(size, dtype=np.int32))
+        self.token_length = np.zeros(size, np.int64)
+        self.token_length[[r for r, _ in by_id]] = [len(t) for _, t in by_id]
+        self.token_start = np.cumsum(self.token_length) - self.token_length
+        self.token_bytes = np.frombuffer(b"".join(t for _, t in by_id), np.uint8)
+        self.clear()
+
+    def clear(self) -> None:
+        self.index, self.pieces = {}, Pieces(np.uint32)
+
+    def encode_pieces(self, data: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the pieces, concatenated in order, and how many each has."""
+        # A piece that is a token as a whole needs no merges.
+        whole = np.fromiter((self.ranks.get(p, -1) for p in data), np.int64, len(data))
+        flat = self.single[np.frombuffer(b"".join(data), np.uint8)]
+        lengths = np.fromiter(map(len, data), np.int64, len(data))
+        starts = np.cumsum(lengths) - lengths
+        known = whole >= 0
+        starts[known], lengths[known] = np.arange(len(flat), len(flat) + known.sum()), 1
+        return self.merger.merge(gather(np.append(flat, whole[known].astype(np.int32)), starts, lengths), lengths)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         cut = [self.cut(t) for t in texts]
         if len(self.index) > CACHE_PIECES:
             self.clear()
         index = self.index
-        new = list({p for line in cut for p in line if p not in index})
+        new = list(set().union(*cut) - index.keys())
         if new:
-            found = self.encode_pieces([p.encode() for p in new])
             base = len(index)
-            index.update((p, base + i) for i, p in enumerate(new))
-            self.pieces.extend(*found)
+            index.update(zip(new, range(base, base + len(new)), strict=True))
+            self.pieces.extend(*self.encode_pieces([p.encode() for p in new]))
         counts = np.fromiter(map(len, cut), np.int64, len(cut))
-        order = np.fromiter((index[p] for line in cut for p in line), np.int64, int(counts.sum()))
+        order = np.fromiter(map(index.__getitem__, itertools.chain.from_iterable(cut)), np.int64, int(counts.sum()))
         ids, lengths = self.pieces.of(order)
         sums = np.concatenate([[0], np.cumsum(lengths)])
         borders = np.concatenate([[0], np.cumsum(counts)])

@@ -7,12 +7,15 @@ and the ids of a text are gathered from the words' ids.
 
 from __future__ import annotations
 
+import itertools
+import json
+import re
 from functools import lru_cache
 
 import numpy as np
 
 #: Words kept by one Python worker; beyond that the cache starts anew. Bounds memory only.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 600_000
 
 
 def gather(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -53,38 +56,89 @@ class Pieces:
         return gather(self.flat, self.starts[index], lengths), lengths
 
 
+#: What the word tokenizer takes apart inside a word; fixed by the tokenizer file.
+INSIDE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Words of these characters alone are taken apart here; for all others the library does it.
+#: None of them composes with another one, is white space or has a lower case that depends on its place.
+PLAIN = r"[!-~\u00a1-\u024f]+"
+
+
+def byte_symbols() -> list[str]:
+    """The visible character that stands for each byte in byte-level vocabularies."""
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    hidden = [b for b in range(256) if b not in set(shown)]
+    return [chr(b) if b in set(shown) else chr(256 + hidden.index(b)) for b in range(256)]
+
+
 class WordIds:
-    """Token ids of texts; exact for tokenizers that drop white space."""
+    """Token ids of texts; exact for lower-casing BPE tokenizers with word ends that drop white space."""
 
     def __init__(self, file: str):
+        import regex
         from tokenizers import Tokenizer
 
+        from atalaya.llm.bpe import PairMerger
+
         self.tokenizer = Tokenizer.from_file(file)
         self.tokenizer.encode_special_tokens = True
+        with open(file, encoding="utf-8") as text:
+            model = json.load(text)["model"]
+        vocabulary, end = model["vocab"], model["end_of_word_suffix"]
+        merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+        pairs = {(vocabulary[a], vocabulary[b]): rank for rank, (a, b) in enumerate(merges)}
+        self.merger = PairMerger(pairs, np.array([vocabulary[a + b] for a, b in merges], np.int32))
+        self.inner = np.array([vocabulary[c] for c in byte_symbols()], np.int32)
+        self.last = np.array([vocabulary[c + end] for c in byte_symbols()], np.int32)
+        self.inside, self.plain = regex.compile(INSIDE).findall, re.compile(PLAIN).fullmatch
         self.clear()
 
     def clear(self) -> None:
         self.index, self.pieces = {}, Pieces(np.uint32)
 
+    def _encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words, concatenated, and how many each has."""
+        plain = [self.inside(w.lower()) if self.plain(w) else None for w in words]
+        cores: dict[str, int] = {}
+        for line in plain:
+            for core in line or ():
+                cores.setdefault(core, len(cores))
+        data = [c.encode() for c in cores]
+        lengths = np.fromiter(map(len, data), np.int64, len(data))
+        raw = np.frombuffer(b"".join(data), np.uint8)
+        ids = self.inner[raw]
+        ends = np.cumsum(lengths) - 1
+        ids[ends] = self.last[raw[ends]]
+        found = Pieces(np.uint32)
+        found.extend(*self.merger.merge(ids, lengths))
+        others = [w for w, line in zip(words, plain, strict=True) if line is None]
+        for encoding in self.tokenizer.encode_batch(others, add_special_tokens=False) if others else ():
+            found.extend(np.array(encoding.ids, np.uint32), np.array([len(encoding.ids)]))
+        # Each word: its cores, or the place of what the library gave.
+        place = itertools.count(len(cores))
+        parts = [[next(place)] if line is None else [cores[c] for c in line] for line in plain]
+        counts = np.fromiter(map(len, parts), np.int64, len(parts))
+        ids, sizes = found.of(np.fromiter(itertools.chain.from_iterable(parts), np.int64, int(counts.sum())))
+        sums = np.concatenate([[0], np.cumsum(sizes)])
+        borders = np.concatenate([[0], np.cumsum(counts)])
+        return ids, np.diff(sums[borders])
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         words = [t.replace("\n", " ").split(" ") for t in texts]
         if len(self.index) > CACHE_WORDS:
             self.clear()
         index = self.index
-        new = list({w for line in words for w in line if w not in index})
+        new = list(set().union(*words) - index.keys())
         if new:
-            found = [e.ids for e in self.tokenizer.encode_batch(new, add_special_tokens=False)]
             base = len(index)
-            index.update((w, base + i) for i, w in enumerate(new))
-            lengths = np.fromiter(map(len, found), np.int64, len(found))
-            self.pieces.extend(np.fromiter((x for f in found for x in f), np.uint32, int(lengths.sum())), lengths)
+            index.update(zip(new, range(base, base + len(new)), strict=True))
+            self.pieces.extend(*self._encode_words(new))
         counts = np.fromiter(map(len, words), np.int64, len(words))
-        order = np.fromiter((index[w] for line in words for w in line), np.int64, int(counts.sum()))
+        order = np.fromiter(map(index.__getitem__, itertools.chain.from_iterable(words)), np.int64, int(counts.sum()))
         ids, lengths = self.pieces.of(order)
         # Ids per text: sums of the words' lengths between the texts' borders.
         sums = np.concatenate([[0], np.cumsum(lengths)])
         borders = np.concatenate([[0], np.cumsum(counts)])
-        return np.split(ids, sums[borders[1:-1]]) if len(texts) > 1 else [ids] if texts else []
+        return np.split(ids, sums[borders[1:-1]]) if texts else []
 
 
 @lru_cache(maxsize=1)
