@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from atalaya.llm import bpe, fingerprints, packing, toxicity, unigram, urls, vectors
+from atalaya.llm import bpe, fingerprints, minhash, packing, toxicity, unigram, urls, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -81,3 +81,9 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     """Category probabilities of every document by a chain fitted on the labelled ones."""
     docs = table(spark, folder, "documents")
     return toxicity.toxicity_scores(docs, toxicity.fit_model(docs, table(spark, folder, "labels")))
+
+
+@query
+def op4_minhash_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    """Class of every document, and whether it is the one that stays."""
+    return minhash.near_classes(table(spark, folder, "documents")).select("doc_id", "class_id", "kept")
