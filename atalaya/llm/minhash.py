@@ -1,8 +1,8 @@
 """Near-duplicates by consistent weighted sampling over TF-IDF shingles, banded and verified.
 
 1. A count-min sketch over all texts gives the document frequency of every shingle, at most about one percent
-   of the documents too high. The weight of a shingle is its count times
-   idf = 1 + min(1, ln(N / df) / ln 20): rare shingles count double, those in every document once.
+   of the documents too high. The weight of a shingle is 1 + ln of its count, times
+   idf = 1 + min(1, ln(N / df) / ln 8): shingles in under an eighth of the documents count double, those in all once.
 2. Every text gets a signature of improved consistent weighted samples; bands of it are bucket keys.
 3. Equal texts form a class first. Each bucket compares its classes with its smallest one. What
    is still in several components afterwards is compared across them, so a bucket loses no
@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from atalaya.llm.frames import chunks, documents, small_batches
-from atalaya.llm.shingles import consistent_samples, in_parts, mix, shingle_hashes, weighted_terms
+from atalaya.llm.shingles import consistent_samples, mix, shingle_hashes, weighted_terms
 from atalaya.operators.graph import connected_components
 from atalaya.runtime import discard, materialize
 
@@ -38,7 +38,7 @@ SLACK = 4.5
 #: excess of a count is S / CELLS, which the idf's flat part swallows.
 CELLS, DEPTH = 1 << 16, 4
 #: Shingles in less than one document in this many have the full weight.
-RARE = 20
+RARE = 8
 #: Parts of each bucket in the join of its members with its smallest one.
 SALTS = 8
 _NULL_ID = -(1 << 63)
@@ -49,6 +49,11 @@ def _terms(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return weighted_terms(*shingle_hashes(texts))
 
 
+def term_weight(count: np.ndarray) -> np.ndarray:
+    """1 + ln of the count, so that a line repeated all over a text doesn't stand for the text."""
+    return 1 + np.log(count)
+
+
 def _cells(term: np.ndarray, row: int) -> np.ndarray:
     return (mix(term ^ _SALT[row]) >> np.uint64(48)).astype(np.int64)
 
@@ -128,9 +133,8 @@ def signatures(docs: DataFrame, idf: Idf, bands: int, rows: int, seed: int) -> D
             texts = batch.column(2).to_pylist()
             marks, keys = [], []
             for low, high in chunks(texts):
-                text, term, count, source = (lambda t, s, c: (*in_parts(t, s, c),))(*(terms := _terms(texts[low:high])))
-                weight = count * idf(terms[1])[source]
-                found = consistent_samples(text, term, weight, high - low, bands * rows, seed)
+                text, term, count = _terms(texts[low:high])
+                found = consistent_samples(text, term, term_weight(count) * idf(term), high - low, bands * rows, seed)
                 band = (found.reshape(-1, bands, rows) * odd).sum(axis=2, dtype=np.uint64)
                 keys.append(mix(band + np.arange(bands, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)).view(np.int64))
                 marks += [x.tobytes() for x in (found >> np.uint64(24)).astype("<u2")]
@@ -167,12 +171,12 @@ def weighted_jaccard(left: list[str], right: list[str], idf: Idf) -> np.ndarray:
     keyed = []
     for texts in (left, right):
         text, term, count = _terms(texts)
-        weight = count * idf(term)
+        weight = term_weight(count) * idf(term)
         sums.append(np.bincount(text, weight, len(texts)))
         keyed.append(((text.astype(np.uint64) << shift) | term, count))
     _, i, j = np.intersect1d(keyed[0][0], keyed[1][0], assume_unique=True, return_indices=True)
     common = keyed[0][0][i]
-    least = np.minimum(keyed[0][1][i], keyed[1][1][j]) * idf(common & np.uint64((1 << 48) - 1))
+    least = term_weight(np.minimum(keyed[0][1][i], keyed[1][1][j])) * idf(common & np.uint64((1 << 48) - 1))
     shared = np.bincount((common >> shift).astype(np.int64), least, len(left))
     union = sums[0] + sums[1] - shared
     return np.where(union > 0, shared / np.where(union > 0, union, 1), 1.0)
