@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from atalaya.llm import bpe, fingerprints, minhash, packing, toxicity, unigram, urls, vectors
+from atalaya.llm import bpe, fingerprints, minhash, packing, suffixes, toxicity, unigram, urls, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -87,3 +87,9 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 def op4_minhash_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     """Class of every document, and whether it is the one that stays."""
     return minhash.near_classes(table(spark, folder, "documents")).select("doc_id", "class_id", "kept")
+
+
+@query
+def op7_repeated_strings(spark: SparkSession, folder: str) -> DataFrame:
+    """What every document loses to strings of 200 bytes that occur elsewhere."""
+    return suffixes.span_report(table(spark, folder, "documents"))
