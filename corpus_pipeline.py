@@ -1,23 +1,50 @@
-"""Corpus pipeline: toxicity, near duplicates, repeated passages, packing."""
+"""Corpus pipeline: toxic documents go, one of each group of near copies stays, repeated strings are
+cut out, and what is left is packed into sequences.
+
+Every stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. All but the last return
+the columns of `documents`.
+"""
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from atalaya.llm import minhash, packing, suffixes, toxicity
+from atalaya.runtime import materialize
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier chain doesn't reject."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return toxicity.without_toxic(docs, toxicity.fit_model(docs, labels))
 
-from atalaya.llm import packing
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: the one of the smallest id."""
+    return minhash.without_near_copies(docs)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents without the strings that occur more than once."""
+    return suffixes.without_repeats(docs).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all remaining documents, packed by first-fit decreasing."""
     return packing.ffd_pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
-STAGES = [("packing", pack)]
+STAGES = [("toxicity", drop_toxic), ("near_duplicates", drop_near_copies), ("repeated_strings", cut_repeats), ("packing", pack)]
+
+#: The stages' hashing, models and tokenizer have no SQL; tests hold them against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the whole table; what a stage keeps is written and read again by the next one."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
