@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from atalaya.runtime import materialize
+
 #: (verdict, host, path). A rule fits its host and all subdomains.
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 
@@ -88,11 +90,13 @@ def template_tree(leaves: DataFrame, levels: int = LEVELS) -> DataFrame:
         named = branches.join(parents, ["host", "template"]).select(
             "host", "template", "segment", F.when(small, F.lit("*")).otherwise(F.col("segment")).alias("name")
         )
-        tree = (
+        # Each level is written: the next one reads it three times.
+        tree = materialize(
             tree.join(named, ["host", "template", "segment"], "left")
             .withColumn("parent", F.when(F.col("segment").isNull(), F.col("parent")).otherwise(F.col("template")))
             .withColumn("template", F.when(F.col("segment").isNull(), F.col("template")).otherwise(F.concat_ws("/", "template", "name")))
-            .drop("segment", "name")
+            .drop("segment", "name"),
+            "templates",
         )
     return tree
 
@@ -118,6 +122,7 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, **c
         F.count(F.lit(1)).alias("n"), F.count("ruled").alias("labelled"),
         F.count(F.when(F.col("ruled") == "block", 1)).alias("bad"),
     )
+    leaves = materialize(leaves, "leaves")
     totals = leaves.agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad")).first()
     prior = totals["bad"] / totals["labelled"] if totals["labelled"] else 0.0
     tree = template_tree(leaves)
