@@ -85,8 +85,8 @@ def shingle_hashes(texts: list[str], words: int = WORDS) -> tuple[np.ndarray, np
 
 #: Low bits of a sort key that name the shingle; the bits above name the text.
 _TERM_BITS = 48
-#: A term's count is cut into parts of at most this size.
-PART = 2
+#: A term's count is cut into parts of at most this size. Equal parts keep the rate of agreement unbiased where bins are sparse.
+PART = 1
 
 
 def weighted_terms(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
