@@ -33,6 +33,11 @@ def documents(docs: DataFrame, *, id_column: str = "doc_id", text_column: str =
     )
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """The rows with columns named by their place, so that no helper column can clash with one."""
+    return docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+
+
 def partitions_of(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

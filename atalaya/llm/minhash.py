@@ -4,9 +4,10 @@
    of the documents too high. The weight of a shingle is 1 + ln of its count, times
    idf = 1 + min(1, ln(N / df) / ln 8): shingles in under an eighth of the documents count double, those in all once.
 2. Every text gets a signature of improved consistent weighted samples; bands of it are bucket keys.
-3. Equal texts form a class first. Each bucket compares its classes with its smallest one. What
-   is still in several components afterwards is compared across them, so a bucket loses no
-   candidate pair, and a large group of copies costs one comparison per member and band.
+3. Equal texts form a class first. Each bucket compares its classes with one of them, and buckets
+   that then still hold several components do so again with other ones. What is left in several
+   components is compared across them, in blocks. So a bucket loses no candidate pair, and a large
+   group of copies costs a few comparisons per member and band.
 4. A candidate pair whose signatures agree far too rarely for the threshold is dropped (`SLACK`
    standard deviations below it); all others are verified on their whole texts by weighted Jaccard.
 5. Links form components; a document's class is the smallest id of its component.
@@ -22,18 +23,26 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from atalaya.llm.frames import chunks, documents, small_batches
+from atalaya.llm.blocks import compare_open
+from atalaya.llm.frames import chunks, documents, numbered, small_batches
 from atalaya.llm.shingles import consistent_samples, mix, shingle_hashes, weighted_terms
 from atalaya.operators.graph import connected_components
 from atalaya.runtime import discard, materialize
 
 SIMILARITY = 0.8
 BANDS, ROWS = 32, 6
-SLACK = 4.5
+#: Samples of a signature; the bands use the first ones, the estimate of a pair's similarity all of them.
+SAMPLES = 384
+SLACK = 4.0
+#: Rounds in which each bucket that still holds several components compares them with one more of its members.
+STAR_ROUNDS = 3
+#: Members of a bucket that share one block of the last comparison, on either side.
+BLOCK, CHUNK = 256, 2048
 #: Cells of a sketch row and rows of the sketch; with S / N shingles a document, the expected
 #: excess of a count is S / CELLS, which the idf's flat part swallows.
 CELLS, DEPTH = 1 << 16, 4
@@ -124,8 +133,8 @@ class Idf:
         return {"documents": self.documents, "rows": self.rows}
 
 
-def signatures(docs: DataFrame, idf: Idf, bands: int, rows: int, seed: int) -> DataFrame:
-    """_id, digest of the text, 16 bits of every sample, and a hash per band."""
+def signatures(docs: DataFrame, idf: Idf, bands: int, rows: int, samples: int, seed: int) -> DataFrame:
+    """_id, digest of the text, 8 bits of every sample, and a hash per band."""
     odd = np.cumprod(np.full(rows, 0x9E3779B97F4A7C15, np.uint64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,10 +143,10 @@ def signatures(docs: DataFrame, idf: Idf, bands: int, rows: int, seed: int) -> D
             marks, keys = [], []
             for low, high in chunks(texts):
                 text, term, count = _terms(texts[low:high])
-                found = consistent_samples(text, term, term_weight(count) * idf(term), high - low, bands * rows, seed)
-                band = (found.reshape(-1, bands, rows) * odd).sum(axis=2, dtype=np.uint64)
+                found = consistent_samples(text, term, term_weight(count) * idf(term), high - low, samples, seed)
+                band = (found[:, : bands * rows].reshape(-1, bands, rows) * odd).sum(axis=2, dtype=np.uint64)
                 keys.append(mix(band + np.arange(bands, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)).view(np.int64))
-                marks += [x.tobytes() for x in (found >> np.uint64(24)).astype("<u2")]
+                marks += [x.tobytes() for x in (found >> np.uint64(24)).astype(np.uint8)]
             flat = np.concatenate(keys).ravel() if keys else np.zeros(0, np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, bands, dtype=np.int32)), pa.array(flat))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(marks, pa.binary()), lists], ["_id", "key", "marks", "bands"])
@@ -145,8 +154,8 @@ def signatures(docs: DataFrame, idf: Idf, bands: int, rows: int, seed: int) -> D
     return docs.select("_id", "key", "text").mapInArrow(run, "_id long, key binary, marks binary, bands array<long>")
 
 
-def _agreeing(left: bytes, right: bytes) -> float:
-    return float((np.frombuffer(left, "<u2") == np.frombuffer(right, "<u2")).mean())
+def _marks(rows) -> np.ndarray:
+    return np.frombuffer(b"".join(rows), np.uint8).reshape(len(rows), -1) if len(rows) else np.zeros((0, 1), np.uint8)
 
 
 def likely_pairs(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
@@ -156,9 +165,8 @@ def likely_pairs(pairs: DataFrame, classes: DataFrame, least: float) -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names = batch.schema.names
-            left, right = (batch.column(names.index(f"marks_{c}")).to_pylist() for c in "ab")
-            keep = pa.array([_agreeing(x, y) >= least for x, y in zip(left, right, strict=True)], pa.bool_())
-            yield batch.select(["a", "b", "key_a", "key_b"]).filter(keep)
+            left, right = (_marks(batch.column(names.index(f"marks_{c}")).to_pylist()) for c in "ab")
+            yield batch.select(["a", "b", "key_a", "key_b"]).filter(pa.array((left == right).mean(axis=1) >= least))
 
     both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "key_a", "key_b", "marks_a", "marks_b")
     return both.mapInArrow(run, "a long, b long, key_a binary, key_b binary")
@@ -205,8 +213,44 @@ def _bucket_join(members: DataFrame, buckets: DataFrame) -> DataFrame:
     return salted.join(spread, ["band", "_salt"]).drop("_salt")
 
 
-def _ordered(a: Column, b: Column) -> list[Column]:
-    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+def star_pairs(placed: DataFrame, turn: int) -> DataFrame:
+    """Pairs (a, b) of each bucket's pivot with its members of other components; a pivot is drawn by hash."""
+    drawn = F.min(F.struct(F.xxhash64("rep", "band", F.lit(turn)).alias("_draw"), "rep", "component"))
+    pivots = placed.groupBy("band").agg(
+        drawn.alias("pivot"), F.min("component").alias("_low"), F.max("component").alias("_high")
+    ).where("_low < _high").select("band", F.col("pivot.rep").alias("pivot"), F.col("pivot.component").alias("_own"))
+    other = _bucket_join(placed, pivots).where(F.col("component") != F.col("_own"))
+    return other.select(F.least("pivot", "rep").alias("a"), F.greatest("pivot", "rep").alias("b")).distinct()
+
+
+_PAIR = "a long, b long, key_a binary, key_b binary"
+
+
+def _across(open_: pd.DataFrame, members: pd.DataFrame, least: float) -> pd.DataFrame:
+    """Pairs of open members with members of other components of their bucket, if their signatures agree."""
+    marks, rows = _marks(members["marks"].tolist()), []
+    band, component, rep, is_open = (members[c].to_numpy() for c in ("band", "component", "rep", "open"))
+    key = members["key"].tolist()
+    for b, c, r, k, own in zip(open_["band"], open_["component"], open_["rep"], open_["key"], _marks(open_["marks"].tolist()), strict=True):
+        # Two open members meet twice, once from each side.
+        near = np.flatnonzero((band == b) & (component != c) & (~is_open | (rep < r)))
+        for j in near[(marks[near] == own).mean(axis=1) >= least].tolist():
+            rows.append((rep[j], r, key[j], k) if rep[j] < r else (r, rep[j], k, key[j]))
+    return pd.DataFrame(rows, columns=["a", "b", "key_a", "key_b"])
+
+
+def pairs_across(placed: DataFrame, classes: DataFrame, least: float) -> DataFrame:
+    """Likely pairs between the components that still share a bucket, all of them.
+
+    Members outside a bucket's largest component are open and meet all the others.
+    """
+    parts = placed.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n"))
+    mixed = parts.groupBy("band").agg(F.max(F.struct("n", "component")).alias("most"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    inside = _bucket_join(placed, mixed.select("band", F.col("most.component").alias("main")))
+    marked = inside.join(classes.select("rep", "key", "marks"), "rep")
+    ready = materialize(marked.select("band", "rep", "component", "key", "marks", (F.col("component") != F.col("main")).alias("open")), "mixed")
+    found = compare_open(ready, "band", "rep", lambda u, m: _across(u, m, least), _PAIR, block=BLOCK, chunk=CHUNK, rows=ready.count())
+    return found.distinct()
 
 
 def text_key(text: str = "text") -> Column:
@@ -221,6 +265,7 @@ def near_classes(
     similarity: float = SIMILARITY,
     bands: int = BANDS,
     rows: int = ROWS,
+    samples: int = SAMPLES,
     seed: int = 4,
 ) -> DataFrame:
     """One row per document: doc_id, its `_id` and text digest, and class_id, `_class` being never null."""
@@ -228,38 +273,34 @@ def near_classes(
     own = documents(docs, id_column=id_column, text_column=text_column)
     own = own.select("doc_id", F.coalesce("doc_id", F.lit(_NULL_ID)).alias("_id"), text_key().alias("key"), "text")
     idf = Idf(frequency_sketch(own), own.count())
-    signed = materialize(signatures(own, idf, bands, rows, seed), "signatures")
+    signed = materialize(signatures(own, idf, bands, rows, samples, seed), "signatures")
     # Equal texts: one class under the smallest id. Signatures are equal then.
     lowest = signed.groupBy("key").agg(F.min(F.struct("_id", "marks", "bands")).alias("first"))
     classes = materialize(lowest.select("key", F.col("first._id").alias("rep"), "first.marks", "first.bands"), "classes")
+    ids = classes.select(F.col("rep").alias("id"))
     members = classes.select("rep", F.explode("bands").alias("band"))
-    counted = members.groupBy("band").agg(F.min("rep").alias("pivot"), F.max("rep").alias("_last")).where("pivot < _last").drop("_last")
-    shared = materialize(_bucket_join(members, counted), "shared")
-    total = bands * rows
-    least = similarity - SLACK * math.sqrt(similarity * (1 - similarity) / total)
+    counted = members.groupBy("band").agg(F.min("rep").alias("_first"), F.max("rep").alias("_last")).where("_first < _last")
+    shared = materialize(_bucket_join(members, counted.select("band")), "shared")
+    least = similarity - SLACK * math.sqrt(similarity * (1 - similarity) / samples)
 
-    def check(pairs: DataFrame) -> DataFrame:
-        likely = materialize(likely_pairs(pairs, classes, least), "likely")
+    def check(likely: DataFrame) -> DataFrame:
+        likely = materialize(likely, "likely")
         found = materialize(verified_pairs(likely, own, idf, similarity).distinct(), "verified")
         discard(likely)
         return found
 
-    star = materialize(shared.where("rep <> pivot").select(*_ordered(F.col("pivot"), F.col("rep"))).distinct(), "star")
-    edges = check(star)
-    found = materialize(connected_components(classes.select(F.col("rep").alias("id")), edges), "components")
-    # Buckets that still hold several components: whoever is not with the smallest one meets all the others.
-    component = found.select(F.col("id").alias("rep"), "component")
-    placed = materialize(shared.join(component, "rep"), "placed")
-    mixed = placed.groupBy("band").agg(F.min(F.struct("rep", "component")).alias("low"), F.max("component").alias("_top"), F.min("component").alias("_bottom"))
-    mixed = mixed.where("_top <> _bottom").select("band", F.col("low.component").alias("main"))
-    inside = materialize(_bucket_join(placed, mixed), "mixed")
-    strange = inside.where("component <> main").select("band", F.col("rep").alias("other"), F.col("component").alias("other_component"))
-    across = inside.join(strange, "band").where(
-        (F.col("component") != F.col("other_component")) & ((F.col("component") == F.col("main")) | (F.col("rep") < F.col("other")))
-    )
-    rest = across.select(*_ordered(F.col("rep"), F.col("other"))).distinct().join(star, ["a", "b"], "left_anti")
-    more = check(rest)
-    final = connected_components(classes.select(F.col("rep").alias("id")), edges.unionByName(more))
+    placed = shared.withColumn("component", F.col("rep"))
+    tested = edges = found = None
+    for turn in range(STAR_ROUNDS):
+        fresh = star_pairs(placed, turn)
+        fresh = materialize(fresh if tested is None else fresh.join(tested, ["a", "b"], "left_anti"), "star")
+        tested = fresh if tested is None else tested.unionByName(fresh)
+        links = check(likely_pairs(fresh, classes, least))
+        edges = links if edges is None else edges.unionByName(links)
+        found = materialize(connected_components(ids, edges), "components")
+        placed = materialize(shared.join(found.select(F.col("id").alias("rep"), "component"), "rep"), "placed")
+    rest = pairs_across(placed, classes, least).join(tested, ["a", "b"], "left_anti")
+    final = connected_components(ids, edges.unionByName(check(rest)))
     named = classes.select("key", F.col("rep").alias("id")).join(final, "id").select("key", F.col("component").alias("_class"))
     # Only texts of classes are looked up; a text that many rows share is one key, so its rows are cut into parts.
     salted = signed.select("_id", "key").withColumn("_salt", F.pmod(F.xxhash64("_id"), F.lit(SALTS)))
@@ -273,10 +314,12 @@ def near_classes(
 
 def without_near_copies(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", **options) -> DataFrame:
     """One document of each class, with all columns: the one of the smallest id."""
-    classes = near_classes(docs, id_column=id_column, text_column=text_column, **options)
+    own = numbered(docs)
+    id_name, text_name = (own.columns[docs.columns.index(c)] for c in (id_column, text_column))
+    classes = near_classes(own, id_column=id_name, text_column=text_name, **options)
     kept = classes.where("kept").select(F.col("_id").alias("__id"), F.col("key").alias("__key")).distinct()
-    marked = docs.withColumn("__own_id", F.coalesce(F.col(f"`{id_column}`").cast("long"), F.lit(_NULL_ID))).withColumn(
-        "__own_key", F.unhex(F.md5(F.coalesce(F.col(f"`{text_column}`").cast("string"), F.lit(""))))
+    marked = own.withColumn("__own_id", F.coalesce(F.col(id_name).cast("long"), F.lit(_NULL_ID))).withColumn(
+        "__own_key", F.unhex(F.md5(F.coalesce(F.col(text_name).cast("string"), F.lit(""))))
     )
     joined = marked.join(kept, (F.col("__own_id") == F.col("__id")) & (F.col("__own_key") == F.col("__key")), "left_semi")
-    return joined.dropDuplicates(["__own_id", "__own_key"]).drop("__own_id", "__own_key")
+    return joined.dropDuplicates(["__own_id", "__own_key"]).select(*own.columns).toDF(*docs.columns)

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from atalaya.llm.frames import partitions_of, small_batches
+from atalaya.llm.frames import numbered, partitions_of, small_batches
 from atalaya.llm.shingles import mix, powers, prefix_hash
 from atalaya.runtime import materialize
 
@@ -412,11 +412,13 @@ def without_repeats(docs: DataFrame, *, id_column: str = "doc_id", text_column:
 
     A character that a cut leaves in part goes as a whole.
     """
-    cut = repeated_spans(docs, id_column=id_column, text_column=text_column, **options)
+    own = numbered(docs)
+    id_name, text_name = (own.columns[docs.columns.index(c)] for c in (id_column, text_column))
+    cut = repeated_spans(own, id_column=id_name, text_column=text_name, **options)
     fixed = materialize(cut.select(F.col("ref").alias("__fixed"), F.col("kept").alias("__kept")).dropDuplicates(["__fixed"]), "fixed")
-    joined = referenced(docs, id_column, text_column).join(fixed, F.col("__ref") == F.col("__fixed"), "left")
-    text = F.when(F.col("__kept").isNull(), F.col(f"`{text_column}`")).otherwise(_utf8(F.col("__kept")))
-    return joined.withColumn(text_column, text).select(*[f"`{c}`" for c in docs.columns])
+    joined = referenced(own, id_name, text_name).join(fixed, F.col("__ref") == F.col("__fixed"), "left")
+    text = F.when(F.col("__kept").isNull(), F.col(text_name)).otherwise(_utf8(F.col("__kept")))
+    return joined.withColumn(text_name, text).select(*own.columns).toDF(*docs.columns)
 
 
 def _utf8(data: Column) -> Column:

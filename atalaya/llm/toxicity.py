@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from atalaya.llm.frames import documents, small_batches
+from atalaya.llm.frames import documents, numbered, small_batches
 
 CATEGORIES = ("low_quality", "toxic", "severe")
 #: Labelled documents that the model is fitted on, about.
@@ -236,5 +236,6 @@ def toxicity_scores(docs: DataFrame, model: Model) -> DataFrame:
 def without_toxic(docs: DataFrame, model: Model, text_column: str = "text") -> DataFrame:
     """The rows that are not rejected, with all their columns."""
     small_batches(docs.sparkSession)
-    probability = chain_probabilities(F.col(f"`{text_column}`"), model)[CATEGORIES.index("toxic")]
-    return docs.where(probability < REJECT_AT)
+    own = numbered(docs)
+    probability = chain_probabilities(F.col(own.columns[docs.columns.index(text_column)]), model)[CATEGORIES.index("toxic")]
+    return own.where(probability < REJECT_AT).toDF(*docs.columns)

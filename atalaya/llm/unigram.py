@@ -103,7 +103,8 @@ class UnigramCounter:
             solved = [self.solve(MARK + t.replace(" ", MARK)) if t else (0, 0) for t in texts]
             return tuple(np.array([s[k] for s in solved], np.int64) for k in (0, 1))
         # Words between blanks. Runs of blanks leave empty words, which join the mark of the next one.
-        words = [t.split(" ") if t else [] for t in texts]
+        # A word mark that the text itself has is as good as a blank.
+        words = [t.replace(MARK, " ").split(" ") if t else [] for t in texts]
         for line in words:
             if "" in line:
                 line[:] = _joined(line)

@@ -27,6 +27,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from atalaya.llm.blocks import compare_open
 from atalaya.llm.frames import partitions_of, small_batches
 from atalaya.operators.graph import connected_components
 from atalaya.runtime import materialize
@@ -133,9 +134,8 @@ def window_links(keyed: DataFrame, cosine: float, window: int) -> DataFrame:
 _COUNT = "class_id long, links long"
 
 
-def _count_block(block: pd.DataFrame, cosine: float) -> pd.DataFrame:
+def _count_block(unsettled: pd.DataFrame, members: pd.DataFrame, cosine: float) -> pd.DataFrame:
     """Links of the unsettled vectors with all members, and of settled members with the unsettled."""
-    unsettled, members = block[~block["member"]], block[block["member"]]
     if unsettled.empty or members.empty:
         return pd.DataFrame({"class_id": [], "links": []}, dtype=np.int64)
     u, m = (np.stack(x["vector"].to_numpy()) for x in (unsettled, members))
@@ -143,7 +143,7 @@ def _count_block(block: pd.DataFrame, cosine: float) -> pd.DataFrame:
     linked &= unsettled["component"].to_numpy()[:, None] == members["component"].to_numpy()
     linked &= unsettled["class_id"].to_numpy()[:, None] != members["class_id"].to_numpy()
     forth = linked @ members["times"].to_numpy()
-    settled = members["settled"].to_numpy()
+    settled = ~members["open"].to_numpy()
     back = unsettled["times"].to_numpy() @ linked[:, settled]
     return pd.DataFrame({
         "class_id": np.concatenate([unsettled["class_id"].to_numpy(), members["class_id"].to_numpy()[settled]]),
@@ -157,37 +157,18 @@ def links_in_components(members: DataFrame, cosine: float) -> DataFrame:
     norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x))
     unit = unit.withColumn("vector", F.transform("vector", lambda x: x / norm))
     means = unit.groupBy("component").agg(
-        vector_to_array(Summarizer.mean(array_to_vector("vector"))).alias("mean"), F.count(F.lit(1)).alias("size")
+        vector_to_array(Summarizer.mean(array_to_vector("vector"))).alias("mean")
     )
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     # Half the angle, a little less, so that rounding can't settle a pair below the limit.
     half = math.cos(math.acos(cosine) / 2 - 1e-9)
     near = dot("mean", "vector") >= half * F.sqrt(dot("mean", "mean"))
     placed = materialize(unit.join(means, "component").withColumn("settled", near).drop("mean"), "members")
-    sizes = placed.groupBy("component").agg(
-        F.first("size").alias("size"), F.sum(F.when(F.col("settled"), F.col("times")).otherwise(0)).alias("settled_rows"),
-        F.sum((~F.col("settled")).cast("long")).alias("open"),
-    )
-    small = (F.col("size") <= CHUNK) & (F.col("open") <= BLOCK)
-    total = placed.count()
-    shape = sizes.where(F.col("open") > 0).select(
-        "component",
-        F.when(small, F.pmod(F.xxhash64("component"), F.lit(max(1, total // CHUNK)))).otherwise(F.col("component")).alias("place"),
-        F.when(small, 1).otherwise(F.ceil(F.col("open") / BLOCK)).cast("long").alias("blocks"),
-        F.when(small, 1).otherwise(F.ceil(F.col("size") / CHUNK)).cast("long").alias("chunks"), small.alias("small"),
-    )
-    dealt = placed.select("component", "class_id", "times", "vector", "settled").join(shape, "component")
-    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    own = lambda n: F.pmod(F.xxhash64("class_id"), F.col(n))
-    keys = ["small", "place", "block", "chunk"]
-    columns = ["component", "class_id", "times", "vector", "settled", "small", "place"]
-    left = dealt.where(~F.col("settled")).withColumn("block", own("blocks")).select(*columns, "block", every("chunks").alias("chunk"))
-    right = dealt.withColumn("chunk", own("chunks")).select(*columns, "chunk", every("blocks").alias("block"))
-    both = left.withColumn("member", F.lit(False)).unionByName(right.withColumn("member", F.lit(True)))
-    counted = (
-        both.groupBy(*keys).applyInPandas(lambda block: _count_block(block, cosine), _COUNT)
-        .groupBy("class_id").agg(F.sum("links").alias("compared"))
-    )
+    sizes = placed.groupBy("component").agg(F.sum(F.when(F.col("settled"), F.col("times")).otherwise(0)).alias("settled_rows"))
+    counted = compare_open(
+        placed.select("component", "class_id", "times", "vector", (~F.col("settled")).alias("open")), "component", "class_id",
+        lambda u, m: _count_block(u, m, cosine), _COUNT, block=BLOCK, chunk=CHUNK, rows=placed.count(),
+    ).groupBy("class_id").agg(F.sum("links").alias("compared"))
     settled = F.when(F.col("settled"), F.col("settled_rows") - F.col("times")).otherwise(0)
     return (
         placed.select("component", "class_id", "times", "settled").join(sizes.select("component", "settled_rows"), "component")
