@@ -36,7 +36,7 @@ def _(t: Tables) -> DataFrame:
 @check("join_medians_shuffled", "SELECT id_contrato, CASE WHEN c.monto IS NULL THEN monto_mediana END AS mediana_objeto "
        "FROM contracts c LEFT JOIN medians m ON c.objeto = m.objeto", "contracts medians")
 def _(t: Tables) -> DataFrame:
-    joined = preprocessing.join_medians(t.contracts, preprocessing.object_medians(t.contracts), small=False)
+    joined = preprocessing.join_medians(t.contracts, preprocessing.object_medians(t.contracts).hint("merge"))
     return joined.select("id_contrato", "mediana_objeto")
 
 

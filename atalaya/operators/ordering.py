@@ -20,17 +20,18 @@ from atalaya.runtime import materialize
 
 BUCKETS_PER_E_FOLD = 1000
 HASH_PREFIX = 4  # hexadecimal digits of an md5: 65,536 even slices
+_LEAST_LOG = 745.2  # no positive double has a smaller logarithm than minus this
 _ROW_BITS = 33  # low bits of monotonically_increasing_id that count rows
 
 
 def value_bucket(value: Column) -> Column:
     """Coarse bucket that grows with `value`; about 0.1 percent of the value wide.
 
-    A double has at most 1.4 million of them, so a histogram per group is bounded.
+    A double has at most 3 million of them, so a histogram per group is bounded.
     Distinct values of one bucket are ordered together; equal values were counted before.
     """
-    size = F.floor(F.log1p(F.abs(value)) * BUCKETS_PER_E_FOLD)
-    return F.when(value < 0, -size).otherwise(size)
+    size = F.floor((F.log(F.abs(value)) + _LEAST_LOG) * BUCKETS_PER_E_FOLD) + 1
+    return F.when(value == 0, 0).when(value < 0, -size).otherwise(size).cast("bigint")
 
 
 def _match(left: str, right: str, columns: Sequence[str]) -> Column:
@@ -159,10 +160,14 @@ def approximate_quantiles(
     weight: str | None = None,
     accuracy: int = 10_000,
 ) -> DataFrame:
-    """Same columns from one bounded sketch per group; each value is an observed one."""
-    usable = df.where(F.col(value).isNotNull())
+    """Same columns from one bounded sketch per group; each value is an observed one.
+
+    Sketches know no weights: with a `weight` column the values are the observed ones at the
+    exact ranks, from the bucket counts.
+    """
     if weight is not None:
-        usable = usable.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col(weight))))
+        return _observed_quantiles(df, value, probabilities, list(groups), weight)
+    usable = df.where(F.col(value).isNotNull())
     columns = [
         F.percentile_approx(F.col(value).cast("double"), float(p), accuracy).alias(name)
         for name, p in probabilities.items()
@@ -172,6 +177,18 @@ def approximate_quantiles(
     return result if groups else result.where(F.col(first).isNotNull())
 
 
+def _observed_quantiles(
+    df: DataFrame, value: str, probabilities: dict[str, float], groups: list[str], weight: str
+) -> DataFrame:
+    """Smallest value whose running weight reaches each share of the total."""
+    counted = value_counts_by_bucket(df.select(*groups, value, weight), value, groups, {"n": F.sum(weight)})
+    ordered = running_counts(counted, bucket_offsets(counted, groups), groups)
+    upto = F.col("n_before") + F.col("n")
+    reached = [F.min(F.when(upto >= F.col("n_total") * F.lit(float(p)), F.col("value"))).alias(name) for name, p in probabilities.items()]
+    result = ordered.groupBy(*groups).agg(*reached)
+    return result if groups else result.where(F.col(next(iter(probabilities))).isNotNull())
+
+
 def hash_row_number(
     df: DataFrame, partition: Sequence[str], hash_column: str, ties: Sequence[str], name: str
 ) -> DataFrame:

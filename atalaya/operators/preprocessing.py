@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 from atalaya.errors import ContractError
 from atalaya.functions.amounts import cap_amount, modality_flags
 from atalaya.operators.ordering import approximate_quantiles, exact_quantiles
-from atalaya.operators.skew import BROADCAST_ROWS, fits_broadcast, hot_split_join
-from atalaya.runtime import materialize
+from atalaya.runtime import discard, materialize, new_location
 
 # --- fixed values -----------------------------------------------------------
 STATE_VERSION = 1
@@ -17,6 +16,10 @@ NO_OFFICIAL = "__NO_DISPONIBLE__"
 EXACT, APPROXIMATE = "exact", "percentile_approx_accuracy_10000"
 # ----------------------------------------------------------------------------
 
+MEDIANS_SCHEMA = "objeto string, monto_mediana double"
+#: Parts of each object in the join of rows with object medians.
+PARTS = 4
+
 
 def _quantiles(exact: bool):
     return exact_quantiles if exact else approximate_quantiles
@@ -29,52 +32,63 @@ def object_medians(df: DataFrame, exact: bool = True) -> DataFrame:
     return _quantiles(exact)(usable, "monto", {"monto_mediana": 0.5}, ["objeto"])
 
 
-def join_medians(df: DataFrame, medians: DataFrame, *, small: bool | None = None) -> DataFrame:
+def join_medians(df: DataFrame, medians: DataFrame) -> DataFrame:
     """Adds `mediana_objeto`. Only rows without an amount ever look a median up.
 
-    A small table is broadcast, after its size was checked. A larger one is joined
-    by shuffle for the rows that need it, with frequent objects split.
+    Whether the table is broadcast is left to the optimiser, which knows its bytes. In a join by shuffle,
+    rows that need no median are spread over keys that match nothing, and each object is cut into `PARTS`.
     """
+    part = F.pmod(F.xxhash64(*df.columns), F.lit(PARTS)) if df.columns else F.lit(0)
     table = medians.select(
-        F.col("objeto").cast("string").alias("_objeto"), F.col("monto_mediana").cast("double").alias("mediana_objeto")
+        F.col("objeto").cast("string").alias("_objeto"), F.col("monto_mediana").cast("double").alias("mediana_objeto"),
+        F.explode(F.array(*[F.lit(i).cast("long") for i in range(PARTS)])).alias("_of"),
+    )
+    needs = F.col("monto").isNull() & F.col("objeto").isNotNull()
+    keyed = df.withColumns({
+        "_key": F.when(needs, F.col("objeto").cast("string")).otherwise(F.xxhash64(*df.columns).cast("string")),
+        # A part below zero has no partner.
+        "_part": F.when(needs, part).otherwise(-1),
+    })
+    return keyed.join(table, (F.col("_key") == F.col("_objeto")) & (F.col("_part") == F.col("_of")), "left").drop(
+        "_key", "_part", "_objeto", "_of"
+    )
+
+
+def counted_values(df: DataFrame) -> DataFrame:
+    """Rows per object, amount and modality: all that fitting needs, from one read of the rows."""
+    typed = df.select(
+        F.col("objeto").cast("string").alias("objeto"), F.col("monto").cast("double").alias("monto"),
+        F.col("modalidad").cast("string").alias("modalidad") if "modalidad" in df.columns else F.lit(None).cast("string").alias("modalidad"),
     )
-    if fits_broadcast(table) if small is None else small:
-        needs = F.when(F.col("monto").isNull(), F.col("objeto").cast("string"))
-        return df.join(F.broadcast(table), needs == F.col("_objeto"), "left").drop("_objeto")
+    return typed.groupBy("objeto", "monto", "modalidad").agg(F.count(F.lit(1)).alias("n"))
 
-    lookup_key = F.col("objeto").isNotNull() & F.col("monto").isNull()
-    needing = df.where(lookup_key).withColumn("_objeto", F.col("objeto").cast("string"))
-    per_object = needing.groupBy("_objeto").agg(F.count(F.lit(1)).alias("_rows"))
-    found = hot_split_join(needing, table, ["_objeto"], per_object, "_rows", "left")
-    rest = df.where(~lookup_key).withColumn("mediana_objeto", F.lit(None).cast("double"))
-    return rest.unionByName(found.drop("_objeto"))
 
+def counted_medians(counted: DataFrame, exact: bool = True) -> DataFrame:
+    usable = counted.where(F.col("objeto").isNotNull())
+    return _quantiles(exact)(usable, "monto", {"monto_mediana": 0.5}, ["objeto"], weight="n")
 
-def imputed_amounts(df: DataFrame, medians: DataFrame, *, small: bool | None = None) -> DataFrame:
+
+def imputed_amounts(counted: DataFrame, medians: DataFrame) -> DataFrame:
     """Distinct amounts with their row counts, after nulls took the median of their object.
 
-    Rows that still have no amount are counted under null. Both overall statistics
-    come from this table, so the rows are read once.
+    Rows that still have no amount are counted under null.
     """
-    amounts = df.select(F.col("monto").cast("double").alias("monto"), F.col("objeto").cast("string").alias("objeto"))
-    filled = join_medians(amounts, medians, small=small).select(F.coalesce("monto", "mediana_objeto").alias("monto"))
-    return filled.groupBy("monto").agg(F.count(F.lit(1)).alias("n"))
+    filled = join_medians(counted, medians).select(F.coalesce("monto", "mediana_objeto").alias("monto"), "n")
+    return filled.groupBy("monto").agg(F.sum("n").alias("n"))
 
 
-def global_median(df: DataFrame, medians: DataFrame, exact: bool = True, *, small: bool | None = None) -> DataFrame:
+def global_median(df: DataFrame, medians: DataFrame, exact: bool = True) -> DataFrame:
     """Median of the amounts after nulls took the median of their object."""
-    return _overall_median(imputed_amounts(df, medians, small=small), exact)
+    return _overall_median(imputed_amounts(counted_values(df), medians), exact)
 
 
 def _overall_median(amounts: DataFrame, exact: bool) -> DataFrame:
     return _quantiles(exact)(amounts, "monto", {"mediana_global": 0.5}, weight="n")
 
 
-def amount_p99(
-    df: DataFrame, medians: DataFrame, overall: float, exact: bool = True, *, small: bool | None = None
-) -> DataFrame:
+def amount_p99(df: DataFrame, medians: DataFrame, overall: float, exact: bool = True) -> DataFrame:
     """99th percentile of the amounts after both imputations."""
-    return _p99(imputed_amounts(df, medians, small=small), overall, exact)
+    return _p99(imputed_amounts(counted_values(df), medians), overall, exact)
 
 
 def _p99(amounts: DataFrame, overall: float, exact: bool) -> DataFrame:
@@ -82,17 +96,18 @@ def _p99(amounts: DataFrame, overall: float, exact: bool) -> DataFrame:
     return _quantiles(exact)(filled, "monto", {"monto_p99": 0.99}, weight="n")
 
 
-def mode_values(df: DataFrame, columns: list[str]) -> DataFrame:
+def mode_values(df: DataFrame, columns: list[str], *, weight: str | None = None) -> DataFrame:
     """Most frequent value of each column, ties to the smallest text (one pass for all).
 
-    A column without values gives no row.
+    A column without values gives no row. With a `weight` column each row stands for that many rows.
     """
+    number = F.lit(1).cast("long") if weight is None else F.col(weight)
     pairs = F.array(*[F.struct(F.lit(c).alias("campo"), F.col(c).cast("string").alias("valor")) for c in columns])
     counted = (
-        df.select(F.inline(pairs))
+        df.select(F.inline(pairs), number.alias("_n"))
         .where(F.col("valor").isNotNull())
         .groupBy("campo", "valor")
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(F.sum("_n").alias("n"))
     )
     return counted.groupBy("campo").agg(
         F.min_by("valor", F.struct(-F.col("n"), F.col("valor"))).alias("valor"), F.max("n").alias("n")
@@ -106,35 +121,26 @@ def mode_value(df: DataFrame, column: str) -> DataFrame:
 def fit_preprocessor(df: DataFrame, *, medians_path: str | None = None, exact: bool = True) -> dict:
     """Learn medians, modes and the cap from training rows; returns the versioned state.
 
-    With `medians_path` the object medians stay distributed, as a Parquet table.
-    Without it they are kept in the state, which is meant for small tables only and
-    refused for large ones.
+    The object medians are a Parquet table: at `medians_path`, or in the shared folder. The
+    rows are read once, to count (object, amount, modality); every statistic comes from these counts.
     """
     missing = sorted({"monto", "objeto", "modalidad"} - set(df.columns))
     if missing:
         raise ContractError(f"fitting needs columns {missing}")
     spark = df.sparkSession
-    medians = object_medians(df, exact)
-    if medians_path is not None:
-        medians.write.mode("overwrite").parquet(medians_path)
-        medians = spark.read.schema("objeto string, monto_mediana double").parquet(medians_path)
-        n_medians, inline = medians.count(), {}
-    else:
-        rows = medians.limit(BROADCAST_ROWS + 1).collect()
-        if len(rows) > BROADCAST_ROWS:
-            raise ContractError(f"more than {BROADCAST_ROWS} objects: give medians_path")
-        inline = {r["objeto"]: r["monto_mediana"] for r in rows}
-        n_medians = len(inline)
-        medians = spark.createDataFrame(list(inline.items()), "objeto string, monto_mediana double")
-    small = n_medians <= BROADCAST_ROWS
-
-    amounts = materialize(imputed_amounts(df, medians, small=small), "amounts")
+    counted = materialize(counted_values(df), "counted")
+    location = medians_path or new_location(spark, "medians")
+    counted_medians(counted, exact).write.mode("overwrite").parquet(location)
+    medians = spark.read.schema(MEDIANS_SCHEMA).parquet(location)
+    amounts = materialize(imputed_amounts(counted, medians), "amounts")
     middle = _overall_median(amounts, exact).first()
     if middle is None:
         raise ContractError("fitting needs at least one valid amount")
     overall = float(middle["mediana_global"])
     cap = _p99(amounts, overall, exact).first()["monto_p99"]
-    modes = {r["campo"]: r["valor"] for r in mode_values(df, ["modalidad", "objeto"]).collect()}
+    modes = {r["campo"]: r["valor"] for r in mode_values(counted, ["modalidad", "objeto"], weight="n").collect()}
+    discard(amounts)
+    discard(counted)
     for column in ("modalidad", "objeto"):
         if column not in modes:
             raise ContractError(f"fitting needs at least one value of {column}")
@@ -142,26 +148,31 @@ def fit_preprocessor(df: DataFrame, *, medians_path: str | None = None, exact: b
         "schema_version": STATE_VERSION,
         "fit_engine": "spark",
         "quantile_method": EXACT if exact else APPROXIMATE,
-        "monto_mediana_por_objeto": inline,
-        "monto_mediana_por_objeto_external": medians_path is not None,
+        "monto_mediana_por_objeto": {},
+        "monto_mediana_por_objeto_external": True,
+        "monto_mediana_por_objeto_location": location,
         "monto_mediana_global": overall,
         "modalidad_moda": modes["modalidad"],
         "objeto_moda": modes["objeto"],
         "monto_p99": float(cap),
-        "object_medians_count": n_medians,
+        "object_medians_count": medians.count(),
     }
 
 
 def _state_medians(df: DataFrame, state: dict, medians: DataFrame | None) -> DataFrame:
     if state.get("monto_mediana_por_objeto_external", False):
-        if medians is None:
+        location = state.get("monto_mediana_por_objeto_location")
+        if medians is None and location is None:
             raise ContractError("the state keeps its object medians in a table, and none was given")
+        if medians is None:
+            medians = df.sparkSession.read.schema(MEDIANS_SCHEMA).parquet(location)
         missing = sorted({"objeto", "monto_mediana"} - set(medians.columns))
         if missing:
             raise ContractError(f"the table of object medians lacks {missing}")
         return medians
+    # A state that another program wrote may carry its medians itself.
     rows = [(str(k), float(v)) for k, v in state.get("monto_mediana_por_objeto", {}).items()]
-    return df.sparkSession.createDataFrame(rows, "objeto string, monto_mediana double")
+    return df.sparkSession.createDataFrame(rows, MEDIANS_SCHEMA)
 
 
 def apply_preprocessor(df: DataFrame, state: dict, medians: DataFrame | None = None) -> DataFrame:
@@ -173,8 +184,7 @@ def apply_preprocessor(df: DataFrame, state: dict, medians: DataFrame | None = N
     if state.get("schema_version") != STATE_VERSION:
         raise ContractError(f"state version {state.get('schema_version')!r} is not {STATE_VERSION}")
     table = _state_medians(df, state, medians)
-    known = state.get("object_medians_count")
-    joined = join_medians(df, table, small=None if known is None else known <= BROADCAST_ROWS)
+    joined = join_medians(df, table)
     official = F.col("id_funcionario").cast("string") if "id_funcionario" in df.columns else F.lit(None).cast("string")
     filled = joined.withColumns(
         {
@@ -207,12 +217,12 @@ def standardize_column(df: DataFrame, column: str, output: str, *, sample: bool
     return df.withColumn(output, (F.col(column) - F.lit(stats["mean"])) / F.lit(scale))
 
 
-def one_hot(df: DataFrame, column: str, *, max_values: int = 1000) -> DataFrame:
-    """One 0/1 column per value; null or unknown rows have zeros everywhere."""
-    found = df.select(column).where(F.col(column).isNotNull()).distinct().limit(max_values + 1).collect()
-    if len(found) > max_values:
-        raise ContractError(f"{column} has more than {max_values} values")
-    values = sorted(r[0] for r in found)
+def one_hot(df: DataFrame, column: str) -> DataFrame:
+    """One 0/1 column per value; null or unknown rows have zeros everywhere.
+
+    The values name columns of the result, so they are known to the driver.
+    """
+    values = sorted(r[0] for r in df.select(column).where(F.col(column).isNotNull()).distinct().collect())
     return df.withColumns(
         {f"{column}_{v}": F.coalesce((F.col(column) == v).cast("double"), F.lit(0.0)) for v in values}
     )

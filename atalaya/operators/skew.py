@@ -10,13 +10,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROWS_PER_SPLIT = 2_000_000
-MAX_HOT_KEYS = 10_000
-BROADCAST_ROWS = 200_000
-
-
-def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """Whether `df` has at most `max_rows` rows; reads at most one row more."""
-    return df.limit(max_rows + 1).count() <= max_rows
 
 
 def same_key(left: Sequence[str], right: Sequence[str]) -> Column:
@@ -29,18 +22,16 @@ def hot_keys(
 ) -> DataFrame:
     """Keys with more than `rows_per_split` rows and into how many parts to split them.
 
-    Which keys are split changes no result, so only the `MAX_HOT_KEYS` largest are.
-    That bounds the size of this table, and it may be broadcast.
+    Each of them stands for that many rows, so there are few; the optimiser decides how to join them.
     """
     splits = F.ceil(F.col(count_column) / F.lit(rows_per_split)).cast("int")
-    largest = counts.where(F.col(count_column) > rows_per_split).orderBy(F.desc(count_column), *on)
-    return largest.limit(MAX_HOT_KEYS).select(*on, splits.alias("_splits"))
+    return counts.where(F.col(count_column) > rows_per_split).select(*on, splits.alias("_splits"))
 
 
 def _with_splits(df: DataFrame, on: Sequence[str], hot: DataFrame) -> DataFrame:
     renamed = {c: f"_hot_{c}" for c in on}
     joined = df.join(
-        F.broadcast(hot.withColumnsRenamed(renamed)), same_key(list(on), list(renamed.values())), "left"
+        hot.withColumnsRenamed(renamed), same_key(list(on), list(renamed.values())), "left"
     )
     return joined.drop(*renamed.values()).withColumn("_splits", F.coalesce("_splits", F.lit(1)).cast("bigint"))
 
