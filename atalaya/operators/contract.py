@@ -20,49 +20,49 @@ _TYPES = {
     "boolean": T.BooleanType(),
 }
 
-# --- fixed values: domain -> "column kind presence"; presence is key (required,
+# --- fixed values: (column, kind, presence) of each domain; presence is key (required,
 # no nulls), required, optional, or label (required without nulls in training) ---
-_LAYOUT = {
-    "contracts": """
-        id_contrato string key
-        id_proveedor string key
-        id_entidad string key
-        id_funcionario string optional
-        monto number required
-        fecha_contrato datetime key
-        modalidad string required
-        objeto string required
-        categoria_principal string required
-        fecha_actualizacion datetime optional
-        label_favoritismo boolean label
-        label_fraccionamiento boolean label
-    """,
-    "suppliers": """
-        id_proveedor string key
-        nombre_proveedor string optional
-        ruc string optional
-    """,
-    "entities": """
-        id_entidad string key
-        nombre_entidad string optional
-    """,
-    "officials": """
-        id_funcionario string key
-        id_entidad string optional
-        nombre_funcionario string optional
-        email string optional
-        telefono string optional
-    """,
-    "payments": """
-        id_pago string key
-        id_contrato string key
-        fecha_devengado datetime optional
-        fecha_girado datetime optional
-        fecha_pagado datetime optional
-        monto_devengado number optional
-        monto_pagado number optional
-        estado string optional
-    """,
+_FIELDS = {
+    "contracts": [
+        ("id_contrato", "string", "key"),
+        ("id_proveedor", "string", "key"),
+        ("id_entidad", "string", "key"),
+        ("id_funcionario", "string", "optional"),
+        ("monto", "number", "required"),
+        ("fecha_contrato", "datetime", "key"),
+        ("modalidad", "string", "required"),
+        ("objeto", "string", "required"),
+        ("categoria_principal", "string", "required"),
+        ("fecha_actualizacion", "datetime", "optional"),
+        ("label_favoritismo", "boolean", "label"),
+        ("label_fraccionamiento", "boolean", "label"),
+    ],
+    "suppliers": [
+        ("id_proveedor", "string", "key"),
+        ("nombre_proveedor", "string", "optional"),
+        ("ruc", "string", "optional"),
+    ],
+    "entities": [
+        ("id_entidad", "string", "key"),
+        ("nombre_entidad", "string", "optional"),
+    ],
+    "officials": [
+        ("id_funcionario", "string", "key"),
+        ("id_entidad", "string", "optional"),
+        ("nombre_funcionario", "string", "optional"),
+        ("email", "string", "optional"),
+        ("telefono", "string", "optional"),
+    ],
+    "payments": [
+        ("id_pago", "string", "key"),
+        ("id_contrato", "string", "key"),
+        ("fecha_devengado", "datetime", "optional"),
+        ("fecha_girado", "datetime", "optional"),
+        ("fecha_pagado", "datetime", "optional"),
+        ("monto_devengado", "number", "optional"),
+        ("monto_pagado", "number", "optional"),
+        ("estado", "string", "optional"),
+    ],
 }
 PRIMARY_KEYS = {
     "contracts": ["id_contrato"],
@@ -86,21 +86,14 @@ def _required_in(presence: str) -> list[str]:
     return {"key": list(MODES), "required": list(MODES), "label": ["training"]}.get(presence, [])
 
 
-def _domain_schema(layout: str) -> T.StructType:
-    schema = T.StructType()
-    for line in layout.split("\n"):
-        if line.strip():
-            name, kind, presence = line.split()
-            schema.add(
-                name,
-                _TYPES[kind],
-                True,
-                {"kind": kind, "required_in": _required_in(presence), "nullable": presence not in ("key", "label")},
-            )
-    return schema
+def _field(name: str, kind: str, presence: str) -> T.StructField:
+    about = {"kind": kind, "required_in": _required_in(presence), "nullable": presence not in ("key", "label")}
+    return T.StructField(name, _TYPES[kind], True, about)
 
 
-DOMAINS: dict[str, T.StructType] = {name: _domain_schema(layout) for name, layout in _LAYOUT.items()}
+DOMAINS: dict[str, T.StructType] = {
+    domain: T.StructType([_field(*field) for field in fields]) for domain, fields in _FIELDS.items()
+}
 
 
 def domain_schema(domain: str) -> T.StructType:

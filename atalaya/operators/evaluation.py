@@ -68,10 +68,16 @@ def holdout_split_family(contracts: DataFrame, label: str = "label_fraccionamien
 
 
 def require_both_labels(assigned: DataFrame, minimum: int = MIN_GROUPS_PER_LABEL) -> dict[int, int]:
-    counts = {r["label"]: r["n"] for r in assigned.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if set(counts) != {0, 1} or min(counts.values()) < minimum:
-        raise GateError(f"both labels need at least {minimum} groups: {counts}")
-    return counts
+    """Groups with and without the label; refuses fewer than `minimum` of either, or other labels."""
+    row = assigned.agg(
+        count_flag(F.col("label") == 1).alias("with_label"), count_flag(F.col("label") == 0).alias("without"),
+        F.count(F.lit(1)).alias("groups"),
+    ).first()
+    if row["with_label"] + row["without"] < row["groups"]:
+        raise GateError(f"{row['groups'] - row['with_label'] - row['without']} groups have a label other than 0 and 1")
+    if min(row["with_label"], row["without"]) < minimum:
+        raise GateError(f"{row['without']} groups of label 0 and {row['with_label']} of label 1; each needs {minimum}")
+    return {0: row["without"], 1: row["with_label"]}
 
 
 def split_assignment_join(
@@ -97,8 +103,10 @@ def validation_split(groups: DataFrame, seed: int, keys: Sequence[str] = GROUP)
 
 def disjoint_split_check(development: DataFrame, holdout: DataFrame, keys: Sequence[str] = PAIR) -> DataFrame:
     """Number of groups that occur on both sides; it must be zero."""
-    shared = development.select(*keys).intersect(holdout.select(*keys))
-    return shared.agg(F.count(F.lit(1)).alias("n_compartidos"))
+    sides = development.select(*keys, F.lit(1).alias("_side")).unionByName(holdout.select(*keys, F.lit(2).alias("_side")))
+    # Contracts of a group meet as at most one row per task; a null key is no group.
+    groups = sides.dropna(subset=list(keys)).groupBy(*keys).agg(F.min("_side").alias("_low"), F.max("_side").alias("_high"))
+    return groups.agg(count_flag(F.col("_low") < F.col("_high")).cast("bigint").alias("n_compartidos"))
 
 
 def union_train_batch(train: DataFrame, batch: DataFrame) -> DataFrame:
