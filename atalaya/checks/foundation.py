@@ -196,13 +196,13 @@ def _(t: Tables) -> DataFrame:
     "fk_orphans",
     """
     , huerfanas AS (SELECT DISTINCT id_contrato AS clave FROM order_payments WHERE id_contrato NOT IN
-        (SELECT id_contrato FROM order_contracts))
+        (SELECT id_contrato FROM settled_orders))
     SELECT (SELECT count(*) FROM huerfanas) AS n_huerfanas,
       (SELECT string_agg(clave, ',' ORDER BY clave) FROM (SELECT clave FROM huerfanas ORDER BY clave LIMIT 5)) AS muestra""",
-    "order_contracts order_payments",
+    "settled_orders order_payments",
 )
 def _(t: Tables) -> DataFrame:
-    return quality.fk_orphans(t.order_payments, "id_contrato", t.order_contracts, "id_contrato")
+    return quality.fk_orphans(t.order_payments, "id_contrato", t.settled_orders, "id_contrato")
 
 
 def _gate_sql(domain: str, view: str, key: str, ids: list[str], amount: bool) -> str:
@@ -261,11 +261,11 @@ def _(t: Tables) -> DataFrame:
 
 @check(
     "orphan_payments",
-    "SELECT count(*) AS orphan_payments FROM order_payments WHERE id_contrato NOT IN (SELECT id_contrato FROM order_contracts)",
-    "order_contracts order_payments",
+    "SELECT count(*) AS orphan_payments FROM order_payments WHERE id_contrato NOT IN (SELECT id_contrato FROM settled_orders)",
+    "settled_orders order_payments",
 )
 def _(t: Tables) -> DataFrame:
-    return quality.orphan_payments(t.order_payments, t.order_contracts)
+    return quality.orphan_payments(t.order_payments, t.settled_orders)
 
 
 @check(

@@ -124,8 +124,8 @@ def _(t: Tables) -> DataFrame:
 
 define(
     "puntuados",
-    """SELECT id_contrato AS id, (modalidad = 'Contratación Directa')::INT::BIGINT AS label,
-       floor(coalesce(monto, 0) / 1000) / 1100 AS score FROM contracts WHERE modalidad IS NOT NULL""",
+    """SELECT id_contrato AS id, coalesce(modalidad = 'Contratación Directa', false)::INT::BIGINT AS label,
+       floor(coalesce(monto, 0) / 1000) / 1100 AS score FROM contracts""",
     "contracts",
 )
 define(
@@ -138,9 +138,9 @@ define(
 
 
 def scored(t: Tables) -> DataFrame:
-    return t.contracts.where(F.col("modalidad").isNotNull()).select(
+    return t.contracts.select(
         F.col("id_contrato").alias("id"),
-        (F.col("modalidad") == "Contratación Directa").cast("bigint").alias("label"),
+        F.coalesce(F.col("modalidad") == "Contratación Directa", F.lit(False)).cast("bigint").alias("label"),
         (F.floor(F.coalesce("monto", F.lit(0.0)) / 1000) / F.lit(1100)).alias("score"),
     )
 
@@ -269,9 +269,14 @@ def _(t: Tables) -> DataFrame:
 
 @check("choose_contamination")
 def _(t: Tables) -> DataFrame:
-    rows = _by_amount(t).select(*splitting.GROUP, "label", F.col("score_anomalia").alias("score"))
-    rows = materialize(rows, "groups")
-    return isolation.choose_contamination([evaluation.validation_split(rows, seed)[1] for seed in models.VALIDATION_SEEDS])
+    rows = materialize(groups(t), "groups")
+    scored = []
+    for seed in models.VALIDATION_SEEDS:
+        fit_rows, check_rows = evaluation.validation_split(rows, seed)
+        forest, size = isolation.isolation_train(fit_rows, splitting.GROUP_FEATURES, splitting.GROUP, trees=100, seed=seed)
+        found = isolation.isolation_score(check_rows, splitting.GROUP_FEATURES, forest, size)
+        scored.append(found.select("label", F.col("score_aislamiento").alias("score")))
+    return isolation.choose_contamination(scored)
 
 
 @check("group_fingerprint")

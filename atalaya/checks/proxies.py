@@ -127,24 +127,30 @@ class Tables:
 
     @cached_property
     def payments(self) -> DataFrame:
-        """One payment for each contract whose line is finished."""
-        return self.raw("lineitem").where(F.col("l_linestatus") == "F").select(*self._payment_columns(self._line_id()))
+        """One payment for each contract."""
+        return self.raw("lineitem").select(*self._payment_columns(self._line_id()))
 
     @cached_property
     def order_contracts(self) -> DataFrame:
-        """Orders as contracts, for the payment analysis; orders in progress are left out."""
-        return self.raw("orders").where(F.col("o_orderstatus") != "P").select(
+        """Orders as contracts, for the payment analysis."""
+        return self.raw("orders").select(
             F.concat(F.lit("O"), "o_orderkey").alias("id_contrato"),
             F.when(F.col("o_orderpriority") != "5-LOW", F.floor(F.col("o_totalprice") / 2).cast("double")).alias("monto"),
             F.when(F.col("o_orderpriority") != "1-URGENT", F.lit("Licitación Pública")).alias("modalidad"),
             (F.col("o_orderdate") + F.expr("interval 25 years")).cast("timestamp").alias("fecha_contrato"),
             F.lit("goods").alias("categoria_principal"),
             F.col("o_orderpriority").alias("objeto"),
+            F.col("o_orderstatus").alias("_status"),
         )
 
+    @cached_property
+    def settled_orders(self) -> DataFrame:
+        """Without orders in progress, so that their payments are orphans."""
+        return self.order_contracts.where(F.col("_status") != "P")
+
     @cached_property
     def order_payments(self) -> DataFrame:
-        """Line items as payments of their order, among them payments of left-out orders."""
+        """Line items as payments of their order, among them payments of orders in progress."""
         return self.raw("lineitem").select(*self._payment_columns(F.concat(F.lit("O"), "l_orderkey")))
 
     # --- open contracting ---------------------------------------------------------
@@ -180,8 +186,7 @@ class Tables:
 
     @cached_property
     def ocds_awards_suppliers(self) -> DataFrame:
-        lines = self.raw("lineitem").where(F.col("l_discount") > 0)
-        joined = lines.join(self.raw("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+        joined = self.raw("lineitem").join(self.raw("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
         consortium = F.when(F.col("s_nationkey") < 5, F.lit("Consorcio ")).otherwise(F.lit(""))
         return joined.select(
             F.concat(F.lit("OC"), "l_orderkey").alias("main_ocid"),
@@ -273,13 +278,14 @@ VIEWS = {
       lower(c_name) || '@example.org' AS email, 'T' || c_nationkey AS telefono,
       CASE WHEN c_acctbal > 0 THEN 'D' || CAST(floor(c_acctbal / 100) AS BIGINT) END AS direccion
     FROM customer""",
-    "payments": f"SELECT {_payment_sql(_LINE_ID)} FROM lineitem WHERE l_linestatus = 'F'",
+    "payments": f"SELECT {_payment_sql(_LINE_ID)} FROM lineitem",
     "order_contracts": """
     SELECT 'O' || o_orderkey AS id_contrato,
       CASE WHEN o_orderpriority <> '5-LOW' THEN floor(o_totalprice / 2) END AS monto,
       CASE WHEN o_orderpriority <> '1-URGENT' THEN 'Licitación Pública' END AS modalidad,
-      o_orderdate + INTERVAL 25 YEAR AS fecha_contrato, 'goods' AS categoria_principal, o_orderpriority AS objeto
-    FROM orders WHERE o_orderstatus <> 'P'""",
+      o_orderdate + INTERVAL 25 YEAR AS fecha_contrato, 'goods' AS categoria_principal, o_orderpriority AS objeto,
+      o_orderstatus AS _status FROM orders""",
+    "settled_orders": "SELECT * FROM order_contracts WHERE _status <> 'P'",
     "order_payments": f"SELECT {_payment_sql(chr(39) + 'O' + chr(39) + ' || l_orderkey')} FROM lineitem",
     "ocds_main": """
     SELECT 'OC' || o_orderkey AS ocid, CASE WHEN o_orderpriority <> '5-LOW' THEN 'B' || o_custkey END AS buyer_id,
@@ -294,7 +300,7 @@ VIEWS = {
     "ocds_awards_suppliers": """
     SELECT 'OC' || l_orderkey AS main_ocid, 'A' || l_linenumber AS awards_id, 'P' || l_suppkey AS id,
       CASE WHEN s_nationkey < 5 THEN 'Consorcio ' ELSE '' END || s_name AS name
-    FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE l_discount > 0""",
+    FROM lineitem JOIN supplier ON l_suppkey = s_suppkey""",
     "ocds_parties": """
     SELECT 'P' || s_suppkey AS id, s_name AS name, '[''tenderer'', ''supplier'']' AS roles,
       lpad(CAST(s_suppkey AS VARCHAR), 11, '0') AS identifier_id, 'D' || s_nationkey AS "address_streetAddress",
@@ -332,6 +338,7 @@ VIEWS = {
 }
 _NEEDS = {
     "contracts": ["training"],
+    "settled_orders": ["order_contracts"],
     "medians": ["training"],
     "partly": ["medians"],
     "overall": ["partly"],

@@ -28,11 +28,11 @@ def _(t: Tables) -> DataFrame:
 @check(
     "orphan_left_vs_inner",
     """SELECT count(*) AS filas_left, count(o.id_contrato) AS filas_inner FROM order_payments p
-       LEFT JOIN order_contracts o ON p.id_contrato = o.id_contrato""",
-    "order_payments order_contracts",
+       LEFT JOIN settled_orders o ON p.id_contrato = o.id_contrato""",
+    "order_payments settled_orders",
 )
 def _(t: Tables) -> DataFrame:
-    return orphan_left_vs_inner(t.order_payments, t.order_contracts, "id_contrato")
+    return orphan_left_vs_inner(t.order_payments, t.settled_orders, "id_contrato")
 
 
 define(
@@ -144,30 +144,29 @@ def _(t: Tables) -> DataFrame:
     return rounded(graph.top_officials(_ranks(t)), 6, "pagerank")
 
 
-# Links between suppliers and officials whose contract is a flagged direct award: a sparse
-# graph with many components.
+# Links between suppliers and officials of all contracts. Labels sink to the smallest id in rounds; the graph is
+# a dense two-layer one, whose paths are short.
+_ROUNDS = 8
 define(
     "enlaces",
-    """SELECT DISTINCT id_proveedor AS src, id_funcionario AS dst FROM training
-       WHERE label_favoritismo AND id_funcionario IS NOT NULL""",
+    """SELECT DISTINCT id_proveedor AS src, id_funcionario AS dst FROM training WHERE id_funcionario IS NOT NULL""",
     "training",
 )
 
 
-@check(
-    "connected_components",
-    """
-    SELECT id, min(raiz) AS component FROM (
-      WITH RECURSIVE lados AS (SELECT src AS a, dst AS b FROM enlaces UNION SELECT dst, src FROM enlaces),
-      alcance(id, raiz) AS (
-        SELECT id, id FROM vertices
-        UNION SELECT lados.b, alcance.raiz FROM alcance JOIN lados ON alcance.id = lados.a
-          WHERE alcance.raiz < lados.b)
-      SELECT * FROM alcance) GROUP BY id""",
-    "enlaces vertices",
-)
+def _sinking_labels() -> str:
+    steps = [", lados AS (SELECT src AS a, dst AS b FROM enlaces UNION SELECT dst, src FROM enlaces), r0 AS (SELECT id, id AS raiz FROM vertices)"]
+    steps += [
+        f"""r{i} AS (SELECT v.id, least(v.raiz, coalesce(min(w.raiz), v.raiz)) AS raiz FROM r{i - 1} v
+        LEFT JOIN lados ON v.id = lados.a LEFT JOIN r{i - 1} w ON lados.b = w.id GROUP BY v.id, v.raiz)"""
+        for i in range(1, _ROUNDS + 1)
+    ]
+    return ", ".join(steps) + f" SELECT id, raiz AS component FROM r{_ROUNDS}"
+
+
+@check("connected_components", _sinking_labels(), "enlaces vertices")
 def _(t: Tables) -> DataFrame:
-    links = t.training.where(F.col("label_favoritismo") & F.col("id_funcionario").isNotNull()).select(
+    links = t.training.where(F.col("id_funcionario").isNotNull()).select(
         F.col("id_proveedor").alias("src"), F.col("id_funcionario").alias("dst")
     )
     return graph.connected_components(graph.union_vertices(t.suppliers, t.officials), links)

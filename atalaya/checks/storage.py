@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -253,13 +254,12 @@ def _(t: Tables) -> DataFrame:
     return _plain(reports.report_favoritism(_pair_ranking(t), RUN_AT))
 
 
-def _by_object(t: Tables) -> DataFrame:
-    """Group ranking with the family as object, which makes the report key unique."""
-    signalled = splitting.interpretable_signal(groups(t)).withColumn("objeto", F.col("objeto_familia"))
+def _by_family(t: Tables) -> DataFrame:
+    signalled = splitting.interpretable_signal(groups(t))
     return signalled.withColumn("score_anomalia", F.col("monto_total_grupo") / 1000)
 
 
-_GROUP_REPORT = """SELECT id_proveedor, id_entidad, objeto_familia AS objeto, max_contratos_ventana_15d AS max_contratos_ventana,
+_GROUP_REPORT = """SELECT id_proveedor, id_entidad, objeto_familia, objeto, max_contratos_ventana_15d AS max_contratos_ventana,
   CAST(CAST(pct_montos_bajo_umbral AS DECIMAL(9, 8)) AS DOUBLE) AS pct_bajo_umbral,
   CAST(CAST(monto_total_grupo / 1000 AS DECIMAL(18, 10)) AS DOUBLE) AS score_anomalia,
   (max_contratos_ventana_15d >= 3 AND pct_montos_bajo_umbral >= 0.7)::INT AS senal_priorizacion,
@@ -268,7 +268,7 @@ _GROUP_REPORT = """SELECT id_proveedor, id_entidad, objeto_familia AS objeto, ma
 
 @check("report_splitting", _GROUP_REPORT, "grupos")
 def _(t: Tables) -> DataFrame:
-    return _plain(reports.report_splitting(_by_object(t), RUN_AT))
+    return _plain(reports.report_splitting(_by_family(t), RUN_AT))
 
 
 def _links(t: Tables) -> DataFrame:
@@ -289,19 +289,21 @@ def _(t: Tables) -> DataFrame:
 @check(
     "report_views",
     """SELECT 'vw_reporte_favoritismo' AS vista, count(*) AS filas FROM pares UNION ALL
+       SELECT 'vw_reporte_fraccionamiento', count(*) FROM grupos UNION ALL
        SELECT 'vw_reporte_vinculos', count(*) FROM vinculos WHERE dst IS NOT NULL""",
-    "pares vinculos",
+    "pares grupos vinculos",
 )
 def _(t: Tables) -> DataFrame:
     names = reports.report_views({
         "favoritismo": reports.report_favoritism(_pair_ranking(t), RUN_AT),
+        "fraccionamiento": reports.report_splitting(_by_family(t), RUN_AT),
         "vinculos": reports.report_links(_links(t), RUN_AT),
     })
     parts = [
         t.spark.table(v).agg(F.count(F.lit(1)).alias("filas")).select(F.lit(v).alias("vista"), "filas")
         for v in names.values()
     ]
-    return parts[0].unionByName(parts[1])
+    return reduce(DataFrame.unionByName, parts)
 
 
 @check("report_filter", f"SELECT * FROM ({_PAIR_REPORT}) WHERE score_riesgo >= 0.1", "pares")
@@ -312,13 +314,15 @@ def _(t: Tables) -> DataFrame:
 
 @check(
     "publish_gate_counts",
-    "SELECT 'favoritismo' AS reporte, count(*) AS filas FROM pares UNION ALL SELECT 'fraccionamiento', count(*) FROM grupos",
-    "pares grupos",
+    "SELECT 'favoritismo' AS reporte, count(*) AS filas FROM pares UNION ALL SELECT 'fraccionamiento', count(*) FROM grupos "
+    "UNION ALL SELECT 'vinculos', count(*) FROM vinculos WHERE dst IS NOT NULL",
+    "pares grupos vinculos",
 )
 def _(t: Tables) -> DataFrame:
     tables = {
         "favoritismo": reports.report_favoritism(_pair_ranking(t), RUN_AT),
-        "fraccionamiento": reports.report_splitting(_by_object(t), RUN_AT),
+        "fraccionamiento": reports.report_splitting(_by_family(t), RUN_AT),
+        "vinculos": reports.report_links(_links(t), RUN_AT),
     }
     reports.report_views(tables)
     found = reports.publish_gate_counts(t.spark, {name: df.count() for name, df in tables.items()})
