@@ -32,7 +32,7 @@ BENCH_GRID = {"numTrees": [100, 300], "maxDepth": [3, 6]}
 OPERATIONAL_GRID = {"numTrees": [100, 200, 300], "maxDepth": [3, 4, 6]}
 BENCH_FOLDS, MAX_FOLDS, MIN_FOLDS = 3, 5, 3
 K_VALUES = [2, 3, 4, 5, 6]
-VALIDATION_SEEDS = [11, 23, 37]
+VALIDATION_SEEDS = [11, 23, 37, 53, 71]
 COMPARED_FOREST = {"numTrees": 100, "maxDepth": 3}
 COMPARED_BOOSTING = {"maxIter": 100, "maxDepth": 3, "stepSize": 0.1}
 METRICS = ["accuracy", "auc_pr", "auc_roc", "precision", "recall", "f1", "recall_at_k"]
@@ -71,7 +71,8 @@ def _forest(**params) -> RandomForestClassifier:
 
 def rf_train(features: DataFrame, trees: int, depth: int) -> RandomForestClassificationModel:
     """Weighted random forest on the pair features in their fixed order."""
-    rows = spread(assemble(class_weights(features), PAIR_FEATURES).select("features", "label", "peso"))
+    weighted = spread(class_weights(features).select(*PAIR_FEATURES, "label", "peso"), [*PAIR_FEATURES, "label"])
+    rows = assemble(weighted, PAIR_FEATURES).select("features", "label", "peso")
     return _forest(numTrees=int(trees), maxDepth=int(depth)).fit(rows)
 
 
@@ -94,7 +95,7 @@ def rf_tune(
     kept = materialize(
         stratified_folds(class_weights(features), folds).select(*PAIR_FEATURES, "label", "peso", "fold"), "folds"
     )
-    rows = spread(assemble(kept, PAIR_FEATURES).select("features", "label", "peso", "fold"))
+    rows = assemble(spread(kept, [*PAIR_FEATURES, "label", "fold"]), PAIR_FEATURES).select("features", "label", "peso", "fold")
     try:
         forest = _forest()
         settings = ParamGridBuilder()
@@ -142,7 +143,7 @@ def compare_classifiers(features: DataFrame, folds: int = MAX_FOLDS) -> DataFram
     folds = fold_number(features, folds)
     dealt = stratified_folds(class_weights(features), folds).withColumn("id", group_id(PAIR))
     kept = materialize(dealt.select("id", *PAIR_FEATURES, "label", "peso", "fold"), "folds")
-    rows = spread(assemble(kept, PAIR_FEATURES).select("id", "features", "label", "peso", "fold"))
+    rows = assemble(spread(kept, ["id"]), PAIR_FEATURES).select("id", "features", "label", "peso", "fold")
     columns = {"featuresCol": "features", "labelCol": "label", "weightCol": "peso"}
     models = {
         "regresion_logistica": LogisticRegression(**columns),
@@ -174,7 +175,7 @@ def compare_classifiers(features: DataFrame, folds: int = MAX_FOLDS) -> DataFram
 
 def kmeans_train(groups: DataFrame, k: int, seed: int = SEED) -> tuple[KMeansModel, StandardScalerModel]:
     """Scaler with mean and deviation, then k-means; labels are never used."""
-    raw = spread(assemble(groups, GROUP_FEATURES, "features_raw").select("features_raw"))
+    raw = assemble(spread(groups.select(*GROUP_FEATURES), GROUP_FEATURES), GROUP_FEATURES, "features_raw").select("features_raw")
     scaler = StandardScaler(inputCol="features_raw", outputCol="features", withMean=True, withStd=True).fit(raw)
     clusters = KMeans(featuresCol="features", predictionCol="cluster", k=int(k), seed=seed)
     return clusters.fit(scaler.transform(raw)), scaler

@@ -225,15 +225,25 @@ def publish_gate_range(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return one_row.select(F.inline(F.array(*entries)))
 
 
-def order_inversions(ranked: DataFrame, score: str, limit: int) -> DataFrame:
-    """Inversions among the first `limit` rows of an ordered result."""
-    placed = ranked.limit(limit).withColumn("_place", F.monotonically_increasing_id())
-    previous = F.lag(score).over(Window.orderBy("_place"))
-    flagged = placed.withColumn("_inverted", F.col(score) > previous)
-    return flagged.agg(
-        F.count(F.lit(1)).alias("filas"),
-        F.coalesce(count_flag(F.col("_inverted")), F.lit(0)).cast("bigint").alias("inversiones"),
+def order_inversions(ranked: DataFrame, score: str) -> DataFrame:
+    """Rows of an ordered result whose score is above the one before; all rows are looked at.
+
+    Neighbours are compared inside each sorted partition, and the partitions' first and last rows with each
+    other: one row per partition.
+    """
+    placed = ranked.select(F.col(score).alias("_score"), F.monotonically_increasing_id().alias("_place"))
+    placed = placed.withColumn("_part", F.shiftright("_place", 33))
+    before = F.lag("_score").over(Window.partitionBy("_part").orderBy("_place"))
+    parts = placed.withColumn("_inverted", F.col("_score") > before).groupBy("_part").agg(
+        F.count(F.lit(1)).alias("rows"), count_flag(F.col("_inverted")).alias("inside"),
+        F.min_by("_score", "_place").alias("first"), F.max_by("_score", "_place").alias("last"),
     )
+    edge = F.col("first") > F.lag("last").over(Window.orderBy("_part"))
+    joined = parts.withColumn("_edge", edge).agg(
+        F.sum("rows").alias("rows"), F.sum("inside").alias("inside"), count_flag(F.col("_edge")).alias("edges")
+    )
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("bigint")
+    return joined.select(zero("rows").alias("filas"), (zero("inside") + zero("edges")).alias("inversiones"))
 
 
 def require_columns(df: DataFrame, columns: Sequence[str], name: str) -> None:

@@ -15,7 +15,7 @@ FAVORITISM = {
     "pct_comparacion_precios": "decimal(9,8)", "score_riesgo": "decimal(10,9)",
 }
 SPLITTING = {
-    "id_proveedor": "string", "id_entidad": "string", "objeto": "string",
+    "id_proveedor": "string", "id_entidad": "string", "objeto_familia": "string", "objeto": "string",
     "max_contratos_ventana": "int", "pct_bajo_umbral": "decimal(9,8)",
     "score_anomalia": "decimal(18,10)", "senal_priorizacion": "int",
 }
@@ -60,12 +60,15 @@ def report_favoritism(ranking: DataFrame, run_at: str) -> DataFrame:
 
 
 def report_splitting(ranking: DataFrame, run_at: str) -> DataFrame:
-    """Group report after its gates; the older name of the flag is accepted too."""
+    """Group report after its gates; the older name of the flag is accepted too.
+
+    A group is one of an object family; its object is the representative one and may repeat.
+    """
     named = ranking.withColumnsRenamed({k: v for k, v in SPLITTING_NAMES.items() if k in ranking.columns})
     require_columns(named, list(SPLITTING), "splitting report")
     require_publishable(
         named,
-        ["id_proveedor", "id_entidad", "objeto"],
+        ["id_proveedor", "id_entidad", "objeto_familia"],
         ["pct_bajo_umbral"],
         ["max_contratos_ventana"],
         "splitting report",
@@ -112,6 +115,6 @@ def publish_gate_counts(spark: SparkSession, expected: dict[str, int]) -> dict[s
         top = spark.table(VIEWS["fraccionamiento"]).orderBy(F.desc("score_anomalia")).limit(SPLITTING_TOP)
         checks["fraccionamiento"] = (top, "score_anomalia")
     for name, (query, score) in checks.items():
-        if order_inversions(query, score, SPLITTING_TOP).first()["inversiones"]:
+        if order_inversions(query, score).first()["inversiones"]:
             raise GateError(f"{name}: the report query lost its descending order")
     return counts

@@ -56,7 +56,7 @@ def shared_folder(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if spark.sparkContext.master.partition("[")[0] != "local":
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     spark.conf.set("spark.checkpoint.dir", folder)
@@ -82,13 +82,16 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return kept
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """At least one partition per core, for a small table that is about to be fitted on.
+#: Partitions of the rows that a model is fitted on, on any cluster: samples are seeded by partition.
+FIT_PARTITIONS = 32
 
-    A table that already has as many partitions is left as it is.
+
+def spread(df: DataFrame, columns: Sequence[str], partitions: int = FIT_PARTITIONS) -> DataFrame:
+    """The rows in a fixed number of partitions and a fixed order inside each, by the given plain columns.
+
+    So a fit that samples by partition gives the same model on any number of cores.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(partitions, *columns).sortWithinPartitions(*columns)
 
 
 def discard(kept: DataFrame) -> None:

@@ -109,7 +109,7 @@ def test_isolation_forest_finds_outliers_and_is_repeatable(spark):
     assert values[0] == values[1] and len(values[0]) == 602
     assert all(0 < v < 1 for v in values[0].values())
     pool = isolation.isolation_forest(df, ["x", "y"], ["k"], trees=5, sample=16)
-    assert pool.count() == 602
+    assert pool.count() == 602 and pool.where("anomalia = 1").count() == 13
 
 
 def test_contamination(spark):
@@ -117,7 +117,7 @@ def test_contamination(spark):
     marked = isolation.contamination_cut(scored, 0.05)
     assert marked.where("pred = 1").count() == 5
     best = isolation.choose_contamination([scored, scored]).first()
-    assert best["contaminacion"] == 0.05 and best["f1_validacion_medio"] == 1.0
+    assert best["contaminacion"] == "0.05" and best["f1_validacion_medio"] == 1.0
 
 
 def test_psi_of_equal_shifted_and_constant_columns(spark):

@@ -168,8 +168,8 @@ def test_report_queries_and_counts(spark):
 
 
 def test_older_flag_name(spark):
-    columns = "id_proveedor string, id_entidad string, objeto string, max_contratos_ventana_15d int, pct_montos_bajo_umbral double, score_anomalia double, cumple_regla_fraccionamiento boolean"
-    row = reports.report_splitting(spark.createDataFrame([("P", "E", "o", 3, 1.0, 2.5, True)], columns), "2026-01-01").first()
+    columns = "id_proveedor string, id_entidad string, objeto_familia string, objeto string, max_contratos_ventana_15d int, pct_montos_bajo_umbral double, score_anomalia double, cumple_regla_fraccionamiento boolean"
+    row = reports.report_splitting(spark.createDataFrame([("P", "E", "f", "o", 3, 1.0, 2.5, True)], columns), "2026-01-01").first()
     assert row["senal_priorizacion"] == 1
 
 
