@@ -20,8 +20,27 @@ SMALL_PAYMENT_LIMIT = 5000
 # --------------------------------------------------------------------------------
 
 
-def _share(flag: str):
-    return F.avg(F.col(flag).cast("double"))
+_FLAGS = ["es_contratacion_directa", "es_comparacion_precios"]
+
+
+def _pair_cells(contracts: DataFrame, amount: str, values: list[str], label: str | None = None) -> DataFrame:
+    """Partial measures per pair and combination of `values`, so that distinct counts expand few rows."""
+    return contracts.groupBy(*PAIR, *values).agg(
+        F.count("id_contrato").alias("_contracts"), F.sum(amount).alias("_sum"), F.count(amount).alias("_amounts"),
+        *[F.sum(F.col(f).cast("double")).alias(f) for f in _FLAGS], *[F.count(f).alias(f"_of_{f}") for f in _FLAGS],
+        F.min("fecha_contrato").alias("_first"), F.max("fecha_contrato").alias("_last"),
+        *([F.max(F.col(label).cast("int")).alias("label")] if label else []),
+    )
+
+
+def _pair_measures() -> list:
+    ratio = lambda a, b: F.try_divide(F.sum(a), F.sum(b))
+    return [
+        F.sum("_contracts").alias("n_contratos"), F.sum("_sum").alias("monto_total"), ratio("_sum", "_amounts").alias("monto_promedio"),
+        F.countDistinct("objeto").alias("n_objetos_unicos"),
+        *[ratio(f, f"_of_{f}").alias(f.replace("es_", "pct_", 1)) for f in _FLAGS],
+        F.min("_first").alias("_first"), F.max("_last").alias("_last"),
+    ]
 
 
 def _activity(pairs: DataFrame) -> DataFrame:
@@ -47,20 +66,11 @@ def fav_features(contracts: DataFrame, *, label: str | None = None, amount: str
     missing = [c for c in needed if c not in contracts.columns]
     if missing:
         raise ContractError(f"pair features need columns {missing}")
-    measures = [
-        F.count("id_contrato").alias("n_contratos"),
-        F.sum(amount).alias("monto_total"),
-        F.avg(amount).alias("monto_promedio"),
-        F.countDistinct("objeto").alias("n_objetos_unicos"),
-        F.countDistinct("id_funcionario").alias("n_funcionarios_distintos"),
-        _share("es_contratacion_directa").alias("pct_contratacion_directa"),
-        _share("es_comparacion_precios").alias("pct_comparacion_precios"),
-        F.min("fecha_contrato").alias("_first"),
-        F.max("fecha_contrato").alias("_last"),
-    ]
+    measures = [*_pair_measures(), F.countDistinct("id_funcionario").alias("n_funcionarios_distintos")]
     if label:
-        measures.append(F.max(F.col(label).cast("int")).alias("label"))
-    pairs = _activity(contracts.groupBy(*PAIR).agg(*measures))
+        measures.append(F.max("label").alias("label"))
+    cells = _pair_cells(contracts, amount, ["objeto", "id_funcionario"], label)
+    pairs = _activity(cells.groupBy(*PAIR).agg(*measures))
     per_official = F.col("monto_total") / F.greatest("n_funcionarios_distintos", F.lit(1))
     return pairs.withColumn("monto_por_funcionario", per_official).select(
         *PAIR, *PAIR_FEATURES, *(["label"] if label else [])
@@ -72,16 +82,7 @@ def fav_features_real(contracts: DataFrame) -> DataFrame:
     flagged = contracts.withColumns(
         {name: F.coalesce(flag, F.lit(False)) for name, flag in modality_flags(F.col("modalidad")).items()}
     )
-    pairs = flagged.groupBy(*PAIR).agg(
-        F.count("id_contrato").alias("n_contratos"),
-        F.sum("monto").alias("monto_total"),
-        F.avg("monto").alias("monto_promedio"),
-        F.countDistinct("objeto").alias("n_objetos_unicos"),
-        _share("es_contratacion_directa").alias("pct_contratacion_directa"),
-        _share("es_comparacion_precios").alias("pct_comparacion_precios"),
-        F.min("fecha_contrato").alias("_first"),
-        F.max("fecha_contrato").alias("_last"),
-    )
+    pairs = _pair_cells(flagged, "monto", ["objeto"]).groupBy(*PAIR).agg(*_pair_measures())
     return _activity(pairs.where(F.col("n_contratos") >= 2))
 
 

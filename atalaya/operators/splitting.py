@@ -16,6 +16,7 @@ from atalaya.errors import ContractError
 from atalaya.functions.norms import threshold
 from atalaya.functions.text import object_family
 from atalaya.operators.skew import hot_split_join
+from atalaya.runtime import materialize
 
 GROUP = ["id_proveedor", "id_entidad", "objeto_familia"]
 # --- fixed values ---------------------------------------------------------------
@@ -66,7 +67,8 @@ def _points(contracts: DataFrame, keys: Sequence[str], *measures) -> DataFrame:
 def window_15d(contracts: DataFrame, keys: Sequence[str] = GROUP) -> DataFrame:
     """Per contract: number and amount of its group's contracts in the next 15 days, inclusive."""
     keys = list(keys)
-    points = _points(contracts, keys, F.count(F.lit(1)).alias("_rows"))
+    # Written once: the totals and the frequent keys read it.
+    points = materialize(_points(contracts, keys, F.count(F.lit(1)).alias("_rows")), "points")
     totals = window_points(points, keys).select(*keys, "_ts", "contratos_ventana_15d", "monto_ventana_15d")
     return hot_split_join(_seconds(contracts), totals, [*keys, "_ts"], points, "_rows").drop("_ts")
 
@@ -101,12 +103,18 @@ def frac_features(contracts: DataFrame, *, label: str | None = None) -> DataFram
         "_under", (F.col("monto") < limit * THRESHOLD_SHARE).cast("bigint")
     )
 
-    extra = [
-        F.sum("_under").alias("_under"),
-        F.count("_under").alias("_compared"),
-        *([F.max(F.col(label).cast("int")).alias("label")] if label else []),
-    ]
-    points = window_points(_points(base, GROUP, *extra), GROUP)
+    # Rows are read and put into families once. What follows works on contracts of one group, object and second.
+    cells = materialize(
+        _points(
+            base, [*GROUP, "objeto"], F.sum("_under").alias("_under"), F.count("_under").alias("_compared"),
+            F.count("objeto").alias("_named"), *([F.max(F.col(label).cast("int")).alias("label")] if label else []),
+        ),
+        "cells",
+    )
+    seconds = cells.groupBy(*GROUP, "_ts").agg(
+        *[F.sum(c).alias(c) for c in ("n", "monto", "_under", "_compared")], *([F.max("label").alias("label")] if label else [])
+    )
+    points = window_points(seconds, GROUP)
     groups = points.groupBy(*GROUP).agg(
         F.sum("n").alias("n_contratos_grupo"),
         F.try_divide(F.sum("_under"), F.sum("_compared")).alias("pct_montos_bajo_umbral"),
@@ -115,7 +123,7 @@ def frac_features(contracts: DataFrame, *, label: str | None = None) -> DataFram
         *([F.max("label").alias("label")] if label else []),
     ).where(F.col("n_contratos_grupo") >= 2)
 
-    per_object = base.groupBy(*GROUP, "objeto").agg(F.count("objeto").alias("_n"))
+    per_object = cells.groupBy(*GROUP, "objeto").agg(F.sum("_named").alias("_n"))
     representative = per_object.groupBy(*GROUP).agg(
         F.min_by("objeto", F.struct(-F.col("_n"), F.col("objeto"))).alias("objeto")
     )
