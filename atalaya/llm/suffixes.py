@@ -39,7 +39,7 @@ from atalaya.runtime import materialize
 LENGTH = 200
 GRAM = 72
 #: Bytes of text worked on at once; places inside fit the low bits of a sort key.
-CHUNK_BYTES = 8_000_000
+CHUNK_BYTES = 3_000_000
 _PLACE_BITS = 24
 #: Bytes of text per bucket of rows. A bucket is sorted in one task.
 BUCKET_BYTES = 16_000_000
