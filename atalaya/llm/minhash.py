@@ -228,12 +228,17 @@ _PAIR = "a long, b long, key_a binary, key_b binary"
 
 def _across(open_: pd.DataFrame, members: pd.DataFrame, least: float) -> pd.DataFrame:
     """Pairs of open members with members of other components of their bucket, if their signatures agree."""
-    marks, rows = _marks(members["marks"].tolist()), []
+    if open_.empty:
+        return pd.DataFrame({"a": [], "b": [], "key_a": [], "key_b": []})
+    marks, bands, rows = _marks(members["marks"].tolist()), np.stack(members["bands"].to_numpy()), []
     band, component, rep, is_open = (members[c].to_numpy() for c in ("band", "component", "rep", "open"))
     key = members["key"].tolist()
-    for b, c, r, k, own in zip(open_["band"], open_["component"], open_["rep"], open_["key"], _marks(open_["marks"].tolist()), strict=True):
+    each = zip(*(open_[c] for c in ("band", "component", "rep", "key", "bands")), _marks(open_["marks"].tolist()), strict=True)
+    for b, c, r, k, own_bands, own in each:
         # Two open members meet twice, once from each side.
         near = np.flatnonzero((band == b) & (component != c) & (~is_open | (rep < r)))
+        # A pair that shares several buckets is taken in the first of them.
+        near = near[np.asarray(own_bands)[(bands[near] == own_bands).argmax(axis=1)] == b]
         for j in near[(marks[near] == own).mean(axis=1) >= least].tolist():
             rows.append((rep[j], r, key[j], k) if rep[j] < r else (r, rep[j], k, key[j]))
     return pd.DataFrame(rows, columns=["a", "b", "key_a", "key_b"])
@@ -247,8 +252,8 @@ def pairs_across(placed: DataFrame, classes: DataFrame, least: float) -> DataFra
     parts = placed.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n"))
     mixed = parts.groupBy("band").agg(F.max(F.struct("n", "component")).alias("most"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
     inside = _bucket_join(placed, mixed.select("band", F.col("most.component").alias("main")))
-    marked = inside.join(classes.select("rep", "key", "marks"), "rep")
-    ready = materialize(marked.select("band", "rep", "component", "key", "marks", (F.col("component") != F.col("main")).alias("open")), "mixed")
+    marked = inside.join(classes.select("rep", "key", "marks", "bands"), "rep")
+    ready = materialize(marked.select("band", "rep", "component", "key", "marks", "bands", (F.col("component") != F.col("main")).alias("open")), "mixed")
     found = compare_open(ready, "band", "rep", lambda u, m: _across(u, m, least), _PAIR, block=BLOCK, chunk=CHUNK, rows=ready.count())
     return found.distinct()
 
