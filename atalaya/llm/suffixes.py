@@ -39,10 +39,12 @@ from atalaya.runtime import materialize
 LENGTH = 200
 GRAM = 72
 #: Bytes of text worked on at once; places inside fit the low bits of a sort key.
-CHUNK_BYTES = 3_000_000
+CHUNK_BYTES = 2_000_000
 _PLACE_BITS = 24
+#: Rows that Python gets at once: long documents or packed columns, which add up.
+ROWS_AT_ONCE = 64
 #: Bytes of text per bucket of rows. A bucket is sorted in one task.
-BUCKET_BYTES = 16_000_000
+BUCKET_BYTES = 8_000_000
 _U = np.uint64
 ALONE, SEVERAL, MIXED = 0, 1, 2
 
@@ -316,8 +318,11 @@ def window_rows(affected: DataFrame, buckets: int, length: int) -> DataFrame:
     return affected.select("ref", "runs", "text").mapInArrow(run, _ROWS)
 
 
+_PLACES = "bucket int, refs binary, starts binary"
+
+
 def repeated_windows(rows: DataFrame, buckets: int) -> DataFrame:
-    """Per document, places of windows that repeat, packed."""
+    """Places of windows that repeat, packed by buckets of documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for decided, part in _buckets(batches):
@@ -326,12 +331,33 @@ def repeated_windows(rows: DataFrame, buckets: int) -> DataFrame:
                 order, group, size = _grouped(first, second)
                 hit = order[(size[group] > 1) & (flag[order] == 0)]
                 ref, start = ref[hit], start[hit]
-            order, group, size = _grouped(ref)
-            names = ref[order][np.cumsum(size) - size] if len(order) else ref
-            places = np.split(start[order], np.cumsum(size)[:-1]) if len(order) else []
-            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array([p.astype("<i4").tobytes() for p in places], pa.binary())], ["ref", "places"])
+            target = (mix(ref.view(_U)) % _U(buckets)).astype(np.int64)
+            yield _batch([(which, ref[at].tobytes(), start[at].astype("<i4").tobytes()) for which, at in _by_bucket(target)], _PLACES)
+
+    return _dealt(rows, buckets).mapInArrow(run, _PLACES)
+
+
+def places_of_documents(packed: DataFrame, buckets: int) -> DataFrame:
+    """One row per document: its places, packed."""
+
+    def flush(rows: list[dict]) -> pa.RecordBatch:
+        ref = np.frombuffer(b"".join(r["refs"] for r in rows), "<i8")
+        start = np.frombuffer(b"".join(r["starts"] for r in rows), "<i4")
+        out = [(int(ref[at[0]]), start[at].tobytes()) for _, at in _by_bucket(ref)]
+        return _batch(out, "ref long, places binary")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
+        for batch in batches:
+            for row in batch.to_pylist():
+                if held and row["bucket"] != held[0]["bucket"]:
+                    yield flush(held)
+                    held = []
+                held.append(row)
+        if held:
+            yield flush(held)
 
-    return _dealt(rows, buckets).mapInArrow(run, "ref long, places binary")
+    return _dealt(packed, buckets).mapInArrow(run, "ref long, places binary")
 
 
 def covered_spans(size: int, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -355,7 +381,7 @@ def cut_documents(affected: DataFrame, windows: DataFrame, length: int) -> DataF
             for row in batch.to_pylist():
                 data = np.frombuffer(row["text"].encode("utf-8", "surrogatepass"), np.uint8)
                 settled = np.array([(x["start"], x["start"] + x["span"]) for x in row["runs"] if x["settled"]], np.int64).reshape(-1, 2)
-                single = np.frombuffer(b"".join(row["places"] or ()), "<i4").astype(np.int64)
+                single = np.frombuffer(row["places"] or b"", "<i4").astype(np.int64)
                 begin, end = covered_spans(len(data), np.concatenate([settled[:, 0], single]), np.concatenate([settled[:, 1], single]) + length)
                 keep = np.ones(len(data), bool)
                 for b, e in zip(begin.tolist(), end.tolist(), strict=True):
@@ -365,8 +391,7 @@ def cut_documents(affected: DataFrame, windows: DataFrame, length: int) -> DataF
             columns = list(zip(*out, strict=True)) or [()] * 7
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [f.split()[0] for f in _CUT.split(", ")])
 
-    places = windows.groupBy("ref").agg(F.collect_list("places").alias("places"))
-    joined = affected.join(places, "ref", "left").select("doc_id", "ref", "text", "runs", "places")
+    joined = affected.join(windows, "ref", "left").select("doc_id", "ref", "text", "runs", "places")
     return joined.mapInArrow(run, _CUT)
 
 
@@ -375,14 +400,15 @@ def repeated_spans(
 ) -> DataFrame:
     """Documents with repeated strings: their removed spans and what is left; others have no row."""
     spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(spark, ROWS_AT_ONCE)
     own = referenced(docs, id_column, text_column).select(F.col("__id").alias("doc_id"), F.col("__ref").alias("ref"), F.col("__text").alias("text"))
     total = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, -(-total // BUCKET_BYTES))
     runs = materialize(settled_runs(anchor_rows(own, buckets, length, gram), buckets), "runs")
     listed = runs.groupBy("ref").agg(F.collect_set(F.struct("settled", "start", "span")).alias("runs"))
     affected = materialize(own.join(listed, "ref"), "affected")
-    windows = materialize(repeated_windows(window_rows(affected, buckets, length), buckets), "windows")
+    packed = repeated_windows(window_rows(affected, buckets, length), buckets)
+    windows = materialize(places_of_documents(packed, buckets), "windows")
     return cut_documents(affected, windows, length).where("n_removed > 0")
 
 
