@@ -3,7 +3,7 @@
 1. A count-min sketch over all texts gives the document frequency of every shingle, at most about one percent
    of the documents too high. The weight of a shingle is 1 + ln of its count, times
    idf = 1 + min(1, ln(N / df) / ln 8): shingles in under an eighth of the documents count double, those in all once.
-2. Every text gets a signature of improved consistent weighted samples; bands of it are bucket keys.
+2. Every text gets a signature of independent consistent weighted samples; bands of it are bucket keys.
 3. Equal texts form a class first. Each bucket compares its classes with one of them, and buckets
    that then still hold several components do so again with other ones. What is left in several
    components is compared across them, in blocks. So a bucket loses no candidate pair, and a large
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from atalaya.llm.blocks import compare_open
 from atalaya.llm.frames import chunks, documents, numbered, small_batches
-from atalaya.llm.shingles import consistent_samples, mix, shingle_hashes, weighted_terms
+from atalaya.llm.shingles import dart_samples, mix, shingle_hashes, weighted_terms
 from atalaya.operators.graph import connected_components
 from atalaya.runtime import discard, materialize
 
@@ -143,7 +143,7 @@ def signatures(docs: DataFrame, idf: Idf, bands: int, rows: int, samples: int, s
             marks, keys = [], []
             for low, high in chunks(texts):
                 text, term, count = _terms(texts[low:high])
-                found = consistent_samples(text, term, term_weight(count) * idf(term), high - low, samples, seed)
+                found = dart_samples(text, term, term_weight(count) * idf(term), high - low, samples, seed)
                 band = (found[:, : bands * rows].reshape(-1, bands, rows) * odd).sum(axis=2, dtype=np.uint64)
                 keys.append(mix(band + np.arange(bands, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)).view(np.int64))
                 marks += [x.tobytes() for x in (found >> np.uint64(24)).astype(np.uint8)]

@@ -167,6 +167,86 @@ def consistent_samples(
             raise RuntimeError("random walk over the bins did not end")
 
 
+#: Darts beyond ln(bins) that a bin gets on average; a text of which a bin stays empty is looked at further.
+_SPARE = 3.0
+#: Terms and darts that are worked on at once.
+_AT_ONCE = 400_000
+
+
+def dart_samples(text: np.ndarray, term: np.ndarray, weight: np.ndarray, texts: int, bins: int, seed: int = 0) -> np.ndarray:
+    """Signature matrix (texts x bins) of independent consistent weighted samples, exact for any number of terms.
+
+    Darts fall on (weight, rank, bin) of each term as a Poisson process drawn from the term's hash; a
+    text sees those below its term's weight, and each bin takes the dart of least rank. So two texts
+    agree in a bin with the probability of their weighted Jaccard similarity, in every bin independently, and
+    a text costs its terms and about bins * ln(bins) darts. `text` is sorted. A text without terms has zeros only.
+    """
+    out = np.zeros((texts, bins), _U)
+    many = np.bincount(text, minlength=texts)
+    work = np.cumsum(many + np.where(many > 0, int(bins * (np.log(bins) + 2 * _SPARE)), 0))
+    total = np.bincount(text, weight, texts)
+    first = np.concatenate([[0], np.cumsum(many)])
+    low = 0
+    while low < texts:
+        done = work[low - 1] if low else 0
+        high = max(low + 1, int(np.searchsorted(work, done + _AT_ONCE, side="right")))
+        part = slice(first[low], first[high])
+        own, names, heavy = text[part] - low, term[part], weight[part]
+        reach = (np.log(bins) + _SPARE) / np.where(total[low:high] > 0, total[low:high], 1)
+        got = _darts(own, names, heavy, high - low, bins, reach, seed)
+        while True:
+            again = (got == 0).any(axis=1) & (many[low:high] > 0)
+            if not again.any():
+                break
+            reach *= 1.5
+            some, place = again[own], np.cumsum(again) - 1
+            got[again] = _darts(place[own[some]], names[some], heavy[some], int(again.sum()), bins, reach[again], seed)
+        out[low:high] = got
+        low = high
+    return out
+
+
+def _darts(text: np.ndarray, term: np.ndarray, weight: np.ndarray, texts: int, bins: int, reach: np.ndarray, seed: int) -> np.ndarray:
+    """For each bin the dart of least rank below the text's `reach`, as a number; zero if there is none."""
+    # A term's weight axis is cut at 2, 4, 8 ...; the darts of a piece come in the order of their rank.
+    pieces = np.maximum(1, np.ceil(np.log2(weight))).astype(np.int64)
+    of = np.repeat(np.arange(len(term)), pieces)
+    piece = np.arange(len(of)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    width = np.exp2(np.maximum(piece, 1))
+    floor = np.where(piece > 0, width, 0.0)
+    salt = (seed * 0x632BE59BD9B4E019 + 0x2545F4914F6CDD1D) & (2**64 - 1)
+    base = mix(mix(term + _U(salt))[of] + piece.astype(_U) * _U(0xD1342543DE82EF95))
+    row, share = text[of], (weight[of] - floor) / width
+    rate, limit = bins * width, reach[row]
+    rank, drawn = np.zeros(len(of)), np.zeros(len(of), np.int64)
+    best, out = np.full(texts * bins, np.inf), np.zeros(texts * bins, _U)
+    left = np.arange(len(of))
+    while len(left):
+        mean = (limit[left] - rank[left]) * rate[left]
+        n = (mean + np.sqrt(mean)).astype(np.int64) + 1
+        end = np.cumsum(n)
+        each = np.repeat(left, n)
+        number = np.arange(end[-1]) - np.repeat(end - n - drawn[left], n)
+        dart = mix(base[each] + number.astype(_U) * _U(_ODD))
+        gap = -np.log(((dart >> _U(32)).astype(np.float64) + 0.5) * 2.0**-32) / rate[each]
+        run = np.cumsum(gap)
+        at = run - np.repeat(run[end - n] - gap[end - n] - rank[left], n)
+        rank[left], drawn[left] = at[end - 1], drawn[left] + n
+        see = np.flatnonzero(at < limit[each])
+        dart, at, each = dart[see], at[see], each[see]
+        part = np.flatnonzero(share[each] < 1)
+        above = _uniform(dart[part], 0x8EBC6AF09C88C6E3) >= share[each[part]]
+        keep = np.ones(len(each), bool)
+        keep[part[above]] = False
+        dart, at, each = dart[keep], at[keep], each[keep]
+        cell = row[each] * bins + (((dart & _U(0xFFFFFFFF)) * _U(bins)) >> _U(32)).astype(np.int64)
+        np.minimum.at(best, cell, at)
+        hit = at == best[cell]
+        out[cell[hit]] = mix(dart[hit] ^ _U(0x5851F42D4C957F2D)) | _U(1)
+        left = left[rank[left] < limit[left]]
+    return out.reshape(texts, bins)
+
+
 def batch_signatures(texts: list[str], bins: int, seed: int = 0) -> np.ndarray:
     """Signatures of texts by their shingles' counts."""
     hashes, counts = shingle_hashes(texts)

@@ -89,3 +89,41 @@ def test_sketch_is_never_too_low_and_hardly_too_high(spark, docs, rows):
     names, exact = np.unique(term, return_counts=True)
     rows_of_sketch = np.stack([sketch[d][minhash._cells(names, d)] for d in range(minhash.DEPTH)])
     assert (rows_of_sketch.min(axis=0) >= exact).all() and (rows_of_sketch.min(axis=0) - exact).max() <= 2
+
+
+def shared_line_texts():
+    """Short texts in pairs that share a line repeated 9 to 50 times and little else; similarity 0.80 to 0.95."""
+    random.seed(31)
+    word = lambda: "".join(random.choice("abcdeiorstlmnu") for _ in range(random.randrange(4, 9)))
+    out = []
+    for times in range(9, 51):
+        line = " ".join(word() for _ in range(random.randrange(8, 40)))
+        least = len(line.split()) * (1 + np.log(times))
+        tail = int(least * random.uniform(0.05, 0.11))
+        out += [(line + " ") * times + " ".join(word() for _ in range(tail)) for _ in range(2)]
+    out += [" ".join(word() for _ in range(60)) for _ in range(60)]
+    random.shuffle(out)
+    return list(enumerate(out))
+
+
+def test_repeated_lines_in_short_texts_equal_brute_force(spark):
+    rows = shared_line_texts()
+    expected = exact_classes(rows)
+    assert len(set(expected.values())) < len(rows) - 35  # most pairs are alike
+    found = minhash.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["class_id"] for r in found} == expected
+
+
+@pytest.mark.parametrize("terms", [1, 3, 30, 300, 6000])
+def test_samples_agree_as_often_as_weights_do(terms):
+    rng = np.random.default_rng(terms)
+    names = rng.integers(0, 1 << 48, terms).astype(np.uint64)
+    weights = [rng.choice([1.0, 2.0, 3.3, 9.8], terms), rng.choice([1.0, 2.0, 3.3, 9.8], terms)]
+    expected = np.minimum(*weights).sum() / np.maximum(*weights).sum()
+    text = np.repeat(np.arange(2), terms)
+    agree = []
+    for seed in range(20):
+        both = shingles.dart_samples(text, np.tile(names, 2), np.concatenate(weights), 2, 384, seed)
+        assert (both != 0).all()
+        agree.append((both[0] == both[1]).mean())
+    assert abs(np.mean(agree) - expected) < 4 * np.sqrt(expected * (1 - expected) / (384 * 20)) + 1e-9
