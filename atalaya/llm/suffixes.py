@@ -38,8 +38,9 @@ from atalaya.runtime import materialize
 
 LENGTH = 200
 GRAM = 72
-#: Bytes of text worked on at once; places inside fit the low bits of a sort key.
+#: Bytes of text worked on at once; a longer document is a chunk of its own.
 CHUNK_BYTES = 2_000_000
+#: Low bits of a sort key that hold a place inside a part of a chunk.
 _PLACE_BITS = 24
 #: Rows that Python gets at once: long documents or packed columns, which add up.
 ROWS_AT_ONCE = 64
@@ -78,22 +79,29 @@ class Chunk:
     def raw(self, start: np.ndarray, length: np.ndarray | int) -> np.ndarray:
         return (self.sums[start + length] - self.sums[start]) * self.down[start]
 
-    def runs(self, length: int, gram: int) -> tuple[np.ndarray, ...]:
-        """(document, first window, further windows, anchor) of every run of windows with one anchor."""
-        n = len(self.data)
-        if n < length:
-            return tuple(np.zeros(0, np.int64) for _ in range(4))
-        width = length - gram + 1
-        hashes = mix((self.sums[gram:] - self.sums[:-gram]) * self.down[: n - gram + 1])
+    def _anchors(self, low: int, high: int, gram: int, width: int) -> np.ndarray:
+        """Anchors of the windows that start at low to high - 1, each with `width` grams."""
+        end = high + width - 1
+        hashes = mix((self.sums[low + gram : end + gram] - self.sums[low:end]) * self.down[low:end])
         least = (hashes >> _U(_PLACE_BITS) << _U(_PLACE_BITS)) | np.arange(len(hashes), dtype=_U)
         del hashes
         reach = 1
         while reach * 2 <= width:
             least = np.minimum(least[:-reach], least[reach:])
             reach *= 2
-        windows = n - length + 1
-        least = np.minimum(least[:windows], least[width - reach : width - reach + windows])
-        anchor = (least & _U((1 << _PLACE_BITS) - 1)).astype(np.int64)
+        least = np.minimum(least[: high - low], least[width - reach : width - reach + high - low])
+        return (least & _U((1 << _PLACE_BITS) - 1)).astype(np.int64) + low
+
+    def runs(self, length: int, gram: int) -> tuple[np.ndarray, ...]:
+        """(document, first window, further windows, anchor) of every run of windows with one anchor."""
+        n = len(self.data)
+        if n < length:
+            return tuple(np.zeros(0, np.int64) for _ in range(4))
+        width = length - gram + 1
+        windows, step = n - length + 1, 1 << _PLACE_BITS
+        # Places are packed relative to a part, so a document of any size fits; each window lies in one part whole.
+        step -= width - 1
+        anchor = np.concatenate([self._anchors(low, min(low + step, windows), gram, width) for low in range(0, windows, step)])
         whole = np.zeros(n + 1, np.int8)  # windows inside one document
         size = self.ends - self.starts
         fits = size >= length

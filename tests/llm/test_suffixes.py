@@ -72,3 +72,22 @@ def test_rows_that_repeat_and_other_columns(spark):
     assert Counter((r[0], r[1]) for r in left.collect()) == Counter({(1, ""): 2, (None, long_[:150] + "é"): 1, (2, None): 1, (3, "z" * 100): 1})
     none = docs.limit(0)
     assert suffixes.span_report(none).count() == 0 and suffixes.without_repeats(none).count() == 0
+
+
+@pytest.mark.parametrize("place_bits", [9, 12])
+def test_anchors_in_texts_beyond_the_packed_places(place_bits, monkeypatch):
+    random.seed(5)
+    data = "".join(random.choice("abcdefgh") for _ in range(20_000)).encode()
+    passage, length, gram = data[7_000:8_000], 200, 72
+    texts = [data + passage + data[:300], b"short", passage]
+    expected = suffixes.Chunk(texts).runs(length, gram)
+    monkeypatch.setattr(suffixes, "_PLACE_BITS", place_bits)
+    document, start, span, anchor = suffixes.Chunk(texts).runs(length, gram)
+    assert ((anchor >= start) & (anchor + gram <= start + span + length)).all()
+    # All three copies of the passage have the same anchors, and as with room for every place.
+    inside = lambda at: set((anchor[(anchor >= at) & (anchor < at + 900)] - at).tolist())
+    own = len(texts[0]) + len(texts[1])
+    assert inside(own) <= inside(7_000) & inside(20_000) and len(inside(own)) > 5
+    if place_bits == 12:
+        assert all((a == b).all() for a, b in zip((document, start, span, anchor), expected, strict=True))
+
