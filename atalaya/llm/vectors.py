@@ -5,7 +5,10 @@
    compares each with the `window` vectors before it. Cosines are computed in double precision.
    A task returns, for the links it found, each vector with the smallest one it hangs together with.
 3. The components of all passes together are formed by distributed rounds.
-4. Links are counted inside components. Vectors within half the angle around their component's mean are
+4. Whatever the passes missed is found exactly: all vectors are dealt to groups of about `TILE`, every two groups are
+   compared, and links between different components join them. The passes only make these links few; the number of
+   comparisons grows with the square of the distinct vectors.
+5. Links are counted inside components. Vectors within half the angle around their component's mean are
    linked with each other without being compared. All others, in blocks, are compared with
    every vector of their component, so large components lose no link and emit no pairs.
 
@@ -39,6 +42,8 @@ WINDOW = 64
 #: Vectors of a component that share one comparison block, on either side.
 BLOCK = 512
 CHUNK = 2048
+#: Vectors of a group in the comparison of all with all, and rows of it that are compared at once.
+TILE, STRIP = 4096, 512
 _NULL_ID = -(1 << 63)
 
 
@@ -131,6 +136,58 @@ def window_links(keyed: DataFrame, cosine: float, window: int) -> DataFrame:
     return sorted_.mapInArrow(run, "u long, v long")
 
 
+_PACKED = "size int, a int, b int, side int, components binary, vectors binary"
+
+
+def _packed_groups(members: DataFrame, groups: int) -> DataFrame:
+    """Vectors packed by group, once for each pair (a, b) of groups that theirs is part of; side tells which one it is."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, group = np.asarray(batch.column(2)), np.asarray(batch.column(3))
+            for size, own in np.unique(np.stack([sizes, group], 1), axis=0).tolist():
+                part = batch.filter(pa.array((sizes == size) & (group == own)))
+                data = (np.asarray(part.column(0)).astype("<i8").tobytes(), _matrix(part.column(1)).astype("<f8").tobytes())
+                for other in range(groups):
+                    a, b, side = (own, other, 0) if own <= other else (other, own, 1)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([x], pa.int32()) for x in (size, a, b, side)] + [pa.array([x], pa.binary()) for x in data],
+                        [f.split()[0] for f in _PACKED.split(", ")],
+                    )
+
+    group = F.pmod(F.xxhash64("class_id"), F.lit(groups)).cast("int")
+    return members.select("component", "vector", F.size("vector").alias("size"), group.alias("group")).mapInArrow(run, _PACKED)
+
+
+def links_across(members: DataFrame, cosine: float, count: int) -> DataFrame:
+    """Pairs (u, v) of components that hang together through a link, from all pairs of vectors; members: class_id, component, vector."""
+    groups = max(1, -(-count // TILE))
+    strip = STRIP
+
+    def sides(part: pd.DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
+        components = np.frombuffer(b"".join(part["components"]), "<i8")
+        return components, np.frombuffer(b"".join(part["vectors"]), "<f8").reshape(-1, size)
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        size, same = int(part["size"].iloc[0]), part["a"].iloc[0] == part["b"].iloc[0]
+        left = sides(part[part["side"] == 0], size)
+        right = left if same else sides(part[part["side"] == 1], size)
+        names, place = np.unique(np.concatenate([left[0], right[0]]), return_inverse=True)
+        u, v = place[: len(left[0])], place[len(left[0]) :]
+        label = np.arange(len(names))
+        for low in range(0, len(u), strip):
+            i, j = np.nonzero(left[1][low : low + strip] @ right[1].T >= cosine)
+            i, j = label[u[low + i]], label[v[j]]
+            apart = i != j
+            if apart.any():
+                # Labels found so far stand for their components, so a link counts once.
+                label = smallest_linked(len(names), i[apart], j[apart])[label]
+        linked = np.flatnonzero(label != np.arange(len(names)))
+        return pd.DataFrame({"u": names[linked], "v": names[label[linked]]})
+
+    return _packed_groups(members, groups).groupBy("size", "a", "b").applyInPandas(run, "u long, v long")
+
+
 _COUNT = "class_id long, links long"
 
 
@@ -177,6 +234,11 @@ def links_in_components(members: DataFrame, cosine: float) -> DataFrame:
     )
 
 
+def _components(pairs: DataFrame) -> DataFrame:
+    ids = pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct()
+    return connected_components(ids, pairs.select(F.col("u").alias("src"), F.col("v").alias("dst")))
+
+
 def near_vectors(
     vectors: DataFrame,
     *,
@@ -194,8 +256,10 @@ def near_vectors(
     rows = prepared(vectors, id_column, vector_column)
     classes = materialize(equal_classes(rows), "classes")
     pairs = materialize(window_links(projection_keys(classes, passes, bits, seed), cosine, window), "near")
-    ids = pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct()
-    found = connected_components(ids, pairs.select(F.col("u").alias("src"), F.col("v").alias("dst")))
+    found = _components(pairs)
+    placed = classes.join(found.select(F.col("id").alias("class_id"), "component"), "class_id", "left")
+    placed = placed.withColumn("component", F.coalesce("component", "class_id"))
+    found = _components(pairs.unionByName(materialize(links_across(placed, cosine, classes.count()), "across")))
     members = classes.join(found.select(F.col("id").alias("class_id"), "component"), "class_id")
     linked = links_in_components(members, cosine)
     # Only vectors that repeat or link need a look-up; all others are alone.

@@ -58,3 +58,12 @@ def test_rows_that_repeat_and_empty_tables(spark):
     found = sorted((tuple(r) for r in vectors.near_vectors(df).collect()), key=str)
     assert found == sorted([(5, 2, 3, False), (5, 2, 3, False), (3, 2, 3, True), (None, 0, None, True)], key=str)
     assert vectors.near_vectors(df.limit(0)).count() == 0
+
+
+def test_links_that_no_window_meets_are_found(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "TILE", 200)
+    monkeypatch.setattr(vectors, "STRIP", 64)
+    rows = table()
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = vectors.near_vectors(df, passes=1, bits=1, window=1).collect()
+    assert {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in found} == plain(rows, vectors.COSINE)
