@@ -1,4 +1,4 @@
-"""The ten operators as queries over the supplied tables, with SQL where it can say them."""
+"""The numbered operators as queries over the supplied tables, with SQL where it can say them."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from atalaya.llm import bpe, fingerprints, minhash, packing, suffixes, toxicity, unigram, urls, vectors
+from atalaya.llm import bpe, divergence, fingerprints, minhash, packing, suffixes, toxicity, unigram, urls, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -93,3 +93,12 @@ def op4_minhash_duplicates(spark: SparkSession, folder: str) -> DataFrame:
 def op7_repeated_strings(spark: SparkSession, folder: str) -> DataFrame:
     """What every document loses to strings of 200 bytes that occur elsewhere."""
     return suffixes.span_report(table(spark, folder, "documents"))
+
+
+@query
+def op11_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    """Distances of the sources of each language, and the terms that tell each source."""
+    return divergence.source_divergence(table(spark, folder, "documents"))
+
+
+SQL["op11_source_divergence"] = divergence.oracle()
