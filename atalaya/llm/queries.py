@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from atalaya.llm import bpe, divergence, fingerprints, minhash, packing, suffixes, toxicity, unigram, urls, vectors
+from atalaya.llm import bpe, chat, divergence, fingerprints, minhash, packing, suffixes, toxicity, unigram, urls, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -102,3 +102,12 @@ def op11_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
 
 
 SQL["op11_source_divergence"] = divergence.oracle()
+
+
+@query
+def op12_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
+    """What reads back from every formatted conversation, and from one that holds control strings."""
+    return chat.format_report(chat.text_parts(chat.with_trap(table(spark, folder, "conversations"))))
+
+
+SQL["op12_chat_formatting"] = chat.oracle()
