@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from atalaya.llm import bpe, chat, divergence, fingerprints, minhash, packing, suffixes, toxicity, unigram, urls, vectors
+from atalaya.llm import bpe, chat, divergence, fingerprints, minhash, packing, phrases, suffixes, toxicity, unigram, urls, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -111,3 +111,12 @@ def op12_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
 
 
 SQL["op12_chat_formatting"] = chat.oracle()
+
+
+@query
+def op13_phrase_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    """The first phrases of each language by the score of their worst cut."""
+    return phrases.collocations(table(spark, folder, "documents"))
+
+
+SQL["op13_phrase_collocations"] = phrases.oracle()
