@@ -306,7 +306,7 @@ def _(t: Tables) -> DataFrame:
 
 @check("compare_classifiers")
 def _(t: Tables) -> DataFrame:
-    return models.compare_classifiers(materialize(pairs(t), "pairs"), models.BENCH_FOLDS)
+    return models.compare_classifiers(materialize(pairs(t), "pairs"))
 
 
 @check("rank_favoritism")
@@ -356,7 +356,7 @@ def _table(t: Tables, report: dict) -> DataFrame:
 
 @check("eval_favoritism")
 def _(t: Tables) -> DataFrame:
-    return _table(t, eval_favoritism(t.training, models.BENCH_GRID, models.BENCH_FOLDS))
+    return _table(t, eval_favoritism(t.training))
 
 
 @check("eval_splitting")

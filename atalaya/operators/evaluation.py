@@ -174,33 +174,35 @@ def recall_at_k(scored: DataFrame, score: str = "score", tie: str = "id") -> Dat
     return hits.select("hits", "k", F.try_divide(F.col("hits"), F.col("k")).alias("recall_at_k"))
 
 
-def auc_metrics(scored: DataFrame, score: str = "score") -> DataFrame:
-    """Areas under ROC and under precision-recall, in one row.
+def auc_metrics(scored: DataFrame, score: str = "score", groups: Sequence[str] = ()) -> DataFrame:
+    """Areas under ROC and under precision-recall, in one row (per group).
 
     Both come from running counts over the distinct scores, best first, so no single
     task ranks all rows. ROC is the rank sum in which a tie counts one half. The
     precision-recall curve is joined by straight lines and starts at recall 0 with the
     precision of the best score.
     """
+    groups = list(groups)
     is_positive = F.col("label") == 1
     # Negated, so that "before" means a better score.
-    descending = scored.select("label", (-F.col(score).cast("double")).alias("_down"))
+    descending = scored.select(*groups, "label", (-F.col(score).cast("double")).alias("_down"))
     counted = value_counts_by_bucket(
-        descending, "_down", counts={"pos": F.count_if(is_positive), "neg": F.count_if(~is_positive)}
+        descending, "_down", groups, counts={"pos": F.count_if(is_positive), "neg": F.count_if(~is_positive)}
     )
     sides = ("pos", "neg")
-    running = running_counts(counted, bucket_offsets(counted, (), sides), (), sides)
+    running = running_counts(counted, bucket_offsets(counted, groups, sides), groups, sides)
 
     beaten = F.col("neg_total") - F.col("neg_before") - F.col("neg") / 2
     better = F.col("pos_before") + F.col("neg_before")
     precision_here = (F.col("pos_before") + F.col("pos")) / (better + F.col("pos") + F.col("neg"))
     precision_before = F.when(better > 0, F.try_divide(F.col("pos_before"), better)).otherwise(precision_here)
-    return running.agg(
+    return running.groupBy(*groups).agg(
         F.max("pos_total").alias("positivos"),
         F.max("neg_total").alias("negativos"),
         F.sum(F.col("pos") * beaten).alias("_wins"),
         F.sum(F.col("pos") * (precision_here + precision_before) / 2).alias("_area"),
     ).select(
+        *groups,
         "positivos",
         "negativos",
         F.try_divide("_wins", F.col("positivos").cast("double") * F.col("negativos")).alias("auc_roc"),

@@ -12,25 +12,23 @@ from pyspark.ml.classification import (
     RandomForestClassifier,
 )
 from pyspark.ml.clustering import KMeans, KMeansModel
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import StandardScaler, StandardScalerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from atalaya.errors import GateError
 from atalaya.operators.contract import count_flag
-from atalaya.operators.evaluation import group_id, holdout_metrics, stratified_folds, validation_split
+from atalaya.operators.evaluation import auc_metrics, group_id, holdout_metrics, stratified_folds, validation_split
 from atalaya.operators.favoritism import PAIR, PAIR_FEATURES
+from atalaya.operators.forests import forest_nodes, nested_scores
 from atalaya.operators.splitting import GROUP, GROUP_FEATURES
 from atalaya.runtime import discard, in_parallel, materialize, spread
 
 # --- fixed values -----------------------------------------------------------
 SEED = 42
-BENCH_GRID = {"numTrees": [100, 300], "maxDepth": [3, 6]}
 OPERATIONAL_GRID = {"numTrees": [100, 200, 300], "maxDepth": [3, 4, 6]}
-BENCH_FOLDS, MAX_FOLDS, MIN_FOLDS = 3, 5, 3
+MAX_FOLDS, MIN_FOLDS = 5, 3
 K_VALUES = [2, 3, 4, 5, 6]
 VALIDATION_SEEDS = [11, 23, 37, 53, 71]
 COMPARED_FOREST = {"numTrees": 100, "maxDepth": 3}
@@ -71,7 +69,8 @@ def _forest(**params) -> RandomForestClassifier:
 
 def rf_train(features: DataFrame, trees: int, depth: int) -> RandomForestClassificationModel:
     """Weighted random forest on the pair features in their fixed order."""
-    weighted = spread(class_weights(features).select(*PAIR_FEATURES, "label", "peso"), [*PAIR_FEATURES, "label"])
+    weighted = class_weights(features).select(*PAIR_FEATURES, "label", "peso")
+    weighted = spread(weighted, [*PAIR_FEATURES, "label"], sum(label_counts(features)))
     rows = assemble(weighted, PAIR_FEATURES).select("features", "label", "peso")
     return _forest(numTrees=int(trees), maxDepth=int(depth)).fit(rows)
 
@@ -85,41 +84,42 @@ def fold_number(features: DataFrame, most: int = MAX_FOLDS) -> int:
 
 def rf_tune(
     features: DataFrame,
-    grid: dict[str, list[int]] = BENCH_GRID,
-    folds: int = BENCH_FOLDS,
-    parallelism: int = 4,
+    grid: dict[str, list[int]] = OPERATIONAL_GRID,
+    folds: int = MAX_FOLDS,
+    parallelism: int = MAX_FOLDS,
 ) -> tuple[RandomForestClassificationModel, DataFrame]:
-    """Cross-validation on AUC-PR with precomputed folds; best model and all settings."""
+    """Cross-validation on AUC-PR over numbers of trees and depths; best model and all settings.
+
+    Each fold is fitted once, with most trees and the greatest depth. The other settings are parts
+    of that forest and are scored in the same pass.
+    """
     folds = fold_number(features, folds)
-    # Written once: the same rows are fitted for every setting and fold.
+    sizes, depths = [int(n) for n in grid["numTrees"]], [int(d) for d in grid["maxDepth"]]
+    # Written once: the same rows are fitted for every fold.
     kept = materialize(
         stratified_folds(class_weights(features), folds).select(*PAIR_FEATURES, "label", "peso", "fold"), "folds"
     )
-    rows = assemble(spread(kept, [*PAIR_FEATURES, "label", "fold"]), PAIR_FEATURES).select("features", "label", "peso", "fold")
+    rows = spread(kept, [*PAIR_FEATURES, "label", "fold"], kept.count())
+    forest = _forest(numTrees=max(sizes), maxDepth=max(depths))
+
+    def left_out(fold: int) -> DataFrame:
+        fit_rows = assemble(rows.where(F.col("fold") != fold), PAIR_FEATURES).select("features", "label", "peso")
+        nodes = forest_nodes(features.sparkSession, forest.copy().fit(fit_rows)).toPandas()
+        scored = nested_scores(kept.where(F.col("fold") == fold), PAIR_FEATURES, nodes, sizes, depths)
+        return scored.withColumn("fold", F.lit(fold))
+
+    parts = in_parallel(features.sparkSession, [lambda f=fold: left_out(f) for fold in range(folds)], parallelism)
+    # Written once: counts, offsets and areas read the scores.
+    scored = materialize(reduce(DataFrame.unionByName, parts), "votes")
     try:
-        forest = _forest()
-        settings = ParamGridBuilder()
-        for name, values in grid.items():
-            settings = settings.addGrid(getattr(forest, name), values)
-        settings = settings.build()
-        search = CrossValidator(
-            estimator=forest,
-            estimatorParamMaps=settings,
-            evaluator=BinaryClassificationEvaluator(labelCol="label", metricName="areaUnderPR"),
-            numFolds=folds,
-            foldCol="fold",
-            seed=SEED,
-            parallelism=parallelism,
-        ).fit(rows)
+        areas = auc_metrics(scored, groups=["trees", "depth", "fold"]).groupBy("trees", "depth")
+        means = areas.agg(F.avg("auc_pr").alias("auc_pr_cv")).collect()
     finally:
         discard(kept)
-    tried = [
-        (*[int(setting[getattr(forest, name)]) for name in grid], float(score))
-        for setting, score in zip(settings, search.avgMetrics)
-    ]
-    schema = ", ".join([*[f"{name} int" for name in grid], "auc_pr_cv double"])
-    table = features.sparkSession.createDataFrame(tried, schema)
-    return search.bestModel, table.orderBy(F.desc("auc_pr_cv"), *grid)
+        discard(scored)
+    tried = sorted(((int(r["trees"]), int(r["depth"]), float(r["auc_pr_cv"])) for r in means), key=lambda r: (-r[2], r[0], r[1]))
+    table = features.sparkSession.createDataFrame(tried, "numTrees int, maxDepth int, auc_pr_cv double")
+    return rf_train(features, *tried[0][:2]), table.orderBy(F.desc("auc_pr_cv"), "numTrees", "maxDepth")
 
 
 def rf_importances(spark: SparkSession, model: RandomForestClassificationModel) -> DataFrame:
@@ -143,7 +143,7 @@ def compare_classifiers(features: DataFrame, folds: int = MAX_FOLDS) -> DataFram
     folds = fold_number(features, folds)
     dealt = stratified_folds(class_weights(features), folds).withColumn("id", group_id(PAIR))
     kept = materialize(dealt.select("id", *PAIR_FEATURES, "label", "peso", "fold"), "folds")
-    rows = assemble(spread(kept, ["id"]), PAIR_FEATURES).select("id", "features", "label", "peso", "fold")
+    rows = assemble(spread(kept, ["id"], kept.count()), PAIR_FEATURES).select("id", "features", "label", "peso", "fold")
     columns = {"featuresCol": "features", "labelCol": "label", "weightCol": "peso"}
     models = {
         "regresion_logistica": LogisticRegression(**columns),
@@ -175,7 +175,8 @@ def compare_classifiers(features: DataFrame, folds: int = MAX_FOLDS) -> DataFram
 
 def kmeans_train(groups: DataFrame, k: int, seed: int = SEED) -> tuple[KMeansModel, StandardScalerModel]:
     """Scaler with mean and deviation, then k-means; labels are never used."""
-    raw = assemble(spread(groups.select(*GROUP_FEATURES), GROUP_FEATURES), GROUP_FEATURES, "features_raw").select("features_raw")
+    ordered = spread(groups.select(*GROUP_FEATURES), GROUP_FEATURES, groups.count())
+    raw = assemble(ordered, GROUP_FEATURES, "features_raw").select("features_raw")
     scaler = StandardScaler(inputCol="features_raw", outputCol="features", withMean=True, withStd=True).fit(raw)
     clusters = KMeans(featuresCol="features", predictionCol="cluster", k=int(k), seed=seed)
     return clusters.fit(scaler.transform(raw)), scaler

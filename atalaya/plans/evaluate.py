@@ -27,7 +27,6 @@ from atalaya.operators.models import (
     kmeans_tune,
     label_counts,
     rf_importances,
-    rf_train,
     rf_tune,
     score_groups,
     score_pairs,
@@ -63,9 +62,8 @@ def eval_favoritism(
     fit_pairs = materialize(fav_features(fit_rows, label="label_favoritismo", amount=MODEL_AMOUNT), "features")
     check_pairs = materialize(fav_features(check_rows, label="label_favoritismo", amount=MODEL_AMOUNT), "features")
     try:
-        best, tried = rf_tune(fit_pairs, grid, folds)
-        trees, depth = int(best.getNumTrees), int(best.getMaxDepth())
-        model = rf_train(fit_pairs, trees, depth)
+        model, tried = rf_tune(fit_pairs, grid, folds)
+        trees, depth = int(model.getNumTrees), int(model.getMaxDepth())
         scored = score_pairs(check_pairs, model).select(
             group_id(PAIR).alias("id"), "label", F.col("score_riesgo_favoritismo").alias("score")
         )

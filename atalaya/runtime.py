@@ -82,16 +82,16 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return kept
 
 
-#: Partitions of the rows that a model is fitted on, on any cluster: samples are seeded by partition.
-FIT_PARTITIONS = 32
+#: Rows of a partition that a model is fitted on. Samples are seeded by partition, so their number comes from the rows alone.
+FIT_ROWS = 10_000
 
 
-def spread(df: DataFrame, columns: Sequence[str], partitions: int = FIT_PARTITIONS) -> DataFrame:
-    """The rows in a fixed number of partitions and a fixed order inside each, by the given plain columns.
+def spread(df: DataFrame, columns: Sequence[str], rows: int) -> DataFrame:
+    """The `rows` rows in a number of partitions that follows from it, in a fixed order inside each, by the given plain columns.
 
-    So a fit that samples by partition gives the same model on any number of cores.
+    So a fit that samples by partition gives the same model on any number of cores, and grows with its rows.
     """
-    return df.repartition(partitions, *columns).sortWithinPartitions(*columns)
+    return df.repartition(1 + rows // FIT_ROWS, *columns).sortWithinPartitions(*columns)
 
 
 def discard(kept: DataFrame) -> None:
