@@ -529,14 +529,19 @@ def _(t: Tables) -> DataFrame:
     """
     , s AS (SELECT label, count(*) AS n, avg(concentracion_objeto) AS m, var_samp(concentracion_objeto) AS v FROM pares GROUP BY label),
     a AS (SELECT * FROM s WHERE label = 1), b AS (SELECT * FROM s WHERE label = 0)
-    SELECT round(a.m, 6) AS media1, round(b.m, 6) AS media0, round((a.m - b.m) / sqrt(a.v / a.n + b.v / b.n), 6) AS t,
-      round(pow(a.v / a.n + b.v / b.n, 2) / (pow(a.v / a.n, 2) / (a.n - 1) + pow(b.v / b.n, 2) / (b.n - 1)), 4) AS gl
-    FROM a, b""",
+    , w AS (SELECT a.m AS media1, b.m AS media0, (a.m - b.m) / sqrt(a.v / a.n + b.v / b.n) AS t,
+      pow(a.v / a.n + b.v / b.n, 2) / (pow(a.v / a.n, 2) / (a.n - 1) + pow(b.v / b.n, 2) / (b.n - 1)) AS gl FROM a, b)
+    -- The density over the angle whose tangent is t / sqrt(gl), by Simpson's rule.
+    , q AS (SELECT *, atan(abs(t) / sqrt(gl)) AS edge, (pi() / 2 - atan(abs(t) / sqrt(gl))) / 20000 AS h FROM w)
+    SELECT round(media1, 6) AS media1, round(media0, 6) AS media0, round(t, 6) AS t, round(gl, 4) AS gl,
+      round(2 * exp(lgamma((gl + 1) / 2) - lgamma(gl / 2) - ln(pi()) / 2) * h / 3 * (
+        SELECT sum(CASE WHEN i IN (0, 20000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * pow(greatest(cos(edge + i * h), 0.0), gl - 1)) FROM range(20001) r(i)), 6) AS p
+    FROM q""",
     "pares",
 )
 def _(t: Tables) -> DataFrame:
     one = explore.welch_t(pairs(t), "concentracion_objeto")
-    return rounded(rounded(one, 6, "media1", "media0", "t"), 4, "gl")
+    return rounded(rounded(one, 6, "media1", "media0", "t", "p"), 4, "gl")
 
 
 @check(

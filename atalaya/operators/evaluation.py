@@ -11,11 +11,10 @@ from atalaya.errors import GateError
 from atalaya.operators.contract import count_flag
 from atalaya.operators.favoritism import PAIR
 from atalaya.operators.ordering import (
-    bucket_offsets,
     global_row_number,
     hash_row_number,
     running_counts,
-    value_counts_by_bucket,
+    value_counts,
 )
 from atalaya.operators.skew import hot_split_join
 from atalaya.operators.splitting import GROUP, with_family
@@ -186,11 +185,11 @@ def auc_metrics(scored: DataFrame, score: str = "score", groups: Sequence[str] =
     is_positive = F.col("label") == 1
     # Negated, so that "before" means a better score.
     descending = scored.select(*groups, "label", (-F.col(score).cast("double")).alias("_down"))
-    counted = value_counts_by_bucket(
+    counted = value_counts(
         descending, "_down", groups, counts={"pos": F.count_if(is_positive), "neg": F.count_if(~is_positive)}
     )
     sides = ("pos", "neg")
-    running = running_counts(counted, bucket_offsets(counted, groups, sides), groups, sides)
+    running = running_counts(counted, groups, sides)
 
     beaten = F.col("neg_total") - F.col("neg_before") - F.col("neg") / 2
     better = F.col("pos_before") + F.col("neg_before")

@@ -1,15 +1,16 @@
 """Ranks, running totals and exact quantiles without one task per group.
 
 `percentile`, `median` and `row_number` over a large group hold or sort the group
-in one task. Here every group is cut into ordered buckets: a small histogram gives
-the rank at which each bucket starts, and only rows of one bucket are ordered
-together. Results are the exact ones.
+in one task. Here a double is a whole number of 64 bits in the same order, and is read in three parts of
+about 21 bits. The counts of all values of one part, under the parts before it, are at most four million
+rows, however dense the values lie; only those are put in order together. Ranks that are wanted
+are followed from part to part, so the rest is left out early. Results are the exact ones.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 from operator import and_, or_
 
@@ -18,85 +19,73 @@ from pyspark.sql import functions as F
 
 from atalaya.runtime import materialize
 
-BUCKETS_PER_E_FOLD = 1000
+#: Bits that lie below the first and below the second of the three parts of a value.
+PART_SHIFTS = (43, 22)
 HASH_PREFIX = 4  # hexadecimal digits of an md5: 65,536 even slices
-_LEAST_LOG = 745.2  # no positive double has a smaller logarithm than minus this
 _ROW_BITS = 33  # low bits of monotonically_increasing_id that count rows
 
 
-def value_bucket(value: Column) -> Column:
-    """Coarse bucket that grows with `value`; about 0.1 percent of the value wide.
-
-    A double has at most 3 million of them, so a histogram per group is bounded.
-    Distinct values of one bucket are ordered together; equal values were counted before.
-    """
-    size = F.floor((F.log(F.abs(value)) + _LEAST_LOG) * BUCKETS_PER_E_FOLD) + 1
-    return F.when(value == 0, 0).when(value < 0, -size).otherwise(size).cast("bigint")
+def ordered_bits(value: Column) -> Column:
+    """A whole number in the order of a double: its bits, those below the sign turned round for negative values."""
+    bits = F.java_method(F.lit("java.lang.Double"), F.lit("doubleToLongBits"), value + F.lit(0.0)).cast("bigint")
+    return F.when(bits < 0, bits.bitwiseXOR(F.lit((1 << 63) - 1))).otherwise(bits)
 
 
 def _match(left: str, right: str, columns: Sequence[str]) -> Column:
     return reduce(and_, [F.col(f"{left}.{c}").eqNullSafe(F.col(f"{right}.{c}")) for c in columns])
 
 
-def value_counts_by_bucket(
+def value_counts(
     df: DataFrame, value: str, groups: Sequence[str] = (), counts: dict[str, Column] | None = None
 ) -> DataFrame:
-    """One row per group and distinct value with its counts and bucket."""
+    """One row per group and distinct value with its counts and the leading parts of its bits."""
     counts = counts or {"n": F.count(F.lit(1))}
-    return (
+    counted = (
         df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
         .select(*groups, F.col(value).cast("double").alias("value"), *[
             c for c in df.columns if c not in {*groups, value}
         ])
         .groupBy(*groups, "value")
         .agg(*[expr.alias(name) for name, expr in counts.items()])
-        .withColumn("bucket", value_bucket(F.col("value")))
-    )
-
-
-def bucket_offsets(
-    counted: DataFrame, groups: Sequence[str] = (), columns: Sequence[str] = ("n",)
-) -> DataFrame:
-    """Per group and bucket: its counts, those of all lower buckets, and the totals."""
-    per_bucket = counted.groupBy(*groups, "bucket").agg(
-        *[F.sum(c).alias(f"{c}_bucket") for c in columns]
-    )
-    whole = Window.partitionBy(*groups)
-    lower = whole.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    return per_bucket.select(
-        *groups,
-        "bucket",
-        *[F.col(f"{c}_bucket") for c in columns],
-        *[F.coalesce(F.sum(f"{c}_bucket").over(lower), F.lit(0)).alias(f"{c}_lower") for c in columns],
-        *[F.sum(f"{c}_bucket").over(whole).alias(f"{c}_total") for c in columns],
     )
+    bits = counted.withColumn("_bits", ordered_bits(F.col("value")))
+    return bits.withColumns({f"_part{i}": F.shiftright("_bits", shift) for i, shift in enumerate(PART_SHIFTS)}).drop("_bits")
 
 
 def running_counts(
     counted: DataFrame,
-    offsets: DataFrame,
     groups: Sequence[str] = (),
     columns: Sequence[str] = ("n",),
+    wanted: Callable[[Column, Column, Column], Column] | None = None,
 ) -> DataFrame:
-    """Adds to each distinct value the counts of all smaller values (`<c>_before`)."""
-    joined = counted.alias("v").join(
-        offsets.alias("o"), _match("v", "o", [*groups, "bucket"]), "inner"
-    )
-    inside = (
-        Window.partitionBy(*[F.col(f"v.{g}") for g in [*groups, "bucket"]])
-        .orderBy("v.value")
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    return joined.select(
-        *[F.col(f"v.{g}") for g in groups],
-        F.col("v.value"),
-        *[F.col(f"v.{c}") for c in columns],
-        *[
-            (F.col(f"o.{c}_lower") + F.coalesce(F.sum(f"v.{c}").over(inside), F.lit(0))).alias(f"{c}_before")
-            for c in columns
-        ],
-        *[F.col(f"o.{c}_total") for c in columns],
-    )
+    """Adds to each distinct value the counts of all smaller values (`<c>_before`) and of all values (`<c>_total`).
+
+    `wanted(first, last, total)` says of ranks (from 0, by the first of the columns) whether they are asked for; other
+    values may be left out.
+    """
+    groups, sums = list(groups), lambda cs: [F.sum(c).alias(c) for c in cs]
+    keys = ["_part0", "_part1", "value"]
+    second = counted.groupBy(*groups, *keys[:2]).agg(*sums(columns))
+    levels = [second.groupBy(*groups, keys[0]).agg(*sums(columns)), second, counted]
+    whole = Window.partitionBy(*groups)
+    known = None
+    for i, (level, key) in enumerate(zip(levels, keys)):
+        if known is None:
+            rows = level.withColumns({f"{c}_total": F.sum(c).over(whole) for c in columns}).withColumns({f"_{c}_lower": F.lit(0) for c in columns})
+            inside = whole
+        else:
+            parent = keys[i - 1]
+            rows = level.alias("v").join(known.alias("o"), _match("v", "o", [*groups, parent]), "inner").select(
+                *[F.col(f"v.{c}") for c in level.columns], *[F.col(f"o.{name}") for c in columns for name in (f"{c}_total", f"_{c}_lower")]
+            )
+            inside = Window.partitionBy(*groups, parent)
+        before = inside.orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+        rows = rows.withColumns({f"{c}_before": F.col(f"_{c}_lower") + F.coalesce(F.sum(c).over(before), F.lit(0)) for c in columns})
+        if wanted is not None:
+            c = columns[0]
+            rows = rows.where(wanted(F.col(f"{c}_before"), F.col(f"{c}_before") + F.col(c) - 1, F.col(f"{c}_total")))
+        known = rows.select(*groups, key, *[F.col(f"{c}_total") for c in columns], *[F.col(f"{c}_before").alias(f"_{c}_lower") for c in columns])
+    return rows.select(*groups, "value", *columns, *[f"{c}_before" for c in columns], *[f"{c}_total" for c in columns])
 
 
 def exact_quantiles(
@@ -122,13 +111,12 @@ def exact_quantiles(
 
     number = F.count(F.lit(1)) if weight is None else F.sum(weight)
     used = df.select(*groups, value, *([] if weight is None else [weight]))
-    counted = value_counts_by_bucket(used, value, groups, {"n": number})
-    offsets = bucket_offsets(counted, groups)
-    first, last = F.col("n_lower"), F.col("n_lower") + F.col("n_bucket") - 1
-    needed = offsets.where(
-        reduce(or_, [(first <= r) & (r <= last) for _, low, high in ranks.values() for r in (low, high)])
-    )
-    ordered = running_counts(counted, needed, groups)
+
+    def wanted(first: Column, last: Column, total: Column) -> Column:
+        asked = [edge((total - 1) * F.lit(float(p))) for p in probabilities.values() for edge in (F.floor, F.ceil)]
+        return reduce(or_, [(first <= rank) & (rank <= last) for rank in asked])
+
+    ordered = running_counts(value_counts(used, value, groups, {"n": number}), groups, wanted=wanted)
 
     def at(rank: Column) -> Column:
         start = F.col("n_before")
@@ -163,7 +151,7 @@ def approximate_quantiles(
     """Same columns from one bounded sketch per group; each value is an observed one.
 
     Sketches know no weights: with a `weight` column the values are the observed ones at the
-    exact ranks, from the bucket counts.
+    exact ranks, from the counts.
     """
     if weight is not None:
         return _observed_quantiles(df, value, probabilities, list(groups), weight)
@@ -181,8 +169,7 @@ def _observed_quantiles(
     df: DataFrame, value: str, probabilities: dict[str, float], groups: list[str], weight: str
 ) -> DataFrame:
     """Smallest value whose running weight reaches each share of the total."""
-    counted = value_counts_by_bucket(df.select(*groups, value, weight), value, groups, {"n": F.sum(weight)})
-    ordered = running_counts(counted, bucket_offsets(counted, groups), groups)
+    ordered = running_counts(value_counts(df.select(*groups, value, weight), value, groups, {"n": F.sum(weight)}), groups)
     upto = F.col("n_before") + F.col("n")
     reached = [F.min(F.when(upto >= F.col("n_total") * F.lit(float(p)), F.col("value"))).alias(name) for name, p in probabilities.items()]
     result = ordered.groupBy(*groups).agg(*reached)

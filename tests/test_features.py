@@ -139,11 +139,13 @@ def test_one_hot_and_scaling(contracts):
     assert {"id_contrato_C0", "id_contrato_C1"} <= set(prep.one_hot(rows, "id_contrato").columns)
 
 
-def test_welch_p_value():
-    # Reference points of the t distribution.
-    assert explore.welch_p_value(2.228139, 10) == pytest.approx(0.05, abs=1e-6)
-    assert explore.welch_p_value(0.0, 7.5) == pytest.approx(1.0)
-    assert explore.welch_p_value(-12.706205, 1) == pytest.approx(0.05, abs=1e-6)
+def test_p_values_of_t(spark):
+    # Two-sided 5 percent points of the t table, the Cauchy case, the normal limit, and both ends.
+    rows = [(2.228139, 10.0, 0.05), (0.0, 7.5, 1.0), (-12.706205, 1.0, 0.05), (1.0, 1.0, 0.5), (1.959964, 1e9, 0.05), (40.0, 200.0, 0.0), (0.3, 2.0, 0.7924857)]
+    found = spark.createDataFrame(rows, "t double, gl double, expected double").select("expected", explore.t_p_value(F.col("t"), F.col("gl")).alias("p"))
+    for row in found.collect():
+        assert row["p"] == pytest.approx(row["expected"], abs=1e-6)
+
 
 
 def test_histogram_of_nothing_and_of_one_value(contracts):

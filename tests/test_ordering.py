@@ -5,7 +5,15 @@ import pytest
 from pyspark.sql import functions as F
 
 from atalaya.operators.evaluation import auc_metrics
-from atalaya.operators.ordering import approximate_quantiles, exact_quantiles, global_row_number, hash_row_number
+from atalaya.operators.ordering import (
+    approximate_quantiles,
+    exact_quantiles,
+    global_row_number,
+    hash_row_number,
+    ordered_bits,
+    running_counts,
+    value_counts,
+)
 from atalaya.operators.skew import hot_split_join
 
 
@@ -82,3 +90,31 @@ def test_areas_equal_brute_force(spark):
         area += (point[0] - previous[0]) * (point[1] + previous[1]) / 2
         last = point
     assert found["auc_pr"] == pytest.approx(area)
+
+
+def test_bits_are_in_the_order_of_the_values(spark):
+    values = sorted([float("-inf"), -1e300, -2.0, -1.0, -5e-324, 0.0, 5e-324, 2.2250738585072014e-308, 1.0, float(np.nextafter(1.0, 2)), 1e9, float("inf")])
+    rows = spark.createDataFrame([(v,) for v in [*values, -0.0]], "x double").select("x", ordered_bits(F.col("x")).alias("bits"))
+    found = {}
+    for row in rows.collect():
+        assert found.setdefault(row["x"], row["bits"]) == row["bits"]
+    assert [found[v] for v in values] == sorted(found.values()) and len(set(found.values())) == len(values)
+
+
+def test_dense_values_are_not_ordered_by_one_task(spark):
+    """A hundred thousand distinct values within a thousandth of each other."""
+    rows = spark.range(100_000).select((F.lit(1000.0) + F.col("id") * F.lit(1e-6)).alias("x"))
+    row = exact_quantiles(rows, "x", {"mid": 0.5, "p99": 0.99}).first()
+    values = 1000.0 + np.arange(100_000) * 1e-6
+    assert row["mid"] == pytest.approx(np.quantile(values, 0.5), rel=1e-15) and row["p99"] == pytest.approx(np.quantile(values, 0.99), rel=1e-15)
+    together = value_counts(rows, "x").groupBy("_part1").count()
+    assert together.count() > 100 and together.agg(F.max("count")).first()[0] < 2000
+
+
+def test_running_counts_follow_wanted_ranks_only(spark):
+    rows = spark.createDataFrame([(i % 2, float(i % 50), 1) for i in range(400)], "g int, x double, n long")
+    counted = value_counts(rows, "x", ["g"], {"n": F.sum("n")})
+    every = {(r["g"], r["value"]): (r["n_before"], r["n_total"]) for r in running_counts(counted, ["g"]).collect()}
+    assert every == {(g, float(x)): (8 * (x // 2), 200) for g in (0, 1) for x in range(g, 50, 2)}
+    one = running_counts(counted, ["g"], wanted=lambda first, last, total: (first <= 100) & (last >= 100)).collect()
+    assert [(r["g"], r["n_before"]) for r in sorted(one, key=lambda r: r["g"])] == [(0, 96), (1, 96)]
