@@ -273,8 +273,8 @@ def _(t: Tables) -> DataFrame:
     scored = []
     for seed in models.VALIDATION_SEEDS:
         fit_rows, check_rows = evaluation.validation_split(rows, seed)
-        forest, size = isolation.isolation_train(fit_rows, splitting.GROUP_FEATURES, splitting.GROUP, trees=100, seed=seed)
-        found = isolation.isolation_score(check_rows, splitting.GROUP_FEATURES, forest, size)
+        forest = isolation.isolation_train(fit_rows, splitting.GROUP_FEATURES, splitting.GROUP, trees=100, seed=seed)
+        found = isolation.isolation_score(check_rows, splitting.GROUP_FEATURES, forest)
         scored.append(found.select("label", F.col("score_aislamiento").alias("score")))
     return isolation.choose_contamination(scored)
 

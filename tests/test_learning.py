@@ -113,6 +113,26 @@ def test_isolation_forest_finds_outliers_and_is_repeatable(spark):
     assert pool.count() == 602 and 1 <= pool.where("anomalia = 1").count() <= 13
 
 
+def test_isolation_by_levels(spark):
+    """Large nodes are cut in Spark, and both ways of scoring give one result."""
+    rng = random.Random(4)
+    rows = [(f"k{i}", rng.gauss(0, 1), rng.gauss(0, 1)) for i in range(500)] + [(f"far{i}", 15.0 + i, -12.0) for i in range(2)]
+    rows += [(f"same{i}", 0.5, 0.5) for i in range(90)]
+    df = spark.createDataFrame(rows, "k string, x double, y double")
+    forest = isolation.isolation_train(df, ["x", "y"], ["k"], trees=12, share=0.8, node_rows=60)
+    assert forest.size == int(0.8 * 592) and forest.levels >= 3
+    grown = forest.nodes.toPandas()
+    # The repeated row can't be divided, so its node is one leaf above the bound.
+    assert grown.groupby(["tree", "place"]).size().max() <= 2 * 60 and set(grown["tree"]) == set(range(12))
+    sent = isolation.isolation_score(df, ["x", "y"], forest)
+    joined = isolation.isolation_score(df, ["x", "y"], forest, sent_nodes=0)
+    one, other = ({r["k"]: r["score_aislamiento"] for r in d.collect()} for d in (sent, joined))
+    assert one == pytest.approx(other) and len(one) == 592
+    assert {k for k, _ in sorted(one.items(), key=lambda kv: -kv[1])[:2]} == {"far0", "far1"}
+    whole = isolation.isolation_score(df, ["x", "y"], isolation.isolation_train(df, ["x", "y"], ["k"], trees=12, share=0.8))
+    assert {r["k"] for r in whole.orderBy(F.desc("score_aislamiento")).limit(2).collect()} == {"far0", "far1"}
+
+
 def test_contamination(spark):
     scored = spark.createDataFrame([(f"k{i}", int(i >= 95), float(i)) for i in range(100)], "id string, label int, score double")
     marked = isolation.contamination_cut(scored, 0.05)
