@@ -145,11 +145,22 @@ _MODALITIES = [
     "one_hot",
     "SELECT id_contrato, "
     + ", ".join(f"CASE WHEN modalidad = '{m}' THEN 1.0 ELSE 0.0 END::DOUBLE AS \"modalidad_{m}\"" for m in _MODALITIES)
-    + " FROM contracts",
+    + f", CASE WHEN modalidad NOT IN ({', '.join(repr(m) for m in _MODALITIES)}) THEN 1.0 ELSE 0.0 END::DOUBLE AS modalidad_otros FROM contracts",
     "contracts",
 )
 def _(t: Tables) -> DataFrame:
-    return preprocessing.one_hot(t.contracts.select("id_contrato", "modalidad"), "modalidad").drop("modalidad")
+    coded = preprocessing.one_hot(t.contracts.select("id_contrato", "modalidad"), "modalidad", _MODALITIES)
+    return coded.drop("modalidad")
+
+
+@check(
+    "one_hot_values",
+    "SELECT modalidad AS valor FROM (SELECT modalidad, count(*) AS n FROM contracts WHERE modalidad IS NOT NULL GROUP BY 1 ORDER BY n DESC, 1 LIMIT 3)",
+    "contracts",
+)
+def _(t: Tables) -> DataFrame:
+    values = preprocessing.one_hot_values(t.contracts, "modalidad", 3)
+    return t.spark.createDataFrame([(v,) for v in values], "valor string")
 
 
 # --- pair features ------------------------------------------------------------------------

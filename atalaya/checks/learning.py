@@ -364,9 +364,9 @@ def _(t: Tables) -> DataFrame:
     return _table(t, eval_splitting(t.training))
 
 
-def _candidate(t: Tables) -> str:
+def _candidate(t: Tables, training: DataFrame | None = None) -> str:
     folder = new_location(t.spark, "candidate")
-    train_candidate(t.training, folder, inherited={"numTrees": 100, "maxDepth": 3, "k": 3, "champion": "none"})
+    train_candidate(t.training if training is None else training, folder, inherited={"numTrees": 100, "maxDepth": 3, "k": 3, "champion": "none"})
     return folder
 
 
@@ -388,7 +388,7 @@ def _(t: Tables) -> DataFrame:
 @check("drift_report_groups")
 def _(t: Tables) -> DataFrame:
     early = F.col("fecha_contrato") < "2024-01-01"
-    report, _decision = monitor_batch(t.training.where(early), t.training.where(~early), _candidate(t), "despues")
+    report, _decision = monitor_batch(t.training.where(~early), _candidate(t, t.training.where(early)), "despues")
     return report
 
 

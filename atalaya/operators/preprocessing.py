@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +18,8 @@ NO_OFFICIAL = "__NO_DISPONIBLE__"
 EXACT, APPROXIMATE = "exact", "percentile_approx_accuracy_10000"
 # ----------------------------------------------------------------------------
 
+#: Values of a column that get columns of their own at most, and the name of the column of all others.
+MOST_VALUES, OTHER_VALUES = 100, "otros"
 MEDIANS_SCHEMA = "objeto string, monto_mediana double"
 #: Parts of each object in the join of rows with object medians.
 PARTS = 4
@@ -217,12 +221,18 @@ def standardize_column(df: DataFrame, column: str, output: str, *, sample: bool
     return df.withColumn(output, (F.col(column) - F.lit(stats["mean"])) / F.lit(scale))
 
 
-def one_hot(df: DataFrame, column: str) -> DataFrame:
-    """One 0/1 column per value; null or unknown rows have zeros everywhere.
+def one_hot_values(df: DataFrame, column: str, most: int = MOST_VALUES) -> list[str]:
+    """The `most` most frequent values of a column, ties by text, in order of the text; part of a frozen state."""
+    counted = df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("string").alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    return sorted(r["v"] for r in counted.orderBy(F.desc("n"), "v").limit(most).collect())
+
 
-    The values name columns of the result, so they are known to the driver.
+def one_hot(df: DataFrame, column: str, values: Sequence[str]) -> DataFrame:
+    """One 0/1 column per given value and one for all other values; a null has zeros everywhere.
+
+    The values come from a frozen state (`one_hot_values`), so every batch gets the same columns.
     """
-    values = sorted(r[0] for r in df.select(column).where(F.col(column).isNotNull()).distinct().collect())
-    return df.withColumns(
-        {f"{column}_{v}": F.coalesce((F.col(column) == v).cast("double"), F.lit(0.0)) for v in values}
-    )
+    own = F.col(column).cast("string")
+    coded = {f"{column}_{v}": F.coalesce((own == v).cast("double"), F.lit(0.0)) for v in values}
+    other = F.coalesce((~own.isin(*values)).cast("double"), F.lit(0.0))
+    return df.withColumns({**coded, f"{column}_{OTHER_VALUES}": other})

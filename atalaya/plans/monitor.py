@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from atalaya.operators.contract import LABELS
-from atalaya.operators.drift import drift_report_groups, drift_report_pairs, retrain_decision
+from atalaya.operators.drift import GROUP_DRIFT_FEATURES, PAIR_DRIFT_FEATURES, drift_report, retrain_decision
 from atalaya.operators.evaluation import group_id, recall_at_k, union_train_batch
 from atalaya.operators.favoritism import PAIR, fav_features
 from atalaya.operators.models import score_groups, score_pairs
@@ -25,25 +25,24 @@ def _recall(scored: DataFrame) -> float | None:
     return recall_at_k(scored).first()["recall_at_k"]
 
 
-def monitor_batch(
-    training: DataFrame, batch: DataFrame, model_folder: str, name: str
-) -> tuple[DataFrame, DataFrame]:
-    """Long drift report (lote, modelo, variable, psi) and the one-row decision for a batch."""
+def monitor_batch(batch: DataFrame, model_folder: str, name: str) -> tuple[DataFrame, DataFrame]:
+    """Long drift report (lote, modelo, variable, psi) and the one-row decision for a batch.
+
+    The training data are known by the baselines that were saved with the model; only the batch is read.
+    """
     spark = batch.sparkSession
     manifest = read_json(spark, f"{model_folder}/{MANIFEST}")
     part = {k: f"{model_folder}/{v}" for k, v in manifest["artifacts"].items()}
     state = read_json(spark, part["preprocessor_json"])
     medians = load_medians(spark, part.get("preprocessor_medians"), state)
-    old, new = (apply_preprocessor(df, state, medians) for df in (training, batch))
+    new = apply_preprocessor(batch, state, medians)
     labelled = {c: c in batch.columns for c in LABELS}
 
     pair_label = "label_favoritismo" if labelled["label_favoritismo"] else None
-    old_pairs = fav_features(old, amount=MODEL_AMOUNT)
     new_pairs = fav_features(new, label=pair_label, amount=MODEL_AMOUNT)
     group_label = "label_fraccionamiento" if labelled["label_fraccionamiento"] else None
     clusters = KMeansModel.load(part["fraccionamiento_model"])
     scaler = StandardScalerModel.load(part["fraccionamiento_scaler"])
-    old_groups = score_groups(frac_features(old), clusters, scaler)
     new_groups = score_groups(frac_features(new, label=group_label), clusters, scaler)
 
     recalls = []
@@ -56,8 +55,12 @@ def monitor_batch(
             group_id(GROUP).alias("id"), "label", F.col("score_anomalia").alias("score"))))
 
     report = (
-        drift_report_pairs(old_pairs, new_pairs).withColumn("modelo", F.lit("favoritismo"))
-        .unionByName(drift_report_groups(old_groups, new_groups).withColumn("modelo", F.lit("fraccionamiento")))
+        drift_report(spark.read.parquet(part["favoritismo_baseline"]), new_pairs, PAIR_DRIFT_FEATURES)
+        .withColumn("modelo", F.lit("favoritismo"))
+        .unionByName(
+            drift_report(spark.read.parquet(part["fraccionamiento_baseline"]), new_groups, GROUP_DRIFT_FEATURES)
+            .withColumn("modelo", F.lit("fraccionamiento"))
+        )
         .withColumn("lote", F.lit(name))
     )
     known = [(name, r) for r in recalls if r is not None] or [(name, None)]

@@ -132,11 +132,13 @@ def test_payments(spark, contracts):
 
 def test_one_hot_and_scaling(contracts):
     rows = contracts([{"modalidad": "x", "monto": 1.0}, {"modalidad": None, "monto": 3.0}])
-    coded = prep.one_hot(rows, "modalidad").orderBy("id_contrato").collect()
-    assert [r["modalidad_x"] for r in coded] == [1.0, 0.0]
+    coded = prep.one_hot(rows, "modalidad", prep.one_hot_values(rows, "modalidad")).orderBy("id_contrato").collect()
+    assert [(r["modalidad_x"], r["modalidad_otros"]) for r in coded] == [(1.0, 0.0), (0.0, 0.0)]
     scaled = prep.standardize_column(rows, "monto", "z").orderBy("id_contrato").collect()
     assert [r["z"] for r in scaled] == [-1.0, 1.0]
-    assert {"id_contrato_C0", "id_contrato_C1"} <= set(prep.one_hot(rows, "id_contrato").columns)
+    assert prep.one_hot_values(rows, "id_contrato", 1) == ["C0"]
+    by_id = prep.one_hot(rows, "id_contrato", ["C0"]).orderBy("id_contrato").collect()
+    assert [(r["id_contrato_C0"], r["id_contrato_otros"]) for r in by_id] == [(1.0, 0.0), (0.0, 1.0)]
 
 
 def test_p_values_of_t(spark):

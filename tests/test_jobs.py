@@ -79,11 +79,11 @@ def test_scoring_never_sees_labels(spark, tables, model):
 def test_monitoring_and_retraining(spark, tables, model, tmp_path):
     early = F.col("fecha_contrato") < "2024-01-01"
     train_rows, batch = tables.training.where(early), tables.training.where(~early)
-    report, decision = monitor_batch(train_rows, batch, model, "nuevo")
+    report, decision = monitor_batch(batch, model, "nuevo")
     assert {r["modelo"] for r in report.collect()} == {"favoritismo", "fraccionamiento"} and report.count() == 10
     row = decision.first()
     assert row["lote"] == "nuevo" and row["automatic_promotion"] is False
-    blind = monitor_batch(train_rows, batch.drop(*LABELS), model, "sin_labels")[1].first()
+    blind = monitor_batch(batch.drop(*LABELS), model, "sin_labels")[1].first()
     assert not blind["candidate_allowed"] and blind["recall_at_k"] is None
     manifest = retrain(train_rows, batch, model, str(tmp_path / "retrained"))
     assert manifest["training"]["inherited_from_champion"].startswith("candidate-")

@@ -153,6 +153,25 @@ def test_psi_of_equal_shifted_and_constant_columns(spark):
     assert moved == pytest.approx(expected, rel=0.02)
 
 
+def test_a_stored_baseline_replaces_the_old_rows(spark, tmp_path):
+    rng = random.Random(9)
+    old = spark.createDataFrame([(rng.gauss(0, 1), float(i % 3), None) for i in range(500)], "x double, c double, e double")
+    new = spark.createDataFrame([(rng.gauss(0.5, 1), float(i % 2), 1.0) for i in range(300)], "x double, c double, e double")
+    columns = ["x", "c", "e"]
+    drift.psi_baseline(old, columns).write.parquet(f"{tmp_path}/base")
+    stored = spark.read.parquet(f"{tmp_path}/base")
+    assert stored.count() <= 10 + 3
+    got = {r["variable"]: r["psi"] for r in drift.psi_against(stored, new, columns).collect()}
+    assert got == pytest.approx({r["variable"]: r["psi"] for r in drift.psi(old, new, columns).collect()})
+    # By numpy: ten bins by the old rows' quantiles; a column without old rows has no baseline.
+    import numpy as np
+
+    before, after = ([r["x"] for r in d.collect()] for d in (old, new))
+    edges = np.quantile(before, [i / 10 for i in range(1, 10)])
+    p, q = (np.maximum(np.bincount(np.searchsorted(edges, v, side="right"), minlength=10) / len(v), 1e-4) for v in (before, after))
+    assert got["x"] == pytest.approx(float(((q - p) * np.log(q / p)).sum())) and set(got) == {"x", "c"}
+
+
 def test_retraining_needs_labels_and_never_promotes(spark):
     reports = spark.createDataFrame([("a", "x", 0.3), ("b", "x", 0.1), ("c", "x", 0.9)], "lote string, variable string, psi double")
     recalls = spark.createDataFrame([("b", 0.5)], "lote string, recall_at_k double")
