@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from atalaya.llm.frames import small_batches
-from atalaya.runtime import materialize
+from atalaya.runtime import discard, materialize
 
 # --- fixed values of the measure ---------------------------------------------------
 LEAST, LONGEST = 30, 4
@@ -262,16 +262,20 @@ def collocations(
     )
     base = materialize(occurrences(source, block), "occurrences")
     words = base.where("data IS NULL").select("key", F.col("lang").cast("string").alias("lang"), F.col("word").cast("string").alias("word"), "n")
-    totals = words.groupBy("lang").agg(F.sum("n").alias("n"))
+    totals = materialize(words.groupBy("lang").agg(F.sum("n").alias("n")), "totals")
     frequent = materialize(frequent_only(words, ["lang", "word"], least), "frequent")
     single = F.array("f")
     known = frequent.where("id = key").select("id", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "f", single.alias("heads"), single.alias("tails"))
-    relation, found = base.where("data IS NOT NULL"), []
+    # Every relation goes as soon as the next one is written, so one of them and its counts are on disk at a time.
+    relation, last, found = base.where("data IS NOT NULL"), base, []
     for k in range(2, longest + 1):
         relation = materialize(next_relation(relation, frequent, first=k == 2), "relation")
+        discard(last)
+        last = relation
         frequent = materialize(frequent_only(pair_counts(relation), ["a", "b"], least), "frequent")
         known = materialize(with_words(frequent, known), "phrases")
         found.append(known)
+    discard(last)
     candidates = found[0]
     for more in found[1:]:
         candidates = candidates.unionByName(more)
