@@ -16,6 +16,7 @@ ignored. A piece is never cut, however long it is.
 
 from __future__ import annotations
 
+import gc
 import re
 from collections import defaultdict
 from collections.abc import Iterator
@@ -23,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from atalaya.llm.frames import small_batches
@@ -231,6 +232,12 @@ def with_words(frequent: DataFrame, shorter: DataFrame) -> DataFrame:
     )
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished jobs, which it does once the driver has dropped their plans as garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def worst_cut(longest: int) -> Column:
     """Of all cuts of a phrase into two the one of the lowest score, ties to the shortest first part."""
     cuts = [
@@ -272,6 +279,7 @@ def collocations(
         relation = materialize(next_relation(relation, frequent, first=k == 2), "relation")
         discard(last)
         last = relation
+        release(docs.sparkSession)
         frequent = materialize(frequent_only(pair_counts(relation), ["a", "b"], least), "frequent")
         known = materialize(with_words(frequent, known), "phrases")
         found.append(known)
