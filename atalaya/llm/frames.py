@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,13 +43,32 @@ def partitions_of(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def gathered(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
+    """The rows in batches of about `limit` bytes, one given batch at least."""
+    held, size = [], 0
+    for batch in batches:
+        if held and size + batch.nbytes > limit:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+        held.append(batch)
+        size += batch.nbytes
+    if held:
+        yield pa.concat_batches(held)
+
+
 def chunks(texts: list, limit: int = CHUNK_CHARS) -> Iterator[tuple[int, int]]:
     """Ranges of `texts` that hold about `limit` characters each, one text at least."""
-    start = size = 0
-    for i, text in enumerate(texts):
-        if i > start and size + len(text) > limit:
+    return ranges_of(map(len, texts), limit)
+
+
+def ranges_of(lengths: Iterable[int], limit: int = CHUNK_CHARS) -> Iterator[tuple[int, int]]:
+    """Ranges of places whose lengths add up to about `limit`, one place at least."""
+    start = size = end = 0
+    for i, length in enumerate(lengths):
+        if i > start and size + length > limit:
             yield start, i
             start, size = i, 0
-        size += len(text)
-    if start < len(texts):
-        yield start, len(texts)
+        size += length
+        end = i + 1
+    if start < end:
+        yield start, end

@@ -1,8 +1,8 @@
 """Packing of token sequences: best-fit decreasing with whole id matrices, and first-fit decreasing.
 
-Both cut a long document into full sequences and a rest, lose no id, and pack in random groups
-of documents: a group is a bounded number of documents drawn by a hash of the id, so no
-task ever holds more than its groups, however the ids or sources are distributed.
+Both cut a long document into full sequences and a rest, lose no id, and pack in random groups:
+a piece goes to a group by a hash of the id, its place, its ids and how many equal pieces its task has had
+before, so neither repeated nor null ids, long documents nor repeated rows crowd one group.
 
 Defined results: a null text is an empty one and still carries its end id; rows that repeat are
 packed each on its own; an empty table gives an empty result; other columns are ignored.
@@ -11,23 +11,30 @@ packed each on its own; an empty table gives an empty result; other columns are
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from atalaya.llm.frames import chunks, documents, small_batches
-from atalaya.llm.tokens import word_ids
+from atalaya.llm.frames import documents, gathered, ranges_of, small_batches
+from atalaya.llm.tokens import gather, word_ids
 
 CAPACITY = 2048
 END_ID = 1
-#: Documents per random group. A group's ids are held by one task at a time.
+#: Documents' worth of pieces per random group, on average. A group's ids are held by one task at a time.
 GROUP_DOCS = 512
 #: The same where only lengths travel.
 GROUP_PIECE_DOCS = 2048
+#: Bytes of text that a task encodes at once. The more, the fewer times a word is looked up.
+WINDOW_BYTES = 8_000_000
+#: Equal pieces are told apart by their number within a task. The tasks share these numbers in runs of so many, so
+#: one number of one piece comes up at most so often.
+SHARING_TASKS = 1024
 
 
 # --- packing of lengths ---------------------------------------------------------------
@@ -112,51 +119,83 @@ def offsets_in(bins: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return out
 
 
-def _groups(df: DataFrame, docs: DataFrame, per_group: int, seed: int) -> DataFrame:
-    """Random group of each row, the same for all rows of a document."""
-    groups = max(1, -(-docs.count() // per_group))
-    return df.withColumn("_group", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(groups)).cast("long"))
-
-
-# --- op 2: first-fit decreasing -------------------------------------------------------
+# --- pieces and groups ----------------------------------------------------------------
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
-def token_pieces(docs: DataFrame, file: str, *, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
-    """Pieces of at most `capacity` ids of each document, with their checksum."""
+def token_pieces(docs: DataFrame, file: str, *, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
+    """Pieces of at most `capacity` ids of each document, with their checksum.
+
+    `salt` numbers equal pieces of one task. It follows from what the task reads, in any order, so a task that
+    runs again gives the same rows. `with_ids` adds the ids, in 16 bits if the vocabulary allows it, else in 32.
+    """
     small_batches(docs.sparkSession)
+    schema = f"{PIECES}, salt long" + (", ids binary" if with_ids else "")
+    names = [f.split()[0] for f in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = word_ids(file)
-        for batch in batches:
-            names, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            out: list[list] = [[], [], [], [], []]
-            for low, high in chunks(texts):
-                for name, ids in zip(names[low:high], encoder.encode(texts[low:high]), strict=True):
-                    ids = np.append(ids, np.uint32(end_id)).astype("<u4")
-                    for start in range(0, len(ids), capacity):
-                        part = ids[start : start + capacity]
-                        for column, value in zip(out, (name, start, len(part), zlib.crc32(part.tobytes()), len(ids)), strict=True):
-                            column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], [f.split()[0] for f in PIECES.split(", ")])
-
-    return documents(docs).mapInArrow(run, PIECES)
+        encoder, seen = word_ids(file), Counter()
+        narrow = "<u2" if max(end_id, encoder.tokenizer.get_vocab_size()) < 1 << 16 else "<u4"
+        sharing = TaskContext.get().partitionId() // SHARING_TASKS
+        for batch in gathered(batches, WINDOW_BYTES):
+            for low, high in ranges_of(pc.binary_length(batch.column(1)).to_pylist(), WINDOW_BYTES):
+                ids, counts = encoder.encode_column(batch.column(1).slice(low, high - low))
+                tokens = counts + 1
+                ends = np.cumsum(tokens)
+                flat, inside = np.full(int(ends[-1]), end_id, "<u4"), np.ones(int(ends[-1]), bool)
+                inside[ends - 1] = False
+                flat[inside] = ids
+                # All pieces of all documents, in order: they lie end to end in `flat`.
+                pieces = -(-tokens // capacity)
+                owner = np.repeat(np.arange(len(tokens)), pieces)
+                start = (np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * capacity
+                length = np.minimum(capacity, tokens[owner] - start)
+                borders = np.concatenate([[0], np.cumsum(length)])
+                data = memoryview(flat).cast("B")
+                crcs = [zlib.crc32(data[4 * a : 4 * b]) for a, b in zip(borders.tolist(), borders[1:].tolist(), strict=False)]
+                doc_id = batch.column(0).slice(low, high - low).take(pa.array(owner))
+                salt = []
+                for piece in zip(doc_id.to_pylist(), start.tolist(), crcs, tokens[owner].tolist(), strict=True):
+                    salt.append(sharing << 40 | seen[piece])
+                    seen[piece] += 1
+                columns = [doc_id, *(pa.array(c, pa.int64()) for c in (start, length, crcs, tokens[owner], salt))]
+                if with_ids:
+                    wide = np.dtype(narrow).itemsize
+                    buffers = [None, pa.py_buffer((borders * wide).astype(np.int32)), pa.py_buffer(flat.astype(narrow))]
+                    columns.append(pa.Array.from_buffers(pa.binary(), len(owner), buffers))
+                yield pa.RecordBatch.from_arrays(columns, names)
+
+    return documents(docs).mapInArrow(run, schema)
+
+
+def _groups(pieces: DataFrame, docs: DataFrame, per_group: int, seed: int) -> DataFrame:
+    """Random group of each piece."""
+    groups = max(1, -(-docs.count() // per_group))
+    mixed = F.xxhash64(F.lit(seed), "doc_id", "start", "ids_crc32", "doc_tokens", "salt")
+    return pieces.withColumn("_group", F.pmod(mixed, F.lit(groups)).cast("long"))
+
+
+def _in_order(part: pa.Table, keys: list[tuple[str, str]]) -> pa.Table:
+    return part.sort_by([*keys, *((k, "ascending") for k in ("doc_id", "start", "ids_crc32", "doc_tokens"))]).combine_chunks()
+
+
+# --- op 2: first-fit decreasing -------------------------------------------------------
 
 
 def pack_first_fit(pieces: DataFrame, docs: DataFrame, *, capacity: int = CAPACITY, seed: int = 2) -> DataFrame:
     """Adds `sequence_id` and `offset` to pieces; each random group is packed on its own."""
 
-    def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["length", "doc_id", "start", "ids_crc32"], ascending=[False, True, True, True], kind="stable")
+    def run(key: tuple, part: pa.Table) -> pa.Table:
+        part = _in_order(part, [("length", "descending")])
         lengths = part["length"].to_numpy()
         bins = np.array(first_fit_decreasing(lengths.tolist(), capacity), np.int64)
-        part["sequence_id"] = (np.int64(key[0]) << 32) + bins
-        part["offset"] = offsets_in(bins, lengths)
-        return part.drop(columns="_group")
+        part = part.drop_columns(["_group", "salt"])
+        part = part.append_column("sequence_id", pa.array((key[0].as_py() << 32) + bins))
+        return part.append_column("offset", pa.array(offsets_in(bins, lengths)))
 
     grouped = _groups(pieces, docs, GROUP_PIECE_DOCS, seed).groupBy("_group")
-    return grouped.applyInPandas(run, f"{PIECES}, sequence_id long, offset long")
+    return grouped.applyInArrow(run, f"{PIECES}, sequence_id long, offset long")
 
 
 def ffd_pack(docs: DataFrame, file: str, *, capacity: int = CAPACITY, end_id: int = END_ID, seed: int = 2) -> DataFrame:
@@ -189,38 +228,40 @@ def pack_matrices(
     at 0 with each segment and are 0 on padding. `doc_ids` and `starts` name each segment's
     document and its first id there, so the documents can be put together again.
     """
-    small_batches(docs.sparkSession)
 
-    def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["doc_id", "text"], kind="stable")
-        names, texts = part["doc_id"].tolist(), part["text"].tolist()
-        encoder, pieces = word_ids(file), []
-        for low, high in chunks(texts):
-            for name, ids in zip(names[low:high], encoder.encode(texts[low:high]), strict=True):
-                ids = np.append(ids, np.uint32(end_id)).astype("<u4")
-                pieces += [(name, s, ids[s : s + capacity]) for s in range(0, len(ids), capacity)]
-        bins = best_fit_decreasing([len(p[2]) for p in pieces], capacity)
-        members: dict[int, list] = {}
-        for piece, which in zip(pieces, bins, strict=True):
-            members.setdefault(which, []).append(piece)
-        rows = []
-        for which in sorted(members):
-            own = members[which]
-            lengths = [len(p[2]) for p in own]
-            ids, positions = np.full(capacity, pad_id, "<u4"), np.zeros(capacity, "<u4")
-            ids[: sum(lengths)] = np.concatenate([p[2] for p in own])
-            positions[: sum(lengths)] = np.concatenate([np.arange(n, dtype="<u4") for n in lengths])
-            rows.append((
-                (int(key[0]) << 32) + which, sum(lengths), [None if pd.isna(p[0]) else int(p[0]) for p in own], [p[1] for p in own],
-                np.concatenate([[0], np.cumsum(lengths)]).tolist(), ids.tobytes(), positions.tobytes(),
-            ))
-        return pd.DataFrame(rows, columns=[f.split()[0] for f in MATRIX.split(", ")])
-
-    return _groups(documents(docs), docs, group_docs, seed).groupBy("_group").applyInPandas(run, MATRIX)
+    def run(key: tuple, part: pa.Table) -> pa.Table:
+        part = _in_order(part, [])
+        lengths = part["length"].to_numpy()
+        bins = np.array(best_fit_decreasing(lengths.tolist(), capacity), np.int64)
+        places = offsets_in(bins, lengths)
+        data = b"".join(part["ids"].to_pylist())
+        flat = np.frombuffer(data, f"<u{len(data) // int(lengths.sum())}")
+        # Every id and its position go to their cell by one scatter.
+        inside = gather(np.arange(capacity), np.zeros(len(lengths), np.int64), lengths)
+        cells = np.repeat(bins * capacity + places, lengths) + inside
+        input_ids, positions = np.full((int(bins.max()) + 1, capacity), pad_id, "<u4"), np.zeros((int(bins.max()) + 1, capacity), "<u4")
+        input_ids.reshape(-1)[cells], positions.reshape(-1)[cells] = flat, inside
+        # The segments of each sequence, in order of their places.
+        order = np.lexsort([places, bins])
+        members = np.bincount(bins)
+        borders = pa.array(np.concatenate([[0], np.cumsum(members)]), pa.int32())
+        used = np.bincount(bins, lengths).astype(np.int64)
+        cuts = np.insert(places[order], np.cumsum(members), used)
+        lists = pa.ListArray.from_arrays
+        return pa.table([
+            pa.array((key[0].as_py() << 32) + np.arange(len(members))),
+            pa.array(used, pa.int32()),
+            lists(borders, part["doc_id"].combine_chunks().take(pa.array(order))),
+            lists(borders, pa.array(part["start"].to_numpy()[order])),
+            lists(pa.array(np.concatenate([[0], np.cumsum(members + 1)]), pa.int32()), pa.array(cuts, pa.int32())),
+            pa.array([row.tobytes() for row in input_ids], pa.binary()),
+            pa.array([row.tobytes() for row in positions], pa.binary()),
+        ], [f.split()[0] for f in MATRIX.split(", ")])
+
+    pieces = token_pieces(docs, file, capacity=capacity, end_id=end_id, with_ids=True)
+    return _groups(pieces, docs, group_docs, seed).groupBy("_group").applyInArrow(run, MATRIX)
 
 
 def write_matrices(packed: DataFrame, path: str) -> None:
     """Packed rows as Parquet files, ready for a loader that reads binary columns."""
     packed.write.mode("errorifexists").parquet(path)
-
-

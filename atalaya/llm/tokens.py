@@ -1,8 +1,8 @@
 """Ids of whole texts by a word-level tokenizer file, with a cache of words.
 
-The tokenizer drops white space and never joins what a blank separates. So a text is cut
-at blanks and line ends, every distinct word of a batch goes through the tokenizer once,
-and the ids of a text are gathered from the words' ids.
+The tokenizer drops white space and never joins what a blank separates. So a column of texts is
+cut at blanks and line ends and numbered by distinct words in Arrow, Python looks up the distinct
+words only, and the ids of a text are gathered from the words' ids.
 """
 
 from __future__ import annotations
@@ -13,9 +13,14 @@ import re
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-#: Words kept by one Python worker; beyond that the cache starts anew. Bounds memory only.
-CACHE_WORDS = 600_000
+#: What one Python worker keeps: characters of words plus `WORD_COST` for each word; beyond that the cache starts
+#: anew. Longer words than `KEPT_WORD` are never kept. Bounds memory only.
+CACHE_CHARS = 80_000_000
+WORD_COST = 100
+KEPT_WORD = 128
 
 
 def gather(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -62,6 +67,11 @@ INSIDE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: None of them composes with another one, is white space or has a lower case that depends on its place.
 PLAIN = r"[!-~\u00a1-\u024f]+"
 
+#: Marks at the end of a word are a piece of their own anyway, so a blank before them keeps "word", "word." and "word,"
+#: one entry. Only after plain letters and digits and before a blank: there neither composition nor the lower case of
+#: a letter, which may look past marks at other letters, sees the difference.
+DETACHED = (r"([0-9A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{ff}])([!-&(-/:-@\[-`{-~]+)( |$)", r"\1 \2\3")
+
 
 def byte_symbols() -> list[str]:
     """The visible character that stands for each byte in byte-level vocabularies."""
@@ -93,7 +103,7 @@ class WordIds:
         self.clear()
 
     def clear(self) -> None:
-        self.index, self.pieces = {}, Pieces(np.uint32)
+        self.index, self.pieces, self.kept = {}, Pieces(np.uint32), 0
 
     def _encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of words, concatenated, and how many each has."""
@@ -122,23 +132,44 @@ class WordIds:
         borders = np.concatenate([[0], np.cumsum(counts)])
         return ids, np.diff(sums[borders])
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        words = [t.replace("\n", " ").split(" ") for t in texts]
-        if len(self.index) > CACHE_WORDS:
+    def _ids_of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of distinct words in one array, and where each word's ids start there and how many they are."""
+        if self.kept > CACHE_CHARS:
             self.clear()
         index = self.index
-        new = list(set().union(*words) - index.keys())
+        new = [w for w in words if len(w) <= KEPT_WORD and w not in index]
         if new:
             base = len(index)
             index.update(zip(new, range(base, base + len(new)), strict=True))
             self.pieces.extend(*self._encode_words(new))
-        counts = np.fromiter(map(len, words), np.int64, len(words))
-        order = np.fromiter(map(index.__getitem__, itertools.chain.from_iterable(words)), np.int64, int(counts.sum()))
-        ids, lengths = self.pieces.of(order)
+            self.kept += sum(map(len, new)) + WORD_COST * len(new)
+        at = np.fromiter((index.get(w, -1) for w in words), np.int64, len(words))
+        kept, once = np.flatnonzero(at >= 0), np.flatnonzero(at < 0)
+        flat, lengths = self.pieces.of(at[kept])
+        if len(once):
+            long_flat, long_lengths = self._encode_words([words[i] for i in once])
+            flat, lengths = np.concatenate([flat, long_flat]), np.concatenate([lengths, long_lengths])
+        starts, sizes = np.empty(len(words), np.int64), np.empty(len(words), np.int64)
+        order = np.concatenate([kept, once])
+        starts[order], sizes[order] = np.cumsum(lengths) - lengths, lengths
+        return flat, starts, sizes
+
+    def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts, concatenated, and how many each text has. No text may be null."""
+        texts = pc.replace_substring(texts, "\n", " ")
+        lines = pc.split_pattern(pc.replace_substring_regex(texts, *DETACHED), " ")
+        words = lines.flatten().dictionary_encode()
+        flat, starts, sizes = self._ids_of(words.dictionary.to_pylist())
+        order = words.indices.to_numpy()
+        lengths = sizes[order]
         # Ids per text: sums of the words' lengths between the texts' borders.
         sums = np.concatenate([[0], np.cumsum(lengths)])
-        borders = np.concatenate([[0], np.cumsum(counts)])
-        return np.split(ids, sums[borders[1:-1]]) if texts else []
+        borders = np.concatenate([[0], np.cumsum(pc.list_value_length(lines).to_numpy())])
+        return gather(flat, starts[order], lengths), np.diff(sums[borders])
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        ids, counts = self.encode_column(pa.array(texts, pa.string()))
+        return np.split(ids, np.cumsum(counts)[:-1]) if texts else []
 
 
 @lru_cache(maxsize=1)

@@ -43,6 +43,10 @@ def test_word_ids_equal_the_library(tokenizer):
     texts = ["", " ", "it's I'VE we'll 12.5!!", "ΟΔΥΣΣΕΥΣ Σας İ", "<|endoftext|> x", "a" * 2000, "x\x1cy\x85z \xa0 \t"]
     texts += ["".join(chr(random.randrange(*random.choice(ranges))) for _ in range(random.randrange(120))) for _ in range(200)]
     texts += [f"a{chr(c)}b {chr(c)}" for c in range(0x21, 0x250)]
+    # Marks at word ends: with contractions, final sigmas, combining signs and letters of several cases around them.
+    texts += ["ΑΣ. x", "a.Σ a. Σ", "ΑΣa. Σ", "it's. 's. don't!'s x.'s", "é.\u0301 e\u0301. x", "a,, b,. c.", "a.\nb.", "Ł. ª. ß. ×. İ. x.y. z", "a.  b.\t."]
+    around = [*"aéΣσ.,'!_#3 ", " ", " ", "\n", "İ", "\u0301", "'s", "·"]
+    texts += ["".join(random.choice(around) for _ in range(random.randrange(60))) for _ in range(2000)]
     found = WordIds(FILE).encode(texts)
     assert [x.tolist() for x in found] == [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
 
@@ -87,6 +91,29 @@ def test_matrices_give_the_documents_back(docs, tokenizer):
         assert [i for _, part in pieces for i in part] == ids_of(tokenizer, text)
 
 
+def test_kept_words_are_bounded(tokenizer, monkeypatch):
+    from atalaya.llm import tokens
+
+    monkeypatch.setattr(tokens, "CACHE_CHARS", 2000)
+    encoder = WordIds(FILE)
+    texts = [f"word{i} " + "x" * 200 + f"{i} end." for i in range(300)]
+    for low in range(0, 300, 10):
+        found = encoder.encode(texts[low : low + 10])
+        assert [x.tolist() for x in found] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts[low : low + 10]]
+        assert encoder.kept < 6000 and max(map(len, encoder.index)) <= tokens.KEPT_WORD
+
+
+def test_no_group_is_crowded(spark):
+    """A third of the rows without id, a third equal, one document of many pieces: groups stay near their bound."""
+    rows = [(None, f"no id {i}") for i in range(400)] + [(5, "twice the same")] * 400 + [(1000 + i, f"own {i}") for i in range(399)] + [(6, "long " * 64 * 300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    pieces = packing.token_pieces(docs, FILE, capacity=CAPACITY)
+    sizes = [r["count"] for r in packing._groups(pieces, docs, 100, 7).groupBy("_group").count().collect()]
+    assert sum(sizes) == pieces.count() >= 1499 and max(sizes) <= 2 * sum(sizes) / 12
+    again = [sorted(map(str, packing._groups(pieces, docs, 100, 7).collect())) for _ in range(2)]
+    assert again[0] == again[1]
+
+
 def test_empty_table(spark, docs):
     none = docs.limit(0)
     assert packing.ffd_pack(none, FILE).count() == 0 and packing.pack_matrices(none, FILE).count() == 0
