@@ -14,7 +14,8 @@ The model is fitted on a bounded sample of the labelled documents (`SAMPLE` rows
 every document is scored over its whole text.
 
 Defined results: a null text is an empty one and has no features; labels that are null don't count, several
-labels of one document count as their largest toxicity and least quality; without any toxic or any clean label
+labels of one document count as their largest toxicity and least quality; of several texts of one labelled id the
+smallest is learned from; without any toxic or any clean label
 nothing is toxic; rows that repeat are scored each on its own; an empty table gives an empty result.
 """
 
@@ -33,12 +34,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from atalaya.llm.frames import documents, numbered, small_batches
+from atalaya.runtime import discard, materialize
 
 CATEGORIES = ("low_quality", "toxic", "severe")
 #: Labelled documents that the model is fitted on, about.
 SAMPLE = 12_000
-#: Features taken from the toxic documents of the sample by frequency, before they are tested.
-CANDIDATES = 20_000
 #: Toxic documents a feature must occur in, and standard deviations between its two rates.
 LEAST_DOCUMENTS, LEAST_SIGMA = 4, 5.0
 SEVERE = 4
@@ -158,41 +158,40 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int, seed: int) ->
     share = min(1.0, rows / max(1, known.count()))
     drawn = known.where(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30)) < F.lit(int(share * (1 << 30))))
     # The sample bounds this side: about `rows` rows of three numbers.
-    return documents(docs).join(F.broadcast(drawn), "doc_id").select("doc_id", "text", "toxic", "quality")
+    texts = documents(docs).join(F.broadcast(drawn), "doc_id")
+    # One text per id, combined before the shuffle, so repeated rows neither add to the sample nor crowd a task.
+    return texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic"), F.first("quality").alias("quality"))
 
 
-def _feature_counts(sample: DataFrame, wanted: set[str] | None) -> DataFrame:
-    """In how many documents each feature occurs; `wanted` None means all features."""
+def telling_features(sample: DataFrame, toxic: int, clean: int) -> DataFrame:
+    """Features whose shares among the `toxic` and the `clean` documents differ beyond chance, and which share is larger."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
+        counts: tuple[Counter, Counter] = (Counter(), Counter())
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                own = {f for w in words_of(text) for f in features_of_word(w)}
-                counts.update(own if wanted is None else own & wanted)
-        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["feature", "n"])
+            for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                counts[label].update({f for w in words_of(text) for f in features_of_word(w)})
+        for label, own in enumerate(counts):
+            numbers, none = pa.array(list(own.values()), pa.int64()), pa.array([0] * len(own), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.string()), *((none, numbers) if label else (numbers, none))], ["feature", "m", "n"])
 
-    return sample.select("text").mapInArrow(run, "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n"))
+    counted = sample.where("toxic in (0, 1)").select("text", "toxic").mapInArrow(run, "feature string, m long, n long")
+    totals = counted.groupBy("feature").agg(F.sum("m").alias("m"), F.sum("n").alias("n")).where(F.col("n") >= LEAST_DOCUMENTS)
+    p, q, both = F.col("n") / toxic, F.col("m") / clean, (F.col("n") + F.col("m")) / (toxic + clean)
+    sigma = F.sqrt(both * (1 - both) * (1 / toxic + 1 / clean))
+    return totals.where((sigma > 0) & (F.abs(p - q) >= LEAST_SIGMA * sigma)).select("feature", (p > q).alias("more"))
 
 
 def fit_model(docs: DataFrame, labels: DataFrame, *, sample_rows: int = SAMPLE, seed: int = 10) -> Model:
     """The chain, fitted on a bounded sample of labelled documents."""
     small_batches(docs.sparkSession)
-    sample = labelled_sample(docs, labels, sample_rows, seed)
-    toxic, clean = sample.where("toxic = 1"), sample.where("toxic = 0")
+    # Written once: it is read for the totals, the features and the rows of the fit.
+    sample = materialize(labelled_sample(docs, labels, sample_rows, seed), "labelled")
     totals = sample.agg(F.count(F.when(F.col("toxic") == 1, 1)).alias("t"), F.count(F.when(F.col("toxic") == 0, 1)).alias("c")).first()
     if not totals["t"] or not totals["c"]:
+        discard(sample)
         return Model()
-    frequent = _feature_counts(toxic, None).where(F.col("n") >= LEAST_DOCUMENTS).orderBy(F.desc("n"), "feature").limit(CANDIDATES)
-    in_toxic = {r["feature"]: r["n"] for r in frequent.collect()}
-    in_clean = {r["feature"]: r["n"] for r in _feature_counts(clean, set(in_toxic)).collect()}
-    kept = []
-    for feature, n in in_toxic.items():
-        m = in_clean.get(feature, 0)
-        p, q, both = n / totals["t"], m / totals["c"], (n + m) / (totals["t"] + totals["c"])
-        sigma = (both * (1 - both) * (1 / totals["t"] + 1 / totals["c"])) ** 0.5
-        if sigma and abs(p - q) >= LEAST_SIGMA * sigma:
-            kept.append((feature, p > q))
+    kept = [(r["feature"], r["more"]) for r in telling_features(sample, totals["t"], totals["c"]).collect()]
     model = Model({feature: i for i, (feature, _) in enumerate(sorted(kept))})
     telling = {model.features[f] for f, more in kept if more and not f.endswith("*")}
 
@@ -203,6 +202,7 @@ def fit_model(docs: DataFrame, labels: DataFrame, *, sample_rows: int = SAMPLE,
 
     # Bounded by the sample; only feature numbers reach the driver.
     data = sample.mapInArrow(run, "doc_id long, toxic int, quality int, found array<int>").toPandas()
+    discard(sample)
     data["found"] = [list(x) for x in data["found"]]
     data = data.sort_values("doc_id", kind="stable", ignore_index=True)
     severe = [t == 1 and len(telling.intersection(f)) >= SEVERE for t, f in zip(data["toxic"], data["found"], strict=True)]

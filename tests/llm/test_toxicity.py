@@ -80,3 +80,30 @@ def test_odd_inputs(spark, frames):
     assert not any(r["rejected"] for r in toxicity.toxicity_scores(docs.limit(50), bare).collect())
     noisy = labels.limit(30).selectExpr("doc_id", "cast(null as int) quality", "cast(null as int) toxic").unionByName(labels).unionByName(labels.limit(9))
     assert toxicity.fit_model(docs, noisy).features == model.features
+
+
+def test_repeated_rows_do_not_swell_the_sample(spark, frames):
+    docs, labels, _ = frames
+    first = docs.where("doc_id = 3")
+    many = docs.unionByName(first.crossJoin(spark.range(5000)).drop("id"))
+    sample = toxicity.labelled_sample(many, labels, 100_000, 10)
+    assert sample.count() == 1500 and toxicity.fit_model(many, labels).features == toxicity.fit_model(docs, labels).features
+
+
+def test_features_equal_plain_counting(frames):
+    docs, labels, truth = frames
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    counts = {}
+    for i, text in texts.items():
+        for f in {f for w in toxicity.words_of(text) for f in toxicity.features_of_word(w)}:
+            counts.setdefault(f, [0, 0])[truth[i]] += 1
+    t = sum(truth.values())
+    c = len(truth) - t
+    plain = set()
+    for f, (m, n) in counts.items():
+        both = (m + n) / (t + c)
+        sigma = (both * (1 - both) * (1 / t + 1 / c)) ** 0.5
+        if n >= toxicity.LEAST_DOCUMENTS and sigma and abs(n / t - m / c) >= toxicity.LEAST_SIGMA * sigma:
+            plain.add((f, n / t > m / c))
+    sample = toxicity.labelled_sample(docs, labels, 100_000, 10)
+    assert {tuple(r) for r in toxicity.telling_features(sample, t, c).collect()} == plain and plain
