@@ -82,7 +82,7 @@ def template_tree(leaves: DataFrame, levels: int = LEVELS) -> DataFrame:
     tree = leaves.withColumn("template", F.lit("")).withColumn("parent", F.lit("")).withColumn("depth", F.size(segments) - 1)
     for level in range(1, levels + 2):
         last = level == levels + 1
-        own = F.array_join(F.slice(segments, level + 1, 100_000), "/") if last else F.get(segments, level)
+        own = F.array_join(F.slice(segments, F.lit(level + 1), F.size(segments)), "/") if last else F.get(segments, level)
         tree = tree.withColumn("segment", F.when(F.col("depth") >= level, own))
         branches = tree.where(F.col("segment").isNotNull()).groupBy("host", "template", "segment").agg(F.sum("n").alias("pages"))
         parents = branches.groupBy("host", "template").agg(F.count(F.lit(1)).alias("branches"), F.sum("pages").alias("all_pages"))

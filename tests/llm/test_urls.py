@@ -65,3 +65,9 @@ def test_wildcards_and_rejection(spark, pages):
 
 def test_empty_table(pages):
     assert urls.filter_urls(pages.limit(0)).count() == 0
+
+
+def test_paths_of_many_segments_stay_whole(spark):
+    path = "/" + "/".join("ab" for _ in range(120_000))
+    pages = spark.createDataFrame([(1, "http://h.test" + path)], "page_id long, url string")
+    assert [(r["path"], r["template"]) for r in urls.filter_urls(pages).collect()] == [(path, path)]
