@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from atalaya.checks.foundation import family_sql
 from atalaya.checks.proxies import Tables, define
 from atalaya.checks.registry import check, day, rounded
 from atalaya.operators import drift, explore, favoritism, payments, preprocessing, splitting
+from atalaya.operators.evaluation import KEY_JOINT, group_id
 from atalaya.operators.ordering import approximate_quantiles
 from atalaya.runtime import new_location
 from atalaya.sources.readers import load_medians
@@ -628,22 +631,55 @@ def _(t: Tables) -> DataFrame:
     return rounded(drift.drift_report_pairs(_half_pairs(t, True), _half_pairs(t, False)), 6, "psi")
 
 
-@check(
-    "retrain_decision",
-    f"""
-    , informes AS (SELECT 'despues' AS lote, * FROM ({psi_sql('pares_antes', 'pares_despues', drift.PAIR_DRIFT_FEATURES)})
+def _scored_half(t: Tables, early: bool) -> DataFrame:
+    """Labelled pairs of one half, scored by a plain feature, so that SQL can rank them too."""
+    part = F.col("fecha_contrato") < "2024-01-01"
+    rows = favoritism.fav_features(t.prepared.where(part if early else ~part), label="label_favoritismo")
+    return rows.select(group_id(favoritism.PAIR).alias("id"), "label", F.col("pct_contratacion_directa").alias("score"))
+
+
+def _scored_half_sql(condition: str) -> str:
+    return f"""SELECT label, row_number() OVER (ORDER BY score DESC, id) AS rango FROM (
+      SELECT concat_ws('{KEY_JOINT}', id_proveedor, id_entidad) AS id, max(label_favoritismo::INT) AS label,
+        avg(es_contratacion_directa::INT) AS score FROM prepared WHERE {condition} GROUP BY id_proveedor, id_entidad)"""
+
+
+define("puntuados_antes", _scored_half_sql("fecha_contrato < TIMESTAMP '2024-01-01'"), "prepared")
+define("puntuados_despues", _scored_half_sql("fecha_contrato >= TIMESTAMP '2024-01-01'"), "prepared")
+
+
+def _decision_sql() -> str:
+    """Both halves with their labels, and the second one once more without."""
+    late = psi_sql("pares_antes", "pares_despues", drift.PAIR_DRIFT_FEATURES)
+    recall = """SELECT '{0}' AS lote, TRUE AS con_labels, CAST(count(*) FILTER (WHERE label = 1
+      AND rango <= (SELECT sum(label) FROM puntuados_{0})) AS DOUBLE) / nullif(sum(label), 0) AS recall FROM puntuados_{0}"""
+    return f"""
+    , informes AS (SELECT 'despues' AS lote, * FROM ({late}) UNION ALL SELECT 'despues_sin_labels', * FROM ({late})
       UNION ALL SELECT 'antes', * FROM ({psi_sql('pares_antes', 'pares_antes', drift.PAIR_DRIFT_FEATURES)})),
-    m AS (SELECT lote, max(psi) AS psi_max FROM informes GROUP BY ALL)
-    SELECT lote, psi_max, CASE lote WHEN 'antes' THEN 0.9::DOUBLE END AS recall_at_k, psi_max > 0.25 AS trigger_drift,
-      FALSE AS trigger_recall, psi_max > 0.25 AS retraining_required, psi_max > 0.25 AND lote = 'despues' AS candidate_allowed,
-      FALSE AS automatic_promotion FROM m""",
-    "pares_antes pares_despues",
-)
+    m AS (SELECT lote, max(psi) AS psi_max FROM informes GROUP BY ALL),
+    r AS ({recall.format('antes')} UNION ALL {recall.format('despues')} UNION ALL SELECT 'despues_sin_labels', FALSE, NULL),
+    d AS (SELECT *, psi_max > 0.25 AS trigger_drift, coalesce(recall < 0.8, FALSE) AS trigger_recall FROM m JOIN r USING (lote))
+    SELECT lote, psi_max, round(recall, 6) AS recall_at_k, trigger_drift, trigger_recall, trigger_drift OR trigger_recall AS retraining_required,
+      (trigger_drift OR trigger_recall) AND con_labels AS candidate_allowed, FALSE AS automatic_promotion FROM d"""
+
+
+@check("retrain_decision", _decision_sql(), "pares_antes pares_despues puntuados_antes puntuados_despues")
 def _(t: Tables) -> DataFrame:
     old, new = _half_pairs(t, True), _half_pairs(t, False)
-    reports = drift.drift_report_pairs(old, new).withColumn("lote", F.lit("despues")).unionByName(
-        drift.drift_report_pairs(old, old).withColumn("lote", F.lit("antes"))
+    late = _scored_half(t, False)
+    scored = {
+        "antes": _scored_half(t, True), "despues": late,
+        "despues_sin_labels": late.withColumn("label", F.lit(None).cast("int")),
+    }
+    drifted = drift.drift_report_pairs(old, new)
+    by_batch = {"antes": drift.drift_report_pairs(old, old), "despues": drifted, "despues_sin_labels": drifted}
+
+    def union(parts) -> DataFrame:
+        return reduce(DataFrame.unionByName, parts)
+
+    decision = drift.retrain_decision(
+        union(report.withColumn("lote", F.lit(lote)) for lote, report in by_batch.items()),
+        union(drift.batch_recall(rows, lote) for lote, rows in scored.items()),
+        union(drift.batch_labels(rows, lote) for lote, rows in scored.items()),
     )
-    recalls = t.spark.createDataFrame([("antes", 0.9), ("despues", None)], "lote string, recall_at_k double")
-    labels = t.spark.createDataFrame([("antes", False), ("despues", True)], "lote string, tiene_labels boolean")
-    return rounded(drift.retrain_decision(reports, recalls, labels), 6, "psi_max")
+    return rounded(decision, 6, "psi_max", "recall_at_k")

@@ -212,24 +212,31 @@ def _(t: Tables) -> DataFrame:
 _CENTER = splitting.GROUP_FEATURES
 
 
-@check(
-    "centroid_distance",
-    f"""
-    , c AS (SELECT *, (max_contratos_ventana_15d > 1)::INT AS cluster FROM grupos),
-    m AS (SELECT cluster, {', '.join(f'avg({x}) AS m{i}' for i, x in enumerate(_CENTER))} FROM c GROUP BY cluster)
-    SELECT {_FAMILY}, round(sqrt({' + '.join(f'pow({x} - m{i}, 2)' for i, x in enumerate(_CENTER))}), 3) AS score_anomalia
-    FROM c JOIN m USING (cluster)""",
+define(
+    "centros",
+    f"""SELECT (max_contratos_ventana_15d > 1)::INT AS cluster, {', '.join(f'avg({x}) AS m{i}' for i, x in enumerate(_CENTER))}
+        FROM grupos GROUP BY 1""",
     "grupos",
 )
-def _(t: Tables) -> DataFrame:
+_DISTANCE_SQL = f"""SELECT {_FAMILY}, label, round(sqrt({' + '.join(f'pow({x} - m{i}, 2)' for i, x in enumerate(_CENTER))}), 3)
+    AS score_anomalia FROM grupos JOIN centros ON (max_contratos_ventana_15d > 1)::INT = cluster"""
+
+
+def _distances(t: Tables) -> DataFrame:
+    """Groups with their distance to the mean of the bursts or of the rest."""
     clustered = groups(t).withColumn("cluster", (F.col("max_contratos_ventana_15d") > 1).cast("int"))
     means = clustered.groupBy("cluster").agg(*[F.avg(c).alias(c) for c in _CENTER]).orderBy("cluster")
     centers = [[r[c] for c in _CENTER] for r in means.collect()]
     vectors = clustered.withColumn("features", array_to_vector(F.array(*[F.col(c).cast("double") for c in _CENTER])))
-    found = models.centroid_distance(vectors, centers).select(*splitting.GROUP, "score_anomalia")
+    found = models.centroid_distance(vectors, centers).select(*splitting.GROUP, "label", "score_anomalia")
     return rounded(found, 3, "score_anomalia")
 
 
+@check("centroid_distance", f"SELECT {_FAMILY}, score_anomalia FROM ({_DISTANCE_SQL})", "grupos centros")
+def _(t: Tables) -> DataFrame:
+    return _distances(t).drop("label")
+
+
 def _by_amount(t: Tables) -> DataFrame:
     """Groups scored by a plain feature, so that SQL can rank them too."""
     signalled = splitting.interpretable_signal(groups(t))
@@ -257,13 +264,14 @@ def _(t: Tables) -> DataFrame:
 @check(
     "contamination_cut",
     f"""
-    , corte AS (SELECT quantile_cont(monto_total_grupo, 0.95) AS x FROM grupos)
-    , marcados AS (SELECT label, monto_total_grupo > x AS pred FROM grupos, corte)
+    , distancias AS ({_DISTANCE_SQL}),
+    corte AS (SELECT quantile_cont(score_anomalia, 0.95) AS x FROM distancias),
+    marcados AS (SELECT label, score_anomalia > x AS pred FROM distancias, corte)
     {_confusion_sql('marcados', 'pred')}""",
-    "grupos",
+    "grupos centros",
 )
 def _(t: Tables) -> DataFrame:
-    marked = isolation.contamination_cut(_by_amount(t), 0.05, "score_anomalia")
+    marked = isolation.contamination_cut(_distances(t), 0.05, "score_anomalia")
     return evaluation.confusion_counts(marked)
 
 
@@ -392,6 +400,13 @@ def _(t: Tables) -> DataFrame:
     return report
 
 
+@check("monitor_batch")
+def _(t: Tables) -> DataFrame:
+    early = F.col("fecha_contrato") < "2024-01-01"
+    _report, decision = monitor_batch(t.training.where(~early), _candidate(t, t.training.where(early)), "despues")
+    return decision
+
+
 @check("benchmark_job")
 def _(t: Tables) -> DataFrame:
     return benchmark_job(t.spark, lambda: (t.contracts, t.contracts.count()))

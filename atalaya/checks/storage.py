@@ -15,7 +15,7 @@ from atalaya.operators import graph, reports, splitting
 from atalaya.operators.evaluation import numbered_by_score
 from atalaya.operators.explore import top_suppliers
 from atalaya.operators.quality import require_publishable
-from atalaya.plans.layers import layer_publish
+from atalaya.plans.layers import published, refresh_layers
 from atalaya.plans.score import run_inference
 from atalaya.plans.train import train_candidate
 from atalaya.runtime import new_location
@@ -130,21 +130,55 @@ def _(t: Tables) -> DataFrame:
     return t.spark.read.parquet(final)
 
 
+#: Table, source view and a sum over it, layer by layer.
+_LAYER_SUMS = {
+    "bronce": [
+        ("contratos", "contracts", "monto"), ("pagos", "payments", "monto_pagado"), ("proveedores", "suppliers", "1"),
+        ("entidades", "entities", "1"), ("funcionarios", "officials", "1"),
+    ],
+    "plata": [
+        ("contratos_procesados", "prepared", "monto_capped"), ("dataset_favoritismo", "pares", "n_contratos"),
+        ("dataset_fraccionamiento", "grupos", "n_contratos_grupo"), ("proveedores", "suppliers", "1"),
+        ("entidades", "entities", "1"), ("funcionarios", "officials", "1"),
+    ],
+    "oro": [
+        ("ranking_riesgo_favoritismo", "pares", "n_contratos"),
+        ("ranking_riesgo_fraccionamiento", "grupos", "max_contratos_ventana_15d"),
+        ("ranking_vinculos_proveedor_funcionario", "(SELECT * FROM vinculos WHERE senal_vinculo)", "n_contratos"),
+        ("resumen_pagos_contrato", "(SELECT id_contrato, count(id_pago) AS n_pagos FROM contracts LEFT JOIN payments "
+         "USING (id_contrato) GROUP BY id_contrato)", "n_pagos"),
+        ("resumen_modalidades_regimen", "(SELECT regimen, modalidad, clasificacion_modalidad, count(*) AS n_contratos "
+         "FROM clasificados GROUP BY ALL)", "n_contratos"),
+        ("vinculos_pagerank", "rangos", "pagerank"),
+    ],
+}
+
+
 @check(
     "layer_publish",
-    """SELECT 'contratos' AS tabla, count(*) AS filas FROM contracts UNION ALL SELECT 'proveedores', count(*) FROM suppliers
-       UNION ALL SELECT 'pagos', count(*) FROM payments""",
-    "contracts suppliers payments",
+    " UNION ALL ".join(
+        f"SELECT '{layer}' AS capa, '{name}' AS tabla, count(*) AS filas, round(sum({value}), 3)::DOUBLE AS suma FROM {view}"
+        for layer, rows in _LAYER_SUMS.items() for name, view, value in rows
+    ),
+    "contracts payments suppliers entities officials prepared pares grupos vinculos clasificados rangos",
 )
 def _(t: Tables) -> DataFrame:
-    root = new_location(t.spark, "layers")
-    layer_publish(t.spark, root, "bronce", {"contratos": t.contracts, "pagos": t.payments, "proveedores": t.suppliers})
-    counted = None
-    for name in ("contratos", "pagos", "proveedores"):
-        part = t.spark.read.parquet(f"{root}/bronce/{name}").agg(F.count(F.lit(1)).alias("filas"))
-        part = part.select(F.lit(name).alias("tabla"), "filas")
-        counted = part if counted is None else counted.unionByName(part)
-    return counted
+    """All tables of the three layers, from the domains and a model trained on them."""
+    root, model = new_location(t.spark, "layers"), new_location(t.spark, "model")
+    train_candidate(t.training, model, inherited={"numTrees": 100, "maxDepth": 3, "k": 3, "champion": "none"})
+    sources = {
+        "contratos": t.contracts, "pagos": t.payments, "proveedores": t.suppliers, "entidades": t.entities,
+        "funcionarios": t.officials,
+    }
+    refresh_layers(t.spark, root, sources, model)
+    parts = []
+    for layer, rows in _LAYER_SUMS.items():
+        tables = published(t.spark, root, layer)
+        for name, _view, value in rows:
+            parts.append(tables[name].agg(
+                F.count(F.lit(1)).alias("filas"), F.round(F.sum(F.expr(value)).cast("double"), 3).alias("suma")
+            ).select(F.lit(layer).alias("capa"), F.lit(name).alias("tabla"), "filas", "suma"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 # --- versions ----------------------------------------------------------------------------------

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import itertools
+import re
 import unicodedata
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -131,10 +135,26 @@ def object_family(text: Column, category: Column | None = None) -> Column:
     )
 
 
+def _fragments(pattern: str) -> list[str]:
+    """Texts of which every match of the pattern holds at least one: how each alternative begins, letter classes spelt out."""
+    found = []
+    for alternative in re.split(r"\|(?![^(]*\))", pattern):
+        start = re.split(r"[.(]", alternative.replace(r"\b", ""))[0]
+        choices = [letters.strip("[]") for letters in re.findall(r"\[[^\]]*\]|.", start)]
+        found += ["".join(chosen) for chosen in itertools.product(*choices)]
+    return found
+
+
 def categorize_text(description: Column) -> Column:
-    """First category, in order, whose pattern occurs in the lower-cased text."""
+    """First category, in order, whose pattern occurs in the lower-cased text.
+
+    A pattern is only tried on texts that hold one of its fragments, a plain search of bytes.
+    """
     text = F.lower(description.cast("string"))
-    matches = [F.when(text.rlike(_REGEX_FLAGS + pattern), F.lit(name)) for name, pattern in OBJECT_CATEGORIES]
+    matches = [
+        F.when(reduce(or_, [text.contains(f) for f in _fragments(pattern)]) & text.rlike(_REGEX_FLAGS + pattern), F.lit(name))
+        for name, pattern in OBJECT_CATEGORIES
+    ]
     return F.coalesce(*matches, F.lit(OTHER_CATEGORY))
 
 

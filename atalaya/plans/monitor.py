@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.classification import RandomForestClassificationModel
 from pyspark.ml.clustering import KMeansModel
 from pyspark.ml.feature import StandardScalerModel
@@ -9,20 +11,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from atalaya.operators.contract import LABELS
-from atalaya.operators.drift import GROUP_DRIFT_FEATURES, PAIR_DRIFT_FEATURES, drift_report, retrain_decision
-from atalaya.operators.evaluation import group_id, recall_at_k, union_train_batch
+from atalaya.operators.drift import (
+    GROUP_DRIFT_FEATURES,
+    PAIR_DRIFT_FEATURES,
+    batch_labels,
+    batch_recall,
+    drift_report,
+    retrain_decision,
+)
+from atalaya.operators.evaluation import group_id, union_train_batch
 from atalaya.operators.favoritism import PAIR, fav_features
 from atalaya.operators.models import score_groups, score_pairs
 from atalaya.operators.preprocessing import apply_preprocessor
 from atalaya.operators.splitting import GROUP, frac_features
 from atalaya.plans.evaluate import MODEL_AMOUNT
 from atalaya.plans.train import MANIFEST, train_candidate
+from atalaya.runtime import materialize
 from atalaya.sources.readers import load_medians
 from atalaya.sources.sinks import read_json
 
 
-def _recall(scored: DataFrame) -> float | None:
-    return recall_at_k(scored).first()["recall_at_k"]
+def _with_label(rows: DataFrame, label: str | None) -> DataFrame:
+    return rows if label else rows.withColumn("label", F.lit(None).cast("int"))
 
 
 def monitor_batch(batch: DataFrame, model_folder: str, name: str) -> tuple[DataFrame, DataFrame]:
@@ -45,14 +55,15 @@ def monitor_batch(batch: DataFrame, model_folder: str, name: str) -> tuple[DataF
     scaler = StandardScalerModel.load(part["fraccionamiento_scaler"])
     new_groups = score_groups(frac_features(new, label=group_label), clusters, scaler)
 
-    recalls = []
-    if pair_label:
-        forest = RandomForestClassificationModel.load(part["favoritismo_model"])
-        recalls.append(_recall(score_pairs(new_pairs, forest).select(
-            group_id(PAIR).alias("id"), "label", F.col("score_riesgo_favoritismo").alias("score"))))
-    if group_label:
-        recalls.append(_recall(new_groups.select(
-            group_id(GROUP).alias("id"), "label", F.col("score_anomalia").alias("score"))))
+    forest = RandomForestClassificationModel.load(part["favoritismo_model"])
+    scored = [
+        _with_label(score_pairs(new_pairs, forest), pair_label).select(
+            group_id(PAIR).alias("id"), "label", F.col("score_riesgo_favoritismo").alias("score")),
+        _with_label(new_groups, group_label).select(
+            group_id(GROUP).alias("id"), "label", F.col("score_anomalia").alias("score")),
+    ]
+    # Written once: recall and labels are both read from the scores.
+    scored = [materialize(rows, "scored") for rows in scored]
 
     report = (
         drift_report(spark.read.parquet(part["favoritismo_baseline"]), new_pairs, PAIR_DRIFT_FEATURES)
@@ -63,12 +74,10 @@ def monitor_batch(batch: DataFrame, model_folder: str, name: str) -> tuple[DataF
         )
         .withColumn("lote", F.lit(name))
     )
-    known = [(name, r) for r in recalls if r is not None] or [(name, None)]
-    decision = retrain_decision(
-        report,
-        spark.createDataFrame(known, "lote string, recall_at_k double"),
-        spark.createDataFrame([(name, all(labelled.values()))], "lote string, tiene_labels boolean"),
+    recalls, labels = (
+        reduce(DataFrame.unionByName, [measure(rows, name) for rows in scored]) for measure in (batch_recall, batch_labels)
     )
+    decision = retrain_decision(report, recalls, labels)
     return report, decision
 
 
