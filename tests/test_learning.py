@@ -182,6 +182,18 @@ def test_retraining_needs_labels_and_never_promotes(spark):
     assert not found["c"]["candidate_allowed"] and not any(r["automatic_promotion"] for r in found.values())
 
 
+def test_recall_and_labels_of_a_batch(spark):
+    schema = "id string, label int, score double"
+    # Two positives; the tie at 0.5 goes to the smaller id, so one of them is among the best two.
+    rows = spark.createDataFrame([("a", 0, 0.5), ("b", 1, 0.5), ("c", 1, 0.9), ("d", 0, 0.1)], schema)
+    assert drift.batch_recall(rows, "x").collect() == [("x", 0.5)] and drift.batch_labels(rows, "x").collect() == [("x", True)]
+    partly = rows.unionByName(spark.createDataFrame([("e", None, 1.0)], schema))
+    assert drift.batch_recall(partly, "x").first()["recall_at_k"] == 0.5 and not drift.batch_labels(partly, "x").first()["tiene_labels"]
+    for nothing in (rows.where("label = 0"), rows.limit(0)):
+        assert drift.batch_recall(nothing, "x").collect() == [("x", None)]
+    assert drift.batch_labels(rows.limit(0), "x").collect() == [("x", False)]
+
+
 def test_training_refuses_evidence_of_another_corpus():
     good = {"training_data_fingerprint_sha256": "x", "mejor_configuracion": {"k": 3}}
     assert train.require_evidence(good, "x", ["k"], "n") == {"k": 3}

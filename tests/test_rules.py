@@ -167,3 +167,19 @@ def test_ratio_bands(spark, ratio, payments, status):
 def test_cap_keeps_missing_amounts(spark):
     assert value(spark, cap_amount(F.lit(None).cast("double"), 5)) is None
     assert value(spark, cap_amount(F.lit(9.0), 5)) == 5.0
+
+
+def test_categories_by_fragments_equal_the_patterns_alone(spark):
+    import re
+
+
+    words = [f for _name, pattern in text.OBJECT_CATEGORIES for f in text._fragments(pattern)]
+    texts = [*words, *[w.upper() for w in words], *[f"x{w}y otra" for w in words], *[w[:-1] for w in words], "", None, "traslado de pacientes",
+             "licencia de windows", "útil de oficina", "material de construcción", "rehabilitación de la obra", "maniobra", "equipo de producción"]
+
+    def expected(t):
+        found = (name for name, pattern in text.OBJECT_CATEGORIES if t is not None and re.search(pattern, t.lower()))
+        return next(found, text.OTHER_CATEGORY)
+
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert {(r["t"], r["c"]) for r in rows.select("t", text.categorize_text(F.col("t")).alias("c")).collect()} == {(t, expected(t)) for t in texts}

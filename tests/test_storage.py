@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from atalaya.errors import ContractError, GateError
 from atalaya.operators import reports
-from atalaya.plans.layers import LAYERS, layer_publish
+from atalaya.plans.layers import LAYERS, layer_publish, refresh_layers
 from atalaya.runtime import materialize, shared_folder
 from atalaya.sources import readers, sinks, snapshots
 from atalaya.streaming import totals
@@ -137,6 +137,12 @@ def test_layers(spark, small, tmp_path):
         layer_publish(spark, root, "oro", {"otra": small})
 
 
+def test_layers_need_all_sources(spark, small, tmp_path):
+    with pytest.raises(FileNotFoundError, match="pagos"):
+        refresh_layers(spark, str(tmp_path), {name: small for name in LAYERS["bronce"] if name != "pagos"}, "no model")
+    assert not list(tmp_path.iterdir())
+
+
 def ranking(spark, rows):
     return spark.createDataFrame(rows, "id_proveedor string, id_entidad string, n_contratos int, monto_total double, pct_contratacion_directa double, pct_comparacion_precios double, score_riesgo_favoritismo double")
 
