@@ -172,7 +172,6 @@ def test_cap_keeps_missing_amounts(spark):
 def test_categories_by_fragments_equal_the_patterns_alone(spark):
     import re
 
-
     words = [f for _name, pattern in text.OBJECT_CATEGORIES for f in text._fragments(pattern)]
     texts = [*words, *[w.upper() for w in words], *[f"x{w}y otra" for w in words], *[w[:-1] for w in words], "", None, "traslado de pacientes",
              "licencia de windows", "útil de oficina", "material de construcción", "rehabilitación de la obra", "maniobra", "equipo de producción"]
