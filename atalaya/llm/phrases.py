@@ -17,6 +17,7 @@ ignored. A piece is never cut, however long it is.
 from __future__ import annotations
 
 import gc
+import itertools
 import re
 from collections import defaultdict
 from collections.abc import Iterator
@@ -27,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from atalaya.llm.frames import small_batches
+from atalaya.llm.frames import give_back, small_batches, tidy
 from atalaya.runtime import discard, materialize
 
 # --- fixed values of the measure ---------------------------------------------------
@@ -38,7 +39,9 @@ NO_LANGUAGE = "und"
 # -----------------------------------------------------------------------------------
 
 #: Occurrences in a block, beyond which it ends with the piece at hand; characters worked on at once.
-BLOCK, SLICE_BYTES = 6_000_000, 4_000_000
+BLOCK, SLICE_BYTES = 6_000_000, 1_000_000
+#: Places of a block whose phrases are looked up at once.
+CHUNK = 1_000_000
 #: Rows of counts handed to Spark at once.
 BATCH = 100_000
 #: Candidates of a language that are ordered by one task in the first of two steps.
@@ -62,8 +65,8 @@ def word_slices(text: bytes, limit: int = SLICE_BYTES) -> Iterator[list[bytes]]:
 
 def packed(values: np.ndarray) -> bytes:
     """Whole numbers as compressed bytes, the four bytes of a number apart."""
-    planes = np.ascontiguousarray(values.astype("<i4").view(np.uint8).reshape(-1, 4).T)
-    return len(values).to_bytes(8, "little") + pa.compress(planes.tobytes(), "zstd", asbytes=True)
+    planes = np.ascontiguousarray(values.astype("<i4", copy=False).view(np.uint8).reshape(-1, 4).T)
+    return len(values).to_bytes(8, "little") + pa.compress(pa.py_buffer(planes), "zstd", asbytes=True)
 
 
 def unpacked(data: bytes) -> np.ndarray:
@@ -72,6 +75,14 @@ def unpacked(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<i4").ravel()
 
 
+def counts_of(places: np.ndarray, numbers: int) -> np.ndarray:
+    """How often each of the numbers 0..numbers-1 occurs; gaps are left out."""
+    often = np.zeros(numbers + 1, np.int64)
+    for i in range(0, len(places), CHUNK):
+        often += np.bincount(places[i:i + CHUNK] + 1, minlength=numbers + 1)
+    return often[1:]
+
+
 class _Block:
     """Occurrences of one block: numbers of words in order, with a gap (-1) between pieces."""
 
@@ -79,16 +90,13 @@ class _Block:
         self.numbers: dict[bytes, defaultdict] = {}
         self.pieces: list[np.ndarray] = []
         self.size = 0
-        self.next = 0
-
-    def _number(self) -> int:
-        self.next += 1
-        return self.next - 1
+        # No method of the block: a block that held itself would stay until the collector of cycles runs.
+        self.number = itertools.count().__next__
 
     def add(self, lang: bytes, words: list[bytes]) -> None:
         known = self.numbers.get(lang)
         if known is None:
-            known = self.numbers[lang] = defaultdict(self._number)
+            known = self.numbers[lang] = defaultdict(self.number)
             known[b"."] = -1
         self.pieces.append(np.fromiter(map(known.__getitem__, words), np.int32, len(words)))
         self.size += len(words)
@@ -98,7 +106,8 @@ class _Block:
 
     def rows(self, block: int, names: list[str]) -> Iterator[pa.RecordBatch]:
         places = np.concatenate(self.pieces) if self.pieces else np.zeros(0, np.int32)
-        often = np.bincount(places[places >= 0], minlength=self.next)
+        self.pieces.clear()
+        often = counts_of(places, sum(len(known) - 1 for known in self.numbers.values()))
         for lang, known in self.numbers.items():
             words = [w for w in known if w != b"."]
             codes = np.fromiter((known[w] for w in words), np.int64, len(words))
@@ -146,14 +155,52 @@ def occurrences(docs: DataFrame, block: int = BLOCK) -> DataFrame:
             yield from held.rows(place << 11 | number, names)
 
     small_batches(docs.sparkSession)
-    return docs.mapInArrow(run, schema)
-
-
-def neighbours(places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The relation merged with itself at the next place: each place's pair as one number, and where pairs are."""
-    both = (places[:-1] >= 0) & (places[1:] >= 0)
-    at = np.flatnonzero(both)
-    return places[at].astype(np.int64) << 32 | places[at + 1], at
+    return docs.mapInArrow(tidy(run), schema)
+
+
+def neighbours(places: np.ndarray, low: int = 0, high: int = 1 << 31) -> tuple[np.ndarray, np.ndarray]:
+    """The relation merged with itself at the next place: each place's pair as one number, and which places have one.
+
+    Only pairs whose first number lies in low..high-1.
+    """
+    both = (places[:-1] >= low) & (places[:-1] < high) & (places[1:] >= 0)
+    pairs = places[:-1][both].astype(np.int64)
+    pairs <<= 32
+    pairs |= places[1:][both]
+    return pairs, both
+
+
+def sorted_neighbours(places: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs in order, in slices by their first number, and where each distinct one starts in its slice.
+
+    A slice holds about `CHUNK` pairs, or those of one number, so little is held beside the block.
+    """
+    upto = np.cumsum(counts_of(places, int(places.max(initial=-1)) + 1))
+    cuts = np.searchsorted(upto, np.arange(CHUNK, upto[-1] if len(upto) else 0, CHUNK))
+    edges = np.unique(np.concatenate([[0], cuts, [len(upto)]])).tolist()
+    for low, high in itertools.pairwise(edges):
+        pairs = neighbours(places, low, high)[0]
+        pairs.sort()
+        new = np.ones(len(pairs), bool)
+        np.not_equal(pairs[1:], pairs[:-1], out=new[1:])
+        yield pairs, np.flatnonzero(new)
+
+
+def numbered_pairs(places: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """At each place the number, among `codes` in order, of its pair; -1 without one. A code is a place among the distinct pairs."""
+    picked, base = [np.zeros(0, np.int64)], 0
+    for pairs, starts in sorted_neighbours(places):
+        own = codes[np.searchsorted(codes, base):np.searchsorted(codes, base + len(starts))]
+        picked.append(pairs[starts[own - base]])
+        base += len(starts)
+    wanted = np.concatenate(picked)
+    found = np.full(len(places), -1, np.int32)
+    if len(wanted):
+        for i in range(0, len(places) - 1, CHUNK):
+            some, both = neighbours(places[i:i + CHUNK + 1])
+            at = np.minimum(np.searchsorted(wanted, some), len(wanted) - 1)
+            found[i:i + len(both)][both] = np.where(wanted[at] == some, at, -1)
+    return found
 
 
 def semi_join(codes: np.ndarray, frequent: np.ndarray) -> np.ndarray:
@@ -179,12 +226,11 @@ def next_relation(relation: DataFrame, frequent: DataFrame, first: bool) -> Data
         for block, content in zip(left.column("block").to_pylist(), left.column("data").to_pylist(), strict=True):
             places = unpacked(content)
             if not first:
-                pairs, at = neighbours(places)
-                found = np.unique(pairs, return_inverse=True)[1]
-                places = np.full(len(places), -1, np.int64)
-                places[at] = found
+                places = numbered_pairs(places, codes)
             blocks.append(block)
-            data.append(packed(semi_join(places, codes)))
+            data.append(packed(semi_join(places, codes if first else np.arange(len(codes)))))
+            del places
+        give_back()
         return pa.table([pa.array(blocks, pa.int64()), pa.array(data, pa.binary()), pa.array([ids.astype("<i8").tobytes()] * len(blocks), pa.binary())], names)
 
     answers = frequent.select(F.shiftright("key", 32).alias("block"), "key", "id")
@@ -199,21 +245,26 @@ def pair_counts(relation: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, data, ids in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                pairs, often = np.unique(neighbours(unpacked(data))[0], return_counts=True)
-                known = np.frombuffer(ids, "<i8")
-                for i in range(0, len(pairs), BATCH):
-                    part = pairs[i:i + BATCH]
-                    keys = np.arange(i, i + len(part), dtype=np.int64) + (block << 32)
-                    columns = [known[part >> 32], known[part & 0xFFFFFFFF], keys, often[i:i + BATCH]]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
+                known, base = np.frombuffer(ids, "<i8"), block << 32
+                for pairs, starts in sorted_neighbours(unpacked(data)):
+                    for i in range(0, len(starts), BATCH):
+                        edges = np.append(starts[i:i + BATCH + 1], [] if i + BATCH < len(starts) else [len(pairs)]).astype(np.int64)
+                        part = pairs[edges[:-1]]
+                        columns = [known[part >> 32], known[part & 0xFFFFFFFF], base + np.arange(len(part)), np.diff(edges)]
+                        base += len(part)
+                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
 
-    return relation.select("block", "data", "ids").mapInArrow(run, schema)
+    return relation.select("block", "data", "ids").mapInArrow(tidy(run), schema)
 
 
 def frequent_only(counts: DataFrame, identity: list[str], least: int) -> DataFrame:
-    """Rows of the blocks whose phrase occurs at least `least` times in all, with its count `f` and id."""
+    """Rows of the blocks whose phrase occurs at least `least` times in all, with its id.
+
+    What the phrase is and its count `f` stand in the one row that gives the id; the others need the id only.
+    """
     same = Window.partitionBy(*identity)
-    return counts.withColumn("f", F.sum("n").over(same)).withColumn("id", F.min("key").over(same)).where(F.col("f") >= least).drop("n")
+    found = counts.withColumn("f", F.sum("n").over(same)).withColumn("id", F.min("key").over(same)).where(F.col("f") >= least)
+    return found.select("key", "id", *[F.when(F.col("id") == F.col("key"), F.col(c)).alias(c) for c in (*identity, "f")])
 
 
 def score(count: Column, left: Column, right: Column) -> Column:
@@ -272,18 +323,23 @@ def collocations(
     totals = materialize(words.groupBy("lang").agg(F.sum("n").alias("n")), "totals")
     frequent = materialize(frequent_only(words, ["lang", "word"], least), "frequent")
     single = F.array("f")
-    known = frequent.where("id = key").select("id", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "f", single.alias("heads"), single.alias("tails"))
-    # Every relation goes as soon as the next one is written, so one of them and its counts are on disk at a time.
+    known = materialize(
+        frequent.where("id = key").select("id", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "f", single.alias("heads"), single.alias("tails")),
+        "phrases",
+    )
+    # Every relation, and what was frequent in it, goes as soon as the next one is written, so one of them and its counts are on disk at a time.
     relation, last, found = base.where("data IS NOT NULL"), base, []
     for k in range(2, longest + 1):
         relation = materialize(next_relation(relation, frequent, first=k == 2), "relation")
         discard(last)
+        discard(frequent)
         last = relation
         release(docs.sparkSession)
         frequent = materialize(frequent_only(pair_counts(relation), ["a", "b"], least), "frequent")
         known = materialize(with_words(frequent, known), "phrases")
         found.append(known)
     discard(last)
+    discard(frequent)
     candidates = found[0]
     for more in found[1:]:
         candidates = candidates.unionByName(more)

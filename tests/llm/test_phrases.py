@@ -93,3 +93,21 @@ def test_slices_of_a_long_text_hold_the_same_words():
     whole = [w for part in phrases.word_slices(text) for w in part]
     assert [w for part in phrases.word_slices(text, 9) for w in part] == whole
     assert whole[:5] == [b"new", b"york", b".", b"city", b"."] and whole[-4:] == [b"y" * 50, b".", b".", b"end"]
+
+
+def test_numbered_pairs_holds_little_beside_the_block(monkeypatch):
+    """Pairs get the numbers that a plain search gives, in memory of a few numbers a place."""
+    import tracemalloc
+
+    monkeypatch.setattr(phrases, "CHUNK", 30_000)
+    places = np.random.default_rng(3).integers(-1, 40, 400_000).astype(np.int32)
+    pairs = sorted({(int(a), int(b)) for a, b in zip(places, places[1:]) if a >= 0 and b >= 0})
+    codes = np.arange(0, len(pairs), 3)
+    number = {pairs[c]: i for i, c in enumerate(codes)}
+    expected = [number.get((int(a), int(b)), -1) for a, b in zip(places, places[1:])] + [-1]
+    tracemalloc.start()
+    got = phrases.numbered_pairs(places, codes)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got.tolist() == expected and got.dtype == np.int32
+    assert peak < 12 * len(places)
