@@ -49,11 +49,12 @@ def monitor_batch(batch: DataFrame, model_folder: str, name: str) -> tuple[DataF
     labelled = {c: c in batch.columns for c in LABELS}
 
     pair_label = "label_favoritismo" if labelled["label_favoritismo"] else None
-    new_pairs = fav_features(new, label=pair_label, amount=MODEL_AMOUNT)
+    # Written once: scores and drift read the features.
+    new_pairs = materialize(fav_features(new, label=pair_label, amount=MODEL_AMOUNT), "features")
     group_label = "label_fraccionamiento" if labelled["label_fraccionamiento"] else None
     clusters = KMeansModel.load(part["fraccionamiento_model"])
     scaler = StandardScalerModel.load(part["fraccionamiento_scaler"])
-    new_groups = score_groups(frac_features(new, label=group_label), clusters, scaler)
+    new_groups = score_groups(materialize(frac_features(new, label=group_label), "features"), clusters, scaler)
 
     forest = RandomForestClassificationModel.load(part["favoritismo_model"])
     scored = [
