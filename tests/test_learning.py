@@ -230,3 +230,51 @@ def test_classifiers_are_compared_out_of_fold(spark):
     found = models.compare_classifiers(pair_rows(spark), 3).collect()
     assert {r["modelo"] for r in found} == {"regresion_logistica", "bosque_aleatorio", "potenciacion_gradiente"}
     assert found[0]["auc_pr"] > 0.9 and all(0 <= r[m] <= 1 for r in found for m in models.METRICS)
+
+
+def test_grid_metrics_equal_those_of_each_setting(spark):
+    rng = random.Random(4)
+    rows = [(k, f"I{i:03}", int(rng.random() < 0.4), float(rng.randrange(6) + k)) for k in (2, 5) for i in range(80)]
+    scored = spark.createDataFrame(rows, "k int, id string, label int, score double")
+    found = evaluation.grid_metrics(scored, "k")
+    for k in (2, 5):
+        alone = evaluation.holdout_metrics(scored.where(F.col("k") == k), by_rank=True)
+        assert found[k]["recall_at_k"] == alone["recall_at_k"] and found[k]["auc_pr"] == pytest.approx(alone["auc_pr"])
+    with pytest.raises(GateError):
+        evaluation.grid_metrics(scored.withColumn("label", F.lit(1)), "k")
+
+
+def test_cluster_tuning_orders_its_rows_once_a_seed(spark, monkeypatch):
+    calls = []
+    monkeypatch.setattr(models, "spread", lambda *a, own=models.spread: calls.append(1) or own(*a))
+    models.kmeans_tune(group_rows(spark), [2, 3], [11])
+    assert len(calls) == 1
+
+
+def test_isolation_grid_grows_one_forest_a_share(spark, monkeypatch):
+    sizes, grown, rows = [5, 12], [], group_rows(spark)
+    monkeypatch.setattr(isolation, "isolation_train", lambda *a, own=isolation.isolation_train, **o: grown.append(o) or own(*a, **o))
+    isolation.ranking_param_grid(rows, {"arboles": sizes, "proporcion": [0.5]}, [11])
+    assert [o["trees"] for o in grown] == [12]
+    # The first trees are the forest that a fit of fewer trees gives, sent to all tasks or met in joins.
+    train = lambda n: isolation.isolation_train(rows, models.GROUP_FEATURES, models.GROUP, trees=n, share=0.5, seed=11, node_rows=20)
+    whole, small = train(12), train(5)
+    alone = {r["id_proveedor"]: r["score_aislamiento"] for r in isolation.isolation_score(rows, models.GROUP_FEATURES, small).collect()}
+    for sent in (10**6, 0):
+        nested = isolation._prefix_scores(rows, models.GROUP_FEATURES, whole, sizes, sent).collect()
+        assert {r["id_proveedor"]: pytest.approx(r["_scores"][0]) for r in nested} == alone
+
+
+def test_partitions_of_a_fit_do_not_follow_the_rows_without_end():
+    from atalaya.runtime import fit_partitions
+
+    assert [fit_partitions(n) for n in (0, 9_999, 25_000, 9_000_000, 64_000_001)] == [1, 1, 3, 64, 65]
+
+
+def test_written_lines_are_joined_once(spark):
+    from atalaya.checks.proxies import Tables
+
+    plain = Tables(spark, "/root/testdata/sf0.001")
+    kept = plain.written()
+    assert "Join" not in kept.training._jdf.queryExecution().optimizedPlan().toString()
+    assert kept.training.exceptAll(plain.training).isEmpty() and kept.training.count() == plain.training.count()
