@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from atalaya.llm.frames import documents, gathered, ranges_of, small_batches
+from atalaya.llm.frames import documents, gathered, ranges_of, small_batches, tidy
 from atalaya.llm.tokens import gather, word_ids
 
 CAPACITY = 2048
@@ -31,7 +31,7 @@ GROUP_DOCS = 512
 #: The same where only lengths travel.
 GROUP_PIECE_DOCS = 2048
 #: Bytes of text that a task encodes at once. The more, the fewer times a word is looked up.
-WINDOW_BYTES = 8_000_000
+WINDOW_BYTES = 4_000_000
 #: Equal pieces are told apart by their number within a task. The tasks share these numbers in runs of so many, so
 #: one number of one piece comes up at most so often.
 SHARING_TASKS = 1024
@@ -166,7 +166,7 @@ def token_pieces(docs: DataFrame, file: str, *, capacity: int = CAPACITY, end_id
                     columns.append(pa.Array.from_buffers(pa.binary(), len(owner), buffers))
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    return documents(docs).mapInArrow(run, schema)
+    return documents(docs).mapInArrow(tidy(run), schema)
 
 
 def _groups(pieces: DataFrame, docs: DataFrame, per_group: int, seed: int) -> DataFrame:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from atalaya.llm.frames import numbered, partitions_of, small_batches
+from atalaya.llm.frames import numbered, partitions_of, small_batches, tidy
 from atalaya.llm.shingles import mix, powers, prefix_hash
 from atalaya.runtime import materialize
 
@@ -231,7 +231,7 @@ def anchor_rows(docs: DataFrame, buckets: int, length: int, gram: int) -> DataFr
                     ))
             yield _batch(out, _ROWS)
 
-    return docs.select("ref", "text").mapInArrow(run, _ROWS)
+    return docs.select("ref", "text").mapInArrow(tidy(run), _ROWS)
 
 
 def _unpacked(rows: list[dict], sizes: tuple[int, int]) -> tuple[np.ndarray, ...]:
@@ -283,7 +283,7 @@ def settled_runs(rows: DataFrame, buckets: int) -> DataFrame:
                         ["ref", "settled", "start", "span"],
                     )
 
-    return _dealt(rows, buckets).mapInArrow(run, _RUNS)
+    return _dealt(rows, buckets).mapInArrow(tidy(run), _RUNS)
 
 
 def window_rows(affected: DataFrame, buckets: int, length: int) -> DataFrame:
@@ -323,7 +323,7 @@ def window_rows(affected: DataFrame, buckets: int, length: int) -> DataFrame:
                 out.append(_row(int(refs[0] % buckets), refs, document[done], local[done].astype("<i4").tobytes(), b"", b"", b"", b"", decided=True))
             yield _batch(out, _ROWS)
 
-    return affected.select("ref", "runs", "text").mapInArrow(run, _ROWS)
+    return affected.select("ref", "runs", "text").mapInArrow(tidy(run), _ROWS)
 
 
 _PLACES = "bucket int, refs binary, starts binary"
@@ -342,7 +342,7 @@ def repeated_windows(rows: DataFrame, buckets: int) -> DataFrame:
             target = (mix(ref.view(_U)) % _U(buckets)).astype(np.int64)
             yield _batch([(which, ref[at].tobytes(), start[at].astype("<i4").tobytes()) for which, at in _by_bucket(target)], _PLACES)
 
-    return _dealt(rows, buckets).mapInArrow(run, _PLACES)
+    return _dealt(rows, buckets).mapInArrow(tidy(run), _PLACES)
 
 
 def places_of_documents(packed: DataFrame, buckets: int) -> DataFrame:
@@ -365,7 +365,7 @@ def places_of_documents(packed: DataFrame, buckets: int) -> DataFrame:
         if held:
             yield flush(held)
 
-    return _dealt(packed, buckets).mapInArrow(run, "ref long, places binary")
+    return _dealt(packed, buckets).mapInArrow(tidy(run), "ref long, places binary")
 
 
 def covered_spans(size: int, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -400,7 +400,7 @@ def cut_documents(affected: DataFrame, windows: DataFrame, length: int) -> DataF
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [f.split()[0] for f in _CUT.split(", ")])
 
     joined = affected.join(windows, "ref", "left").select("doc_id", "ref", "text", "runs", "places")
-    return joined.mapInArrow(run, _CUT)
+    return joined.mapInArrow(tidy(run), _CUT)
 
 
 def repeated_spans(

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 
 #: What one Python worker keeps: characters of words plus `WORD_COST` for each word; beyond that the cache starts
 #: anew. Longer words than `KEPT_WORD` are never kept. Bounds memory only.
-CACHE_CHARS = 80_000_000
+CACHE_CHARS = 40_000_000
 WORD_COST = 100
 KEPT_WORD = 128
 
