@@ -32,6 +32,11 @@ def test_features_shuffle_contracts_once(contracts):
         assert features._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
 
 
+def test_families_are_made_once_a_row(contracts):
+    plan = frac_features(_mixed(contracts), label="label")._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("Filter" in line and "array_except" in line for line in plan.splitlines())
+
+
 @pytest.mark.parametrize("module, features", [(favoritism, fav_features), (splitting, frac_features)])
 def test_crowded_keys_have_the_same_features(contracts, monkeypatch, module, features):
     made = _mixed(contracts)
