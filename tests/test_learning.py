@@ -278,3 +278,32 @@ def test_written_lines_are_joined_once(spark):
     kept = plain.written()
     assert "Join" not in kept.training._jdf.queryExecution().optimizedPlan().toString()
     assert kept.training.exceptAll(plain.training).isEmpty() and kept.training.count() == plain.training.count()
+
+
+def test_grid_trees_are_grown_from_points_in_few_tasks(spark, monkeypatch):
+    import numpy as np
+
+    rows = group_rows(spark)
+    again = rows.unionByName(rows.withColumn("id_proveedor", F.concat(F.lit("Q"), "id_proveedor")))
+    sided = evaluation.validation_sides(again, 11)
+    points, distinct = isolation._points(sided), again.select(*isolation.GROUP_FEATURES).distinct().count()
+    counts = points.agg(F.count("_id").alias("n"), F.sum("_fitted").alias("f"), F.sum("_checked").alias("c")).first()
+    assert counts["n"] == distinct < counts["f"] + counts["c"] == again.count()
+    monkeypatch.setattr(isolation, "TASK_TREES", 2)
+    forest = isolation.isolation_train(again, models.GROUP_FEATURES, models.GROUP, trees=5, share=0.5, written=False)
+    assert forest.nodes is None
+    kept = points.persist()
+    by_order = [
+        {r["_id"]: r["_scores"] for r in isolation._grow_and_score(df, models.GROUP_FEATURES, {0.5: forest, 1.0: forest}, [2, 5], 11).collect()}
+        for df in (kept, kept.repartition(3).orderBy(F.desc("_id")))
+    ]
+    assert by_order[0] == by_order[1] and len(by_order[0]) == kept.where("_checked > 0").count()
+    assert all(len(s) == 4 and all(0 < v < 1 for v in s) for s in by_order[0].values())
+    # Points that fall while a tree grows end where the written tree has them; a point of weight 2 counts as two rows.
+    x = np.random.default_rng(5).integers(0, 9, (200, 3)).astype(float)
+    nodes = isolation._grow_by_level(x, np.random.default_rng(3), 6)
+    fallen = isolation._fallen_depths(np.ascontiguousarray(x.T), np.ones(200, int), x.T.copy(), np.random.default_rng(3), 6)
+    assert fallen.tolist() == isolation._depths(x, nodes[1:]).tolist()
+    places, weight = np.unique(x, axis=0, return_counts=True)
+    joined = isolation._fallen_depths(np.ascontiguousarray(places.T), weight, x.T.copy(), np.random.default_rng(3), 6)
+    assert joined.tolist() == pytest.approx(fallen.tolist())
