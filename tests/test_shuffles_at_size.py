@@ -8,7 +8,8 @@ from atalaya.operators.evaluation import split_assignment_join
 from atalaya.operators.favoritism import PAIR, fav_features
 from atalaya.operators.preprocessing import apply_preprocessor
 from atalaya.operators.skew import hot_split_join
-from atalaya.plans.evaluate import MODEL_AMOUNT, _pair_features
+from atalaya.operators.splitting import GROUP, frac_features, with_family, with_family_of_texts
+from atalaya.plans.evaluate import MODEL_AMOUNT, _group_features, _pair_features, _prepared, _sided_by_family
 from atalaya.runtime import SHUFFLE_ROWS, START_PARTITIONS, deal
 
 
@@ -66,3 +67,25 @@ def test_activity_counts_days_whatever_the_time(contracts):
     features = fav_features(made.withColumns(modality_flags(F.col("modalidad"))))
     assert "_day" in features._jdf.queryExecution().executedPlan().toString()
     assert [r["dias_actividad"] for r in features.collect()] == [2]
+
+
+def test_families_of_texts_are_those_of_rows(contracts):
+    made = _contracts(contracts).withColumn("categoria_principal", F.when(F.col("monto") > 500, "Goods"))
+    rows = lambda df: sorted((tuple(r) for r in df.collect()), key=repr)
+    whole = rows(with_family(made))
+    assert rows(with_family_of_texts(made)) == whole != []
+    assert rows(with_family_of_texts(made, most=1)) == whole
+    assert rows(with_family_of_texts(made.drop("categoria_principal"))) == rows(with_family(made.drop("categoria_principal")))
+
+
+def test_group_sides_have_the_features_of_their_contracts(contracts):
+    """Families are made once a text; missing objects still move to the family of the most frequent one."""
+    made = _contracts(contracts).withColumn("label_fraccionamiento", F.col("id_contrato").endswith("3"))
+    sided, assigned = _sided_by_family(made)
+    features, state = _group_features(sided.where("NOT is_holdout"), sided.where("is_holdout"))
+    plain = [side.drop("objeto_familia") for side in split_assignment_join(with_family(made), assigned, GROUP)]
+    (fit_rows, check_rows), expected = _prepared(plain[0], *plain)
+    assert {k: v for k, v in state.items() if "location" not in k} == {k: v for k, v in expected.items() if "location" not in k}
+    rows = lambda df: sorted((tuple(r) for r in df.collect()), key=repr)
+    for got, side in zip(features, (fit_rows, check_rows), strict=True):
+        assert rows(got) == rows(frac_features(side, label="label_fraccionamiento")) != []
