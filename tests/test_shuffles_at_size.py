@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 from atalaya.functions.amounts import modality_flags
 from atalaya.operators.evaluation import split_assignment_join
 from atalaya.operators.favoritism import PAIR, fav_features
-from atalaya.operators.preprocessing import apply_preprocessor
+from atalaya.operators.preprocessing import apply_preprocessor, fit_preprocessor
 from atalaya.operators.skew import hot_split_join
-from atalaya.operators.splitting import GROUP, frac_features, with_family, with_family_of_texts
+from atalaya.operators.splitting import GROUP, family_after_fill, frac_features, with_family, with_family_of_texts, with_known_family
 from atalaya.plans.evaluate import MODEL_AMOUNT, _group_features, _pair_features, _prepared, _sided_by_family
 from atalaya.runtime import SHUFFLE_ROWS, START_PARTITIONS, deal
 
@@ -89,3 +89,13 @@ def test_group_sides_have_the_features_of_their_contracts(contracts):
     rows = lambda df: sorted((tuple(r) for r in df.collect()), key=repr)
     for got, side in zip(features, (fit_rows, check_rows), strict=True):
         assert rows(got) == rows(frac_features(side, label="label_fraccionamiento")) != []
+
+
+def test_known_families_give_the_features_of_filled_contracts(contracts):
+    """Training and scoring look families up before missing objects are filled."""
+    made = _contracts(contracts).withColumn("categoria_principal", F.when(F.col("monto") > 500, "Goods"))
+    state = fit_preprocessor(made)
+    rows = lambda df: sorted((tuple(r) for r in df.collect()), key=repr)
+    for own in (made, made.drop("categoria_principal")):
+        named = family_after_fill(apply_preprocessor(with_known_family(own), state))
+        assert rows(frac_features(named, family="_family")) == rows(frac_features(apply_preprocessor(own, state))) != []
